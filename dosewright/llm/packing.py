@@ -47,17 +47,16 @@ def tokenised_pieces(docs: DataFrame, capacity: int, vocabulary_file: str, end_i
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        enc, task, end = encoder(vocabulary_file), TaskContext.get().partitionId(), np.uint32(end_id).tobytes()
+        enc, task = encoder(vocabulary_file), TaskContext.get().partitionId()
         met = np.zeros(capacity + 1, np.int64)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            keys = batch.column(0).to_pylist()
+            for at, own in enc.batches(batch.column(1), end_id):
                 out: list[tuple] = []
-                for key, ids in zip(part.column(0).to_pylist(), enc.encode(part.column(1).to_pylist()), strict=True):
-                    ids += end
-                    for k, (start, n) in enumerate(cut(len(ids) // 4, capacity)):
-                        own = ids[4 * start : 4 * (start + n)]
-                        out.append((key, k, start, n, zlib.crc32(own), task, int(met[n])) + (np.frombuffer(own, "<i4"),) * with_ids)
+                for key, ids in zip(keys[at : at + len(own)], own, strict=True):
+                    for k, (start, n) in enumerate(cut(len(ids), capacity)):
+                        some = ids[start : start + n]
+                        out.append((key, k, start, n, zlib.crc32(some.astype("<u4").tobytes()), task, int(met[n])) + (some.astype(np.int32),) * with_ids)
                         met[n] += 1
                 kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int32())]
                 names = ["doc_id", "piece", "start", "length", "ids_crc32", "task", "place", "ids"]

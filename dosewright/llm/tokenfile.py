@@ -70,26 +70,25 @@ def write_store(docs: DataFrame, path: str, vocabulary_file: str, end_id: int =
         from pyspark import TaskContext
 
         enc, shard = encoder(vocabulary_file), TaskContext.get().partitionId()
-        width, end = bit_width(enc.vocabulary), np.uint32(end_id).tobytes()
-        held: list[tuple[int | None, bytes]] = []
+        width = bit_width(enc.vocabulary)
+        held: list[tuple[int | None, np.ndarray]] = []
         block, first, size = 0, 0, 0
 
         def emit() -> pa.RecordBatch:
-            ends = np.cumsum([len(x) // 4 for _, x in held])
-            payload = pack_bits(np.frombuffer(b"".join(x for _, x in held), "<u4"), width)
+            ends = np.cumsum([len(x) for _, x in held])
+            payload = pack_bits(np.concatenate([x for _, x in held]), width)
             row = {"shard": [shard], "block": [block], "first": [first], "n_ids": [size], "width": [width], "doc_ids": [[k for k, _ in held]], "doc_ends": [ends.tolist()], "payload": [payload]}
             return pa.RecordBatch.from_pydict(row, schema=arrow)
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                for key, ids in zip(part.column(0).to_pylist(), enc.encode(part.column(1).to_pylist()), strict=True):
-                    ids += end
-                    if held and size + len(ids) // 4 > block_ids:
+            keys = batch.column(0).to_pylist()
+            for at, own in enc.batches(batch.column(1), end_id):
+                for key, ids in zip(keys[at : at + len(own)], own, strict=True):
+                    if held and size + len(ids) > block_ids:
                         yield emit()
                         block, first, size, held = block + 1, first + size, 0, []
                     held.append((key, ids))
-                    size += len(ids) // 4
+                    size += len(ids)
         if held:
             yield emit()
 

@@ -1,8 +1,11 @@
 """Whole texts to token ids, with the ``tokenizers`` library and a bounded memo of the pieces between spaces.
 
 A byte-level BPE vocabulary with the usual word pattern never joins characters across a space that is
-followed by a non-space, so a text may be cut there, each piece encoded once, and the ids put together
-again. Pieces not seen before go to the library in one batch. Any other tokenizer gets whole texts.
+followed by a non-space, so texts may be cut there. Arrow cuts a batch of texts and numbers its different
+pieces, each piece not seen before is encoded once, and numpy puts the ids of every text together. New
+pieces that are Latin letters, alone or before one mark, go straight to the library's BPE model; others go
+to the whole tokenizer. Texts with white space after a space, and texts for any other kind of tokenizer,
+are encoded whole.
 """
 
 from __future__ import annotations
@@ -11,17 +14,30 @@ import functools
 import json
 import os
 import re
+from array import array
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-_CUT = re.compile(r" (?=\S)")
-_ODD = re.compile(r" (?=\s|$)")
+#: White space after a space, for RE2.
+_ODD = r" [\s\x0b\x1c-\x1f\x{85}\p{Z}]"
+#: Pieces of Latin letters alone, and the marks that may follow as a word of their own.
+_LETTERS = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+_MARKS = frozenset(".,;:!?")
+
+
+def _byte_characters() -> dict[int, str]:
+    """The printable stand-in of each byte: itself where it is printable Latin-1, else the next code from 256 on."""
+    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in set(own))}
 
 
 class Encoder:
-    """Encodes batches of texts as little-endian unsigned 32-bit ids. ``memo`` bounds the pieces kept at once."""
+    """Encodes batches of texts as unsigned 32-bit ids. ``memo`` bounds the pieces kept."""
 
-    def __init__(self, path: str, memo: int = 400_000):
+    def __init__(self, path: str, memo: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -30,40 +46,83 @@ class Encoder:
         self.vocabulary = self.library.get_vocab_size()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        pre = spec.get("pre_tokenizer") or {}
-        self.cuts = (
-            not spec.get("normalizer")
-            and pre.get("type") == "ByteLevel"
-            and pre.get("use_regex", True)
-            and not pre.get("add_prefix_space", True)
-            and (spec.get("model") or {}).get("type") == "BPE"
-        )
+        pre, model = spec.get("pre_tokenizer") or {}, spec.get("model") or {}
+        self.cuts = not spec.get("normalizer") and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space", True) and model.get("type") == "BPE"
+        self.bare = Tokenizer(self.library.model)
+        self.stand_in = _byte_characters()
+        self.space = self.stand_in[32]
         self.bound = memo
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, memo: dict[str, bytes], new: list[str], lead: str) -> None:
-        for at in range(0, len(new), 4096):
-            some = new[at : at + 4096]
-            memo.update(zip(some, self._encode([lead + x for x in some]), strict=True))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each whole text, in order."""
+        self.pieces: dict[str, bytes] = {}
+
+    @staticmethod
+    def _ids(encodings: list) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in encodings]
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return self._ids(self.library.encode_batch_fast(texts, add_special_tokens=False))
+
+    def _learn(self, new: list[str]) -> None:
+        """Encode pieces not seen before; each follows a space."""
+        known, letters = self.pieces, _LETTERS.fullmatch
+        words, marked, rest = [], [], []
+        for x in new:
+            if letters(x):
+                words.append(x)
+            elif x[-1:] in _MARKS and letters(x[:-1]):
+                marked.append(x)
+            else:
+                rest.append(x)
+        words += {x[:-1] for x in marked}.difference(known, words)
+        shown = [self.space + (x if x.isascii() else x.encode().decode("latin-1").translate(self.stand_in)) for x in words]
+        known.update(zip(words, self._ids(self.bare.encode_batch_fast(shown, add_special_tokens=False)), strict=True))
+        marks = dict(zip(_MARKS, self._whole(list(_MARKS)), strict=True)) if marked else {}
+        known.update([(x, known[x[:-1]] + marks[x[-1]]) for x in marked])
+        known.update(zip(rest, self._whole([" " + x for x in rest]), strict=True))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ends): the ids of all texts one after the other, and where each text's ids end."""
+        texts = texts.fill_null("")
         if not self.cuts:
-            return self._encode(texts)
-        if len(self.first) + len(self.later) > self.bound:
-            self.first, self.later = {}, {}
-        pieces = [_CUT.split(t) if _ODD.search(t) else t.split(" ") for t in texts]
-        self._learn(self.first, list({p[0] for p in pieces} - self.first.keys()), "")
-        needed: set[str] = set()
-        for p in pieces:
-            needed.update(p[1:])
-        self._learn(self.later, list(needed - self.later.keys()), " ")
-        first, later = self.first, self.later
-        return [first[p[0]] + b"".join([later[x] for x in p[1:]]) for p in pieces]
+            own = self._whole(texts.to_pylist())
+            return np.frombuffer(b"".join(own), "<u4"), np.cumsum([len(x) // 4 for x in own])
+        odd = np.flatnonzero(pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False))
+        cut = pc.split_pattern(texts, " ")
+        edges = cut.offsets.to_numpy()
+        numbered = cut.values.slice(edges[0], edges[-1] - edges[0]).dictionary_encode()
+        edges = edges - edges[0]
+        index, pieces = numbered.indices.to_numpy().astype(np.int64), numbered.dictionary.to_pylist()
+        # First pieces follow no space; of odd texts, the first piece stands for the whole and the rest for nothing.
+        first = pc.list_element(cut, 0).to_pylist()
+        index[edges[:-1]] = len(pieces) + np.arange(len(texts))
+        for k in odd.tolist():
+            first[k] = texts[k].as_py()
+            index[edges[k] + 1 : edges[k + 1]] = len(pieces) + len(texts)
+        if len(self.pieces) > self.bound:
+            self.pieces = {}
+        found = list(map(self.pieces.get, pieces))
+        if None in found:
+            self._learn([x for x, y in zip(pieces, found, strict=True) if y is None])
+            found = list(map(self.pieces.__getitem__, pieces))
+        found += self._whole(first)
+        found.append(b"")
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        ids = np.frombuffer(b"".join(found), "<u4")
+        starts = np.cumsum(sizes) - sizes
+        each = sizes[index]
+        ends = np.cumsum(each)
+        places = np.arange(ends[-1]) + np.repeat(starts[index] - (ends - each), each)
+        return ids[places], ends[edges[1:] - 1]
+
+    def batches(self, texts: pa.Array, end: int, rows: int = 2048, size: int = 4 << 20) -> Iterator[tuple[int, list[np.ndarray]]]:
+        """(first row, the ids of each text and the id ``end``) of runs of ``texts``: at most ``rows`` texts, and ``size`` bytes unless one text has more."""
+        weights = np.nan_to_num(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(float))
+        at = 0
+        while at < len(texts):
+            n = max(1, int(np.searchsorted(np.cumsum(weights[at : at + rows]), size, "right")))
+            ids, ends = self.encode(texts.slice(at, n))
+            ids = np.insert(ids, ends, end)
+            yield at, np.split(ids, (ends + np.arange(1, n + 1))[:-1])
+            at += n
 
 
 @functools.lru_cache(maxsize=2)
