@@ -156,13 +156,15 @@ def removals(docs: DataFrame, words: int = 10) -> DataFrame:
     texts = docs.where(F.col("text").isNotNull()).select(d, F.xxhash64("text").alias("t"), "text")
     lines = written(_lines(texts), "lines")
     owners = lines.groupBy("h").agg(F.min(F.struct("d", "t", "places")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    owners = owners.select("h", F.col("first.d").alias("od"), F.col("first.t").alias("ot"), F.col("first.places").alias("theirs"))
+    # Written, so that both sides of the join are plain exchanges and a hot line's partition can be split.
+    owners = written(owners.select("h", F.col("first.d").alias("od"), F.col("first.t").alias("ot"), F.col("first.places").alias("theirs")), "owners")
     seeds = lines.join(owners, "h").where("d <> od or t <> ot")
     seed = F.struct("h", "words", "places", "numbers", "theirs")
     pairs = seeds.groupBy("d", "t", "od", "ot").agg(F.collect_set(seed).alias("seeds"), F.sum(F.col("words") * F.size("places")).alias("n"))
     found = _blocks(pairs.where(F.col("n") >= words).select("d", "t", "seeds"), words)
     gone = written(found.groupBy("d", "t").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("gone")))).alias("gone")), "gone")
     dropped(lines)
+    dropped(owners)
     return gone
 
 

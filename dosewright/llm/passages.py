@@ -255,11 +255,13 @@ def passages(docs: DataFrame, least: int = 50, similar: float = 0.8, k: int = 5,
     texts = _distinct_ids(docs)
     own = written(_seed_rows(texts, k, window), "seeds")
     owners = own.groupBy("h").agg(F.min(F.struct("d", "p")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    owners = owners.select("h", F.col("first.d").alias("o"), F.col("first.p").alias("q"))
+    # Written, so that both sides of the join are plain exchanges and a hot seed's partition can be split.
+    owners = written(owners.select("h", F.col("first.d").alias("o"), F.col("first.p").alias("q")), "owners")
     matches = own.join(owners, "h").where("d <> o").select("d", "o", "p", "q")
     pairs = matches.groupBy("d", "o").agg(F.collect_list(F.struct("p", "q")).alias("matches")).where(F.size("matches") > 1)
     chains = written(_chains(pairs, k), "chains")
     dropped(own)
+    dropped(owners)
 
     # The ranges that each chain needs of both texts, cut into blocks of words.
     sides = F.array(
