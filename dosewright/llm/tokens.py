@@ -3,7 +3,7 @@
 A byte-level BPE vocabulary with the usual word pattern never joins characters across a space that is
 followed by a non-space, so texts may be cut there. Arrow cuts a batch of texts and numbers its different
 pieces, each piece not seen before is encoded once, and numpy puts the ids of every text together. New
-pieces that are Latin letters, alone or before one mark, go straight to the library's BPE model; others go
+pieces that are Latin letters, alone or before marks, go straight to the library's BPE model; others go
 to the whole tokenizer. Texts with white space after a space, and texts for any other kind of tokenizer,
 are encoded whole.
 """
@@ -23,9 +23,8 @@ import pyarrow.compute as pc
 
 #: White space after a space, for RE2.
 _ODD = r" [\s\x0b\x1c-\x1f\x{85}\p{Z}]"
-#: Pieces of Latin letters alone, and the marks that may follow as a word of their own.
-_LETTERS = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
-_MARKS = frozenset(".,;:!?")
+#: Pieces of Latin letters, and the run of ASCII marks that may follow as a word of its own.
+_LETTERS = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-/:-@\[-`{-~]*)")
 
 
 def _byte_characters() -> dict[int, str]:
@@ -37,7 +36,7 @@ def _byte_characters() -> dict[int, str]:
 class Encoder:
     """Encodes batches of texts as unsigned 32-bit ids. ``memo`` bounds the pieces kept."""
 
-    def __init__(self, path: str, memo: int = 1_000_000):
+    def __init__(self, path: str, memo: int = 700_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -63,20 +62,22 @@ class Encoder:
 
     def _learn(self, new: list[str]) -> None:
         """Encode pieces not seen before; each follows a space."""
-        known, letters = self.pieces, _LETTERS.fullmatch
+        known, latin = self.pieces, _LETTERS.fullmatch
         words, marked, rest = [], [], []
         for x in new:
-            if letters(x):
-                words.append(x)
-            elif x[-1:] in _MARKS and letters(x[:-1]):
-                marked.append(x)
-            else:
+            m = latin(x)
+            if m is None:
                 rest.append(x)
-        words += {x[:-1] for x in marked}.difference(known, words)
+            elif m[2]:
+                marked.append((x, m[1], m[2]))
+            else:
+                words.append(x)
+        words += {w for _, w, _ in marked}.difference(known, words)
         shown = [self.space + (x if x.isascii() else x.encode().decode("latin-1").translate(self.stand_in)) for x in words]
         known.update(zip(words, self._ids(self.bare.encode_batch_fast(shown, add_special_tokens=False)), strict=True))
-        marks = dict(zip(_MARKS, self._whole(list(_MARKS)), strict=True)) if marked else {}
-        known.update([(x, known[x[:-1]] + marks[x[-1]]) for x in marked])
+        marks = list({m for _, _, m in marked})
+        alone = dict(zip(marks, self._whole(marks), strict=True))
+        known.update([(x, known[w] + alone[m]) for x, w, m in marked])
         known.update(zip(rest, self._whole([" " + x for x in rest]), strict=True))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
