@@ -1,15 +1,361 @@
-"""Queries over the driver's tables and the SQL they must agree with."""
+"""Queries over the driver's tables, and the SQL each must agree with, stated on its own."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from ..functions import exact
+from ..operators import calls, compare, enrich, intervals, score, terms
+from . import bridge
 
-def queries() -> dict:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+SITES = "sites AS (SELECT p_partkey AS partkey, CAST(p_partkey % 22 + 1 AS INTEGER) AS contig, p_partkey * 10 + 1 AS pos, substr('ACGT', CAST(p_partkey % 4 + 1 AS INTEGER), 1) AS ref, substr('ACGT', CAST((p_partkey + 1 + p_partkey % 3) % 4 + 1 AS INTEGER), 1) AS alt, p_size FROM part)"
+TERMS = f"""{SITES}, terms AS (SELECT t.*, contig, pos, ref, alt FROM (SELECT concat('S', CAST(l_suppkey % 8 AS VARCHAR)) AS pgs_id,
+  l_partkey * 6 + CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 2 ELSE 4 END + CASE WHEN l_suppkey % 2 = 0 THEN 1 ELSE 0 END AS ordinal,
+  l_partkey AS partkey, l_suppkey % 2 = 0 AS effect_is_alt, CASE l_returnflag WHEN 'A' THEN 'additive' WHEN 'N' THEN 'dominant' ELSE 'recessive' END AS model,
+  min(CAST(round(l_discount * 100) AS BIGINT)) - 5 AS w, l_partkey % 13 = 0 AS review, l_partkey % 11 <> 0 AS resolved
+  FROM lineitem GROUP BY l_suppkey % 8, l_partkey, l_returnflag, l_suppkey % 2 = 0) t JOIN sites USING (partkey))"""
+RECORDS = "records AS (SELECT o_custkey % 50 AS sample, l_partkey AS partkey, CAST(l_quantity AS INTEGER) AS depth, CAST(round(l_tax * 100) AS INTEGER) * 10 AS quality, l_linenumber % 3 AS dosage, l_linestatus, l_linenumber, l_orderkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
+CALLS = f"""{RECORDS}, calls AS (SELECT sample, partkey, state, CASE WHEN state LIKE 'observed%' THEN dosage END AS alt_dosage FROM (SELECT sample, partkey, dosage,
+  CASE WHEN n > 1 THEN 'ambiguous_overlapping_records' WHEN depth < 10 THEN 'low_quality' WHEN dosage > 0 THEN 'observed_variant' ELSE 'observed_reference' END AS state
+  FROM (SELECT sample, partkey, count(*) AS n, min(depth) AS depth, min(dosage) AS dosage FROM records GROUP BY sample, partkey)))"""
+OUTCOMES = f"""{TERMS}, {CALLS}, outcomes AS (SELECT *, CASE WHEN status = 'scorable_observation' THEN CASE model WHEN 'additive' THEN w * d WHEN 'dominant' THEN CASE WHEN d > 0 THEN w ELSE 0 END ELSE CASE WHEN d = 2 THEN w ELSE 0 END END END AS c
+  FROM (SELECT t.*, sample, state, CASE WHEN review THEN 'model_term_requires_review' WHEN NOT resolved THEN 'unresolved_orientation' WHEN state LIKE 'observed%' THEN 'scorable_observation' ELSE state END AS status,
+  CASE WHEN effect_is_alt THEN alt_dosage ELSE 2 - alt_dosage END AS d FROM terms t JOIN calls USING (partkey)))"""
+
+
+def hundredths(x: str) -> str:
+    return f"concat(CASE WHEN {x} < 0 THEN '-' ELSE '' END, CAST(abs({x}) // 100 AS VARCHAR), '.', lpad(CAST(abs({x}) % 100 AS VARCHAR), 2, '0'))"
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = bridge.terms(spark, sf_dir).drop("partkey", "w")
+    return score.outcomes(own, bridge.simple_calls(spark, sf_dir).drop("partkey"))
+
+
+_TEXT = "CASE WHEN count(c) = 0 THEN '0' ELSE " + hundredths("CAST(sum(coalesce(c, 0)) AS BIGINT)") + " END"
+
+
+@query(f"WITH {OUTCOMES} SELECT pgs_id, sample, count(*) AS terms, count(c) AS scorable, {_TEXT} AS partial_score, CASE WHEN count(c) = count(*) THEN {_TEXT} END AS complete_score FROM outcomes GROUP BY pgs_id, sample")
+def score_cohort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact scores of every sample."""
+    return score.scores(_outcomes(spark, sf_dir))
+
+
+@query(f"WITH {OUTCOMES} SELECT pgs_id, sample, status, count(*) AS n FROM outcomes GROUP BY ALL")
+def score_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score.states(_outcomes(spark, sf_dir))
+
+
+@query(f"""WITH {OUTCOMES} SELECT pgs_id, sample, count(*) AS terms, count(c) AS scorable, round(count(c) / count(*), 9) AS term_coverage,
+ round(CASE WHEN sum(abs(w)) > 0 THEN sum(CASE WHEN c IS NOT NULL THEN abs(w) ELSE 0 END) / sum(abs(w)) END, 9) AS weight_coverage,
+ count(c) >= 0.5 * count(*) AND sum(CASE WHEN c IS NOT NULL THEN abs(w) ELSE 0 END) >= 0.5 * sum(abs(w)) AND sum(abs(w)) > 0 AS covered FROM outcomes GROUP BY pgs_id, sample""")
+def score_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = score.coverage(_outcomes(spark, sf_dir), least=0.5)
+    return out.withColumn("term_coverage", F.round("term_coverage", 9)).withColumn("weight_coverage", F.round("weight_coverage", 9))
+
+
+@query(f"""WITH {OUTCOMES}, f AS (SELECT contig, pos, ref, alt, p_size % 100 AS f, partkey % 7 = 0 AS multi FROM sites WHERE partkey % 5 <> 0),
+ d AS (SELECT o.*, f.f, multi, CASE WHEN review THEN 'requires_review' WHEN model <> 'additive' THEN 'non_additive_model' WHEN NOT resolved THEN 'source_alleles_unresolved' WHEN f.f IS NULL THEN 'site_absent'
+   WHEN NOT effect_is_alt AND multi THEN 'multiallelic_reference_effect_allele' ELSE 'filled' END AS reason FROM outcomes o LEFT JOIN f USING (contig, pos) WHERE status <> 'scorable_observation')
+ SELECT pgs_id, reason, count(*) AS n, CAST(sum(CASE WHEN reason = 'filled' THEN w * 2 * CASE WHEN effect_is_alt THEN f ELSE 100 - f END ELSE 0 END) AS BIGINT) AS total FROM d GROUP BY pgs_id, reason""")
+def fill_by_reason(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frequency fills by reason, with exact sums in ten-thousandths."""
+    rows = enrich.fill_decisions(_outcomes(spark, sf_dir), bridge.frequencies(spark, sf_dir)).withColumn("reason", F.coalesce("reason", F.lit("filled")))
+    sums = exact.exact_sum(rows, ["pgs_id", "reason"], F.col("fill"))
+    counts = rows.groupBy("pgs_id", "reason").agg(F.count(F.lit(1)).alias("n"))
+    scaled = F.when(F.col("total.neg"), -F.col("total.digits").cast("long")).otherwise(F.col("total.digits").cast("long"))
+    return counts.join(sums, ["pgs_id", "reason"]).select("pgs_id", "reason", "n", scaled.alias("total"))
+
+
+@query(f"""WITH {OUTCOMES}, s AS (SELECT pgs_id, sample, CAST(sum(coalesce(c, 0)) AS BIGINT) AS v FROM outcomes GROUP BY ALL),
+ g AS (SELECT s.*, r_name AS grp FROM s JOIN customer ON c_custkey = sample + 1 JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+ p AS (SELECT a.pgs_id, a.sample, a.v, b.grp, count(*) AS n, count(*) FILTER (b.v < a.v) AS below, count(*) FILTER (b.v = a.v) AS equal, avg(b.v) AS m, CASE WHEN count(*) > 1 THEN stddev_samp(b.v) END AS sd FROM s a JOIN g b ON a.pgs_id = b.pgs_id GROUP BY ALL)
+ SELECT pgs_id, sample, grp, n, below, equal, round(100 * (below + equal / 2) / n, 6) AS percentile, round(CASE WHEN sd > 0 THEN (v - m) / sd END, 6) AS z FROM p""")
+def panel_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mid-rank percentile and Z of each sample's score within each group."""
+    own = score.scores(_outcomes(spark, sf_dir)).select("pgs_id", "sample", F.round(F.col("partial_score").cast("double") * 100).cast("long").alias("v"))
+    return enrich.mid_rank_percentiles(_by_group(spark, sf_dir, own), own.join(_groups(spark, sf_dir), "sample").withColumnRenamed("v", "r"), ["pgs_id", "grp"], "v", "r").select(
+        "pgs_id", "sample", "grp", "n", "below", "equal", F.round("percentile", 6).alias("percentile"), F.round("z", 6).alias("z")
+    )
+
+
+def _groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = bridge.table(spark, sf_dir, "customer").join(bridge.table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    own = own.join(bridge.table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return own.select((F.col("c_custkey") - 1).alias("sample"), F.col("r_name").alias("grp"))
+
+
+def _by_group(spark: SparkSession, sf_dir: str, own: DataFrame) -> DataFrame:
+    """Each value beside every group that its score's samples belong to."""
+    met = own.join(_groups(spark, sf_dir), "sample").select("pgs_id", "grp").distinct()
+    return own.join(met, "pgs_id")
+
+
+@query(f"""WITH {SITES}, {CALLS}, g AS (SELECT c_custkey - 1 AS sample, r_name AS grp FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+ s AS (SELECT contig, pos, grp, sum(alt_dosage) AS alts, count(*) AS called FROM calls JOIN sites USING (partkey) JOIN g USING (sample) WHERE alt_dosage IS NOT NULL GROUP BY ALL)
+ SELECT contig, pos, grp, CAST(alts AS BIGINT) AS alts, called, round(alts / (2 * called), 6) AS frequency, round(sum(alts) OVER (PARTITION BY contig, pos) / (2 * sum(called) OVER (PARTITION BY contig, pos)), 6) AS all_frequency FROM s""")
+def group_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = enrich.group_frequencies(bridge.simple_calls(spark, sf_dir), _groups(spark, sf_dir), ["contig", "pos"])
+    return own.select("contig", "pos", "grp", "alts", "called", F.round("frequency", 6).alias("frequency"), F.round("all_frequency", 6).alias("all_frequency"))
+
+
+_LIKELY = f"""WITH {SITES}, {CALLS}, g AS (SELECT c_custkey - 1 AS sample, r_name AS grp FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+ c AS (SELECT sample, contig, pos, alt_dosage AS d FROM calls JOIN sites USING (partkey) WHERE alt_dosage IS NOT NULL),
+ f AS (SELECT contig, pos, grp, greatest(0.001, least(0.999, sum(d) / (2 * count(*)))) AS p FROM c JOIN g USING (sample) GROUP BY ALL),
+ k AS (SELECT contig, pos FROM (SELECT contig, pos, row_number() OVER (PARTITION BY contig ORDER BY pos) - 1 AS k FROM (SELECT DISTINCT contig, pos FROM f)) WHERE k % 20 = 0),
+ l AS (SELECT sample, grp, sum(CASE d WHEN 0 THEN 2 * ln(1 - p) WHEN 1 THEN ln(2 * p * (1 - p)) ELSE 2 * ln(p) END) AS ll, count(*) AS n FROM c JOIN f USING (contig, pos) JOIN k USING (contig, pos) GROUP BY ALL)"""
+
+
+def _likelihoods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = bridge.simple_calls(spark, sf_dir)
+    return enrich.log_likelihoods(own.select("sample", "contig", "pos", "alt_dosage"), enrich.group_frequencies(own, _groups(spark, sf_dir), ["contig", "pos"]), ["contig", "pos"])
+
+
+@query(f"{_LIKELY} SELECT sample, grp, n AS sites, round(ll, 6) AS log_likelihood FROM l")
+def group_likelihoods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _likelihoods(spark, sf_dir).select("sample", "grp", "sites", F.round("log_likelihood", 6).alias("log_likelihood"))
+
+
+@query(f"{_LIKELY} SELECT sample, grp FROM l QUALIFY row_number() OVER (PARTITION BY sample ORDER BY ll DESC, grp DESC) = 1")
+def nearest_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return enrich.nearest_group(_likelihoods(spark, sf_dir))
+
+
+@query(f"""WITH {OUTCOMES}, w AS (SELECT pgs_id, sample, contig, pos // 5000 AS win, CAST(sum(c) AS BIGINT) AS v FROM outcomes WHERE c IS NOT NULL GROUP BY ALL), t AS (SELECT *, sum(v) OVER (PARTITION BY pgs_id, sample) AS total FROM w)
+ SELECT pgs_id, sample, CAST(total AS BIGINT) AS total, contig, win AS "window", v AS deviation FROM t QUALIFY row_number() OVER (PARTITION BY pgs_id, sample ORDER BY CASE WHEN total < 0 THEN -v ELSE v END DESC, contig DESC, win DESC) = 1""")
+def placement_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Position windows of contributions, and the one that leads in the score's direction."""
+    own = _outcomes(spark, sf_dir).where("status = 'scorable_observation'")
+    w = F.col("weight")
+    value = F.when(w["neg"], -w["digits"].cast("long")).otherwise(w["digits"].cast("long")) * F.col("times")
+    return enrich.windows(own.withColumn("deviation", value.cast("long")), ["pgs_id", "sample"], 5000)
+
+
+_BOUNDS = f"""{OUTCOMES}, b AS (SELECT *, CASE model WHEN 'additive' THEN least(0, 2 * w) ELSE least(0, w) END AS lower, CASE model WHEN 'additive' THEN greatest(0, 2 * w) ELSE greatest(0, w) END AS upper FROM outcomes WHERE status <> 'scorable_observation')"""
+
+
+@query(f"WITH {_BOUNDS} SELECT pgs_id, sample, CAST(sum(lower) AS BIGINT) AS lower, CAST(sum(upper) AS BIGINT) AS upper, count(*) AS missing FROM b GROUP BY ALL")
+def missing_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = enrich.envelope(enrich.bounds(_outcomes(spark, sf_dir)), ["pgs_id", "sample"])
+    return out.select("pgs_id", "sample", F.col("lower").cast("long").alias("lower"), F.col("upper").cast("long").alias("upper"), "missing")
+
+
+@query(f"WITH {_BOUNDS} SELECT pgs_id, sample, ordinal, status, row_number() OVER (PARTITION BY pgs_id, sample ORDER BY greatest(abs(lower), abs(upper)) DESC, ordinal) AS rank FROM b QUALIFY rank <= 20")
+def missing_top_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 missing terms that could matter most (a top-k report)."""
+    return enrich.ranked(enrich.bounds(_outcomes(spark, sf_dir)), ["pgs_id", "sample"]).select("pgs_id", "sample", "ordinal", "status", "rank")
+
+
+_DECIMALS = "SELECT concat(CASE WHEN l_linenumber % 4 = 0 THEN '-' ELSE '' END, CAST(l_partkey % 1000 AS VARCHAR), '.', lpad(CAST(l_suppkey % 100 AS VARCHAR), 2, '0'), CASE WHEN l_linenumber % 3 = 0 THEN '0' ELSE '' END) AS v, l_returnflag AS k, l_linenumber AS n FROM lineitem"
+
+
+@query(f"""WITH x AS ({_DECIMALS}), y AS (SELECT k, n, CAST(sum(CAST(v AS DECIMAL(20, 3))) * 1000 AS BIGINT) AS t, max(CASE WHEN n % 3 = 0 THEN 3 ELSE 2 END) AS e FROM x GROUP BY k, n)
+ SELECT k, n, concat(CASE WHEN t < 0 THEN '-' ELSE '' END, CAST(abs(t) // 1000 AS VARCHAR), '.', substr(lpad(CAST(abs(t) % 1000 AS VARCHAR), 3, '0'), 1, e)) AS total FROM y""")
+def exact_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact sums of decimal texts, whose text keeps the smallest exponent."""
+    own = _decimal_texts(spark, sf_dir)
+    return exact.exact_sum(own, ["k", "n"], exact.parse(F.col("v"))).select("k", "n", exact.text(F.col("total")).alias("total"))
+
+
+def _decimal_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("l_linenumber")
+    v = F.concat(F.when(n % 4 == 0, "-").otherwise(""), (F.col("l_partkey") % 1000).cast("string"), F.lit("."), F.lpad((F.col("l_suppkey") % 100).cast("string"), 2, "0"), F.when(n % 3 == 0, "0").otherwise(""))
+    return bridge.table(spark, sf_dir, "lineitem").select(v.alias("v"), F.col("l_returnflag").alias("k"), n.alias("n"))
+
+
+@query(f"WITH x AS ({_DECIMALS}) SELECT v, ltrim(v, '-') AS magnitude, v AS plain, rank() OVER (ORDER BY CAST(v AS DECIMAL(20, 3))) AS place FROM (SELECT DISTINCT v FROM x WHERE n < 3)")
+def decimal_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of decimals, and their places in exact order."""
+    from pyspark.sql import Window
+
+    own = _decimal_texts(spark, sf_dir).where("n < 3").select("v").distinct().withColumn("x", exact.parse(F.col("v")))
+    counts = own.groupBy(exact.value_key(F.col("x")).alias("key")).agg(F.collect_list(F.struct("v", "x")).alias("own"), F.count(F.lit(1)).alias("n"))
+    by = Window.orderBy("key").rowsBetween(Window.unboundedPreceding, -1)
+    placed = counts.withColumn("place", F.coalesce(F.sum("n").over(by), F.lit(0)) + 1).select(F.explode("own").alias("r"), "place")
+    return placed.select("r.v", F.ltrim(F.col("r.v"), F.lit("-")).alias("magnitude"), exact.plain(F.col("r.x")).alias("plain"), "place")
+
+
+@query(f"""WITH {SITES}, e AS (SELECT event_id, CAST(event_id % 22 + 1 AS INTEGER) AS contig, event_id * 7 % 20000 AS low, event_id * 7 % 20000 + event_id % 900 AS high FROM events)
+ SELECT partkey, event_id FROM sites JOIN e USING (contig) WHERE low <= pos + 3 AND high >= pos""")
+def range_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlaps of sites of four bases with intervals of very different lengths."""
+    own = bridge.sites(spark, sf_dir).select("partkey", "contig", "pos", (F.col("pos") + 3).alias("last"))
+    return intervals.range_join(own, _spans(spark, sf_dir), ["contig"], ("pos", "last"), ("low", "high"), 512).select("partkey", "event_id")
+
+
+def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("event_id")
+    return bridge.table(spark, sf_dir, "events").select("event_id", (k % 22 + 1).cast("int").alias("contig"), (k * 7 % 20000).alias("low"), (k * 7 % 20000 + k % 900).alias("high"))
+
+
+@query(f"""WITH {SITES}, r AS (SELECT concat('R', CAST(s_suppkey % 9 AS VARCHAR)) AS name, CAST(s_suppkey % 22 + 1 AS INTEGER) AS contig, s_suppkey * 150 AS start0, s_suppkey * 150 + s_suppkey % 7 * 400 AS end_ FROM supplier)
+ SELECT name, count(*) AS n, CAST(sum(pos) AS BIGINT) AS total FROM sites JOIN r USING (contig) WHERE start0 < pos AND pos <= end_ GROUP BY name""")
+def region_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    regions = bridge.table(spark, sf_dir, "supplier").select(F.concat(F.lit("R"), k % 9).alias("name"), (k % 22 + 1).cast("int").alias("contig"), (k * 150).alias("start0"), (k * 150 + k % 7 * 400).alias("end_"))
+    pairs = intervals.points_in_regions(bridge.sites(spark, sf_dir), regions, ["contig"], width=4096)
+    return pairs.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.sum("pos").alias("total"))
+
+
+@query("""WITH b AS (SELECT user_id, event_id * 37 % 4000 AS low, event_id * 37 % 4000 + event_id % 300 AS high FROM events), m AS (SELECT user_id, low, high, max(high) OVER (PARTITION BY user_id ORDER BY low, high ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM b)
+ SELECT user_id, bool_and(low <= coalesce(reach, 99) + 1) AND min(low) <= 100 AND max(high) >= 3500 AS covered FROM m GROUP BY user_id""")
+def gapless_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("event_id")
+    blocks = bridge.table(spark, sf_dir, "events").select("user_id", (k * 37 % 4000).alias("start"), (k * 37 % 4000 + k % 300).alias("end"), F.lit(100).alias("low"), F.lit(3500).alias("high"))
+    return intervals.gapless(blocks, ["user_id"], "start", "end", "low", "high")
+
+
+@query(f"""WITH {SITES}, {RECORDS}, t AS (SELECT sample, partkey, count(*) AS n, min(depth) AS depth, min(quality) AS quality, min(dosage) AS dosage, min(l_linestatus) AS st, min(l_linenumber) AS ln FROM records GROUP BY ALL)
+ SELECT state, count(*) AS n, CAST(sum(alt_dosage) AS BIGINT) AS dosages FROM (SELECT state, CASE state WHEN 'observed_variant' THEN dosage WHEN 'observed_reference' THEN 0 END AS alt_dosage FROM (SELECT *, CASE WHEN partkey % 17 = 0 THEN 'reference_mismatch' WHEN n > 1 THEN 'ambiguous_overlapping_records'
+ WHEN ln = 5 THEN 'no_call' WHEN ln = 6 THEN 'partial_no_call' WHEN st = 'F' AND partkey % 3 = 0 THEN 'filtered' WHEN depth < 10 OR quality < 20 THEN 'low_quality' WHEN partkey % 19 = 0 THEN 'other_called_allele' WHEN dosage > 0 THEN 'observed_variant' ELSE 'observed_reference' END AS state FROM t)) GROUP BY state""")
+def genotype_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ordered genotype rules over the records of each sample and site."""
+    n, d = F.col("l_linenumber"), F.col("dosage")
+    own = bridge.records(spark, sf_dir).join(bridge.sites(spark, sf_dir), "partkey")
+    gt = F.when(n == 5, "./.").when(n == 6, "./1").when((F.col("partkey") % 19 == 0), "0/2").when(d == 0, "0/0").when(d == 1, "0/1").otherwise("1/1")
+    alts = F.when(F.col("partkey") % 19 == 0, F.array("alt", F.lit("N"))).otherwise(F.array("alt"))
+    filters = F.array(F.when((F.col("l_linestatus") == "F") & (F.col("partkey") % 3 == 0), "LowQual").otherwise("PASS"))
+    record = F.struct(F.col("pos"), F.col("pos").alias("end_"), "ref", alts.alias("alts"), filters.alias("filters"), calls.genotype(gt).alias("gt"), F.lit(None).cast("string").alias("ft"), F.col("depth").cast("double").alias("depth"), F.col("quality").cast("double").alias("quality"), F.lit(True).alias("anchor_ok"))
+    groups = own.groupBy("sample", "partkey", "contig", "pos", "ref", "alt").agg(F.array_sort(F.collect_list(F.struct("l_orderkey", "l_linenumber", record.alias("r")))).alias("x"))
+    groups = groups.withColumn("records", F.col("x.r")).withColumn("reference_ok", F.col("partkey") % 17 != 0)
+    return calls.classify(groups).groupBy("state").agg(F.count(F.lit(1)).alias("n"), F.sum("alt_dosage").alias("dosages"))
+
+
+@query(f"WITH {TERMS} SELECT contig, pos, ref, alt FROM terms WHERE pgs_id = 'S1' UNION SELECT contig, pos, ref, alt FROM terms WHERE pgs_id = 'S2'")
+def target_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = bridge.terms(spark, sf_dir)
+    return terms.targets(own.where("pgs_id = 'S1'"), own.where("pgs_id = 'S2'"))
+
+
+@query("WITH d AS (SELECT source, text, count(*) AS n FROM documents GROUP BY ALL) SELECT doc_id, n > 1 AS duplicate FROM documents JOIN d USING (source, text)")
+def duplicate_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Marks every copy of a line found twice or more in its file."""
+    return terms.mark_duplicates(bridge.table(spark, sf_dir, "documents"), "source", "text").select("doc_id", "duplicate")
+
+
+_ALLELES = "SELECT p_brand AS score, p_partkey AS k, CAST(p_partkey % 22 + 1 AS INTEGER) AS contig, p_partkey * 10 + 1 AS pos, substr('ACGT', CAST(p_partkey % 4 + 1 AS INTEGER), 1) AS base, substr('ACGT', CAST(p_partkey * 7 // 3 % 4 + 1 AS INTEGER), 1) AS e, CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE substr('ACGT', CAST(p_size % 4 + 1 AS INTEGER), 1) END AS o FROM part"
+_ORIENTED = f"""WITH a AS ({_ALLELES}), b AS (SELECT *, e = base OR o = base AS direct, translate(e, 'ACGT', 'TGCA') = base OR translate(o, 'ACGT', 'TGCA') = base AS turned FROM a),
+ c AS (SELECT *, CASE WHEN o IS NULL OR e = o THEN 'unresolved_source_alleles' WHEN direct <> turned THEN 'resolved' WHEN e = translate(o, 'ACGT', 'TGCA') THEN 'palindromic_orientation_unresolved' ELSE 'allele_representation_unresolved' END AS status FROM b)"""
+
+
+def _alleles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    base = lambda n: F.substr(F.lit("ACGT"), (n % 4 + 1).cast("int"), F.lit(1))
+    return bridge.table(spark, sf_dir, "part").select(F.col("p_brand").alias("score"), k.alias("k"), (k % 22 + 1).cast("int").alias("contig"), (k * 10 + 1).alias("pos"), base(k).alias("base"), base((k * 7 / 3).cast("long")).alias("effect_allele"), F.when(k % 5 != 0, base(F.col("p_size"))).alias("other_allele"))
+
+
+@query(f"""{_ORIENTED} SELECT k, status, CASE WHEN status = 'resolved' THEN CASE WHEN direct THEN 'direct' ELSE 'complement' END END AS method,
+ CASE WHEN status = 'resolved' THEN (CASE WHEN direct THEN e ELSE translate(e, 'ACGT', 'TGCA') END) <> base END AS effect_is_alt, CASE WHEN status = 'resolved' THEN base END AS ref,
+ CASE WHEN status = 'resolved' THEN CASE WHEN (CASE WHEN direct THEN e ELSE translate(e, 'ACGT', 'TGCA') END) = base THEN (CASE WHEN direct THEN o ELSE translate(o, 'ACGT', 'TGCA') END) ELSE (CASE WHEN direct THEN e ELSE translate(e, 'ACGT', 'TGCA') END) END END AS alt FROM c""")
+def orientation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return terms.orient(_alleles(spark, sf_dir)).select("k", "status", "method", "effect_is_alt", "ref", "alt")
+
+
+@query(f"{_ORIENTED} SELECT score, count(*) FILTER (status = 'resolved' AND direct) AS forward, count(*) FILTER (status = 'resolved' AND NOT direct) AS turned, count(*) FILTER (status = 'resolved') >= 5 AND count(*) FILTER (status = 'resolved' AND direct) >= 0.5 * count(*) FILTER (status = 'resolved') AS consistent FROM c GROUP BY score")
+def strand_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return terms.strand_evidence(terms.orient(_alleles(spark, sf_dir)), "score", 5, 0.5)
+
+
+@query(f"WITH a AS ({_ALLELES}) SELECT score, count(*) AS eligible, count(*) FILTER (e <> base) AS alts, CASE WHEN count(*) FILTER (e <> base) >= 0.6 * count(*) THEN 'effect_is_alt' WHEN count(*) FILTER (e = base) >= 0.6 * count(*) THEN 'effect_is_ref' END AS convention FROM a WHERE o IS NULL GROUP BY score")
+def effect_convention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return terms.convention(_alleles(spark, sf_dir), "score", "base", "effect_allele", "other_allele", 0.6)
+
+
+@query("SELECT p_size, min(p_partkey) AS p_partkey, min(p_brand) AS p_brand FROM part GROUP BY p_size, p_type HAVING count(*) = 1")
+def exactly_one(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return terms.exactly_one(bridge.table(spark, sf_dir, "part"), ["p_size", "p_type"], ["p_partkey", "p_brand"]).drop("p_type")
+
+
+@query("SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS ordinal FROM events")
+def source_ordinals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return terms.ordinals(bridge.table(spark, sf_dir, "events"), "user_id", ["ts", "event_id"]).select("event_id", F.col("ordinal").cast("long").alias("ordinal"))
+
+
+@query("""WITH x AS (SELECT user_id, event_id, event_id % 3 AS c, event_id * 11 % 97 AS p FROM events), y AS (SELECT *, lag(c) OVER w AS pc, lag(p) OVER w AS pp FROM x WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
+ SELECT user_id, count(*) FILTER (pc = c AND p < pp) AS unsorted, count(*) FILTER (pc IS NULL OR pc <> c) - count(DISTINCT c) AS reopened FROM y GROUP BY user_id""")
+def order_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("event_id")
+    own = bridge.table(spark, sf_dir, "events").select("user_id", "event_id", (k % 3).alias("contig"), (k * 11 % 97).alias("pos"))
+    return compare.sorted_and_contiguous(own, "user_id", "event_id")
+
+
+_SIDES = """l AS (SELECT o_custkey AS sample, o_orderpriority AS pgs_id, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS score FROM orders WHERE o_orderkey % 9 <> 0 GROUP BY ALL),
+ r AS (SELECT o_custkey AS sample, o_orderpriority AS pgs_id, CAST(sum(CASE WHEN o_orderkey % 10 = 1 THEN CAST(round(o_totalprice * 100) AS BIGINT) + o_orderkey % 5 ELSE CAST(round(o_totalprice * 100) AS BIGINT) END) AS BIGINT) AS score FROM orders WHERE o_orderkey % 8 <> 0 GROUP BY ALL)"""
+
+
+def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    k, cents = F.col("o_orderkey"), F.round(F.col("o_totalprice") * 100).cast("long")
+    own = bridge.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("sample"), F.col("o_orderpriority").alias("pgs_id"), k, cents.alias("c"))
+    left = own.where(k % 9 != 0).groupBy("sample", "pgs_id").agg(F.sum("c").cast("decimal(38,12)").alias("score"))
+    right = own.where(k % 8 != 0).groupBy("sample", "pgs_id").agg(F.sum(F.when(k % 10 == 1, F.col("c") + k % 5).otherwise(F.col("c"))).cast("decimal(38,12)").alias("score"))
+    return left, right
+
+
+@query(f"""WITH {_SIDES} SELECT CASE WHEN r.sample IS NULL THEN 'left_only' WHEN l.sample IS NULL THEN 'right_only' WHEN l.score = r.score THEN 'exact' WHEN abs(r.score - l.score) <= 2 THEN 'within_tolerance' ELSE 'different' END AS status, count(*) AS n
+ FROM l FULL JOIN r ON l.sample = r.sample AND l.pgs_id = r.pgs_id GROUP BY 1""")
+def compare_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare.status_counts(compare.compare_scores(*_sides(spark, sf_dir), absolute=2.0))
+
+
+@query("""WITH l AS (SELECT o_orderkey AS ordinal, o_orderstatus AS s, o_orderpriority AS p FROM orders WHERE o_orderkey % 7 <> 0), r AS (SELECT o_orderkey AS ordinal, CASE WHEN o_orderkey % 6 = 0 THEN 'X' ELSE o_orderstatus END AS s, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE o_orderpriority END AS p FROM orders WHERE o_orderkey % 11 <> 0),
+ j AS (SELECT coalesce(l.ordinal, r.ordinal) AS ordinal, CASE WHEN r.ordinal IS NULL THEN 'left_only' WHEN l.ordinal IS NULL THEN 'right_only' ELSE 'both' END AS side, concat_ws(',', CASE WHEN l.s IS DISTINCT FROM r.s THEN 's' END, CASE WHEN l.p IS DISTINCT FROM r.p THEN 'p' END) AS changed FROM l FULL JOIN r ON l.ordinal = r.ordinal) SELECT * FROM j WHERE side <> 'both' OR changed <> ''""")
+def compare_term_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    own = bridge.table(spark, sf_dir, "orders")
+    left = own.where(k % 7 != 0).select(k.alias("ordinal"), F.col("o_orderstatus").alias("s"), F.col("o_orderpriority").alias("p"))
+    right = own.where(k % 11 != 0).select(k.alias("ordinal"), F.when(k % 6 == 0, "X").otherwise(F.col("o_orderstatus")).alias("s"), F.when(k % 4 != 0, F.col("o_orderpriority")).alias("p"))
+    return compare.compare_terms(left, right, ["ordinal"], ["s", "p"]).select("ordinal", "side", F.array_join("changed_fields", ",").alias("changed"))
+
+
+@query("SELECT o_orderkey AS ordinal, o_orderstatus FROM orders WHERE o_orderkey > 100 ORDER BY o_orderkey LIMIT 50")
+def evidence_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page of rows after an ordinal (a paging feature)."""
+    return compare.page(bridge.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("ordinal"), "o_orderstatus"), 100, 50)
+
+
+@query("SELECT c_name, CASE WHEN regexp_full_match(v, '(chr)?([1-9]|1[0-9]|2[0-2])') THEN CAST(replace(v, 'chr', '') AS INTEGER) WHEN v IN ('X', 'chrX') THEN 23 END AS code FROM (SELECT c_name, CASE c_custkey % 4 WHEN 0 THEN concat('chr', CAST(c_custkey % 30 AS VARCHAR)) WHEN 1 THEN CAST(c_custkey % 30 AS VARCHAR) WHEN 2 THEN 'chrX' ELSE concat('0', CAST(c_custkey % 9 AS VARCHAR)) END AS v FROM customer)")
+def contig_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    v = F.when(k % 4 == 0, F.concat(F.lit("chr"), k % 30)).when(k % 4 == 1, (k % 30).cast("string")).when(k % 4 == 2, "chrX").otherwise(F.concat(F.lit("0"), k % 9))
+    return bridge.table(spark, sf_dir, "customer").select("c_name", terms.contig_code(v).cast("int").alias("code"))
+
+
+@query("SELECT conv_id, turn, concat('sha256:', sha256(text)) AS digest, translate(substr(text, 1, 20), 'ACGT', 'TGCA') AS turned FROM conversations")
+def digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bridge.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(F.lit("sha256:"), F.sha2("text", 256)).alias("digest"), terms.complement(F.substring("text", 1, 20)).alias("turned"))
+
+
+@query(f"WITH {TERMS}, {CALLS} SELECT partkey, count(*) AS n FROM terms WHERE partkey NOT IN (SELECT partkey FROM calls) GROUP BY partkey")
+def absent_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms whose site no sample has (anti join)."""
+    found = bridge.records(spark, sf_dir).select("partkey").distinct()
+    return bridge.terms(spark, sf_dir).join(found, "partkey", "left_anti").groupBy("partkey").agg(F.count(F.lit(1)).alias("n"))
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_cohort(spark, sf_dir)
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
