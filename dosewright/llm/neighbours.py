@@ -82,6 +82,7 @@ def _search(tree: Tree, rows: np.ndarray, ids: np.ndarray, projected: np.ndarray
     visit = np.argsort(far, kind="stable")
     norm = np.sqrt(query @ query)
     best_ids, best_scores, best_far = np.empty(0, np.int64), np.empty(0), np.empty(0)
+    slack = 1e-9 * norm * np.sqrt(radius2)
     at, some = 0, 4
     while at < len(visit):
         d2 = far[visit[at]]
@@ -89,9 +90,16 @@ def _search(tree: Tree, rows: np.ndarray, ids: np.ndarray, projected: np.ndarray
             r2 = max(0.0, 2 * radius2 - 2 * np.sqrt(radius2) * best_scores[-1] / norm)
             if d2 >= point * r2 and d2 > best_far.max() * (1 + 1e-9):
                 break
-        own = np.concatenate([np.arange(tree.starts[x], tree.ends[x]) for x in visit[at : at + some]])
+        leaves = [slice(tree.starts[x], tree.ends[x]) for x in visit[at : at + some]]
         at, some = at + some, some * 2
+        # Fast scores choose the rows that may be among the best; those are scored again, each in the same order of sums.
+        rough = np.concatenate([rows[x] @ query for x in leaves])
+        least = best_scores[-1] if len(best_ids) == k else np.partition(rough, -k - 1)[-k - 1] if len(rough) > k + 1 else -np.inf
+        likely = np.flatnonzero(rough >= least - slack)
+        own = np.concatenate([np.arange(x.start, x.stop) for x in leaves])[likely]
         own = own[ids[own] != query_id]
+        if not len(own):
+            continue
         scores = np.einsum("ij,j->i", rows[own], query)  # a row's sum does not depend on its place, so equal vectors tie
         near = ((projected[own] - seen) ** 2).sum(axis=1)
         best_ids, best_scores, best_far = (np.concatenate(x) for x in ((best_ids, ids[own]), (best_scores, scores), (best_far, near)))
