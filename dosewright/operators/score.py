@@ -43,10 +43,12 @@ def hemizygous(rows: DataFrame, karyotype: str = "XY") -> DataFrame:
     if karyotype != "XY":
         return rows
     single = (F.col("contig") == 23) & ~in_par(F.col("pos")) & (F.col("status") == "scorable_observation")
-    mixed = single & (F.col("effect_dosage") == 1)
-    out = rows.withColumn("status", F.when(mixed, "heterozygous_call_in_hemizygous_region").otherwise(F.col("status")))
-    out = out.withColumn("times", F.when(mixed, None).when(single & (F.col("model") == "additive"), (F.col("times") / 2).cast("int")).otherwise(F.col("times")))
-    return out.withColumn("effect_dosage", F.when(mixed, None).when(single, (F.col("effect_dosage") / 2).cast("int")).otherwise(F.col("effect_dosage")))
+    out = rows.withColumn("__single", single).withColumn("__mixed", F.col("__single") & (F.col("effect_dosage") == 1))
+    half = F.col("__single") & (F.col("model") == "additive")
+    times = F.when(F.col("__mixed"), None).when(half, (F.col("times") / 2).cast("int")).otherwise(F.col("times"))
+    dosage = F.when(F.col("__mixed"), None).when(F.col("__single"), (F.col("effect_dosage") / 2).cast("int")).otherwise(F.col("effect_dosage"))
+    status = F.when(F.col("__mixed"), "heterozygous_call_in_hemizygous_region").otherwise(F.col("status"))
+    return out.withColumns({"times": times, "effect_dosage": dosage, "status": status}).drop("__single", "__mixed")
 
 
 def scores(rows: DataFrame, keys: tuple[str, ...] = ("pgs_id", "sample")) -> DataFrame:
