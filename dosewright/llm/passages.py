@@ -250,7 +250,7 @@ def _distinct_ids(docs: DataFrame) -> DataFrame:
     return rows.groupBy("d").agg(F.min("text").alias("text"))
 
 
-def passages(docs: DataFrame, least: int = 50, similar: float = 0.8, k: int = 5, window: int = 16, margin: int = 64, block: int = 256) -> DataFrame:
+def passages(docs: DataFrame, least: int = 50, similar: float = 0.8, k: int = 7, window: int = 14, margin: int = 64, block: int = 256) -> DataFrame:
     """Passages of ``docs`` (doc_id, text) that an earlier document has too: a row per passage and earlier copy."""
     texts = _distinct_ids(docs)
     own = written(_seed_rows(texts, k, window), "seeds")

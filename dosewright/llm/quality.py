@@ -7,7 +7,7 @@ A line with at least one word fails if it is
 * shouted: more than half of its words (of two letters or more) are in capitals, for 3 words or more,
 * stuttering: more than a third of its words equal the word before, for 6 words or more,
 * emphatic: more than 3 of 10 words end in ``!!`` or ``??``,
-* not a sentence: it does not end in terminal punctuation (closing quotes and brackets may follow),
+* a label: fewer than 6 words that do not end in terminal punctuation (closing quotes and brackets may follow),
 * boilerplate: it holds one of the phrases of ``BOILERPLATE``, or
 * a repetition: equal to an earlier line of the document.
 
@@ -89,7 +89,7 @@ def line_fails(line: str, words: list[str], symbols: float = 0.1) -> bool:
     n = len(words)
     if sum(map(line.count, SYMBOLS)) > symbols * n:
         return True
-    if not _ENDS.search(line.rstrip(SPACE)):
+    if n < 6 and not _ENDS.search(line.rstrip(SPACE)):
         return True
     if n >= 3 and 2 * sum(len(w) > 1 and w.isupper() for w in words) > n:
         return True
