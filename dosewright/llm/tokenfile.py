@@ -121,13 +121,14 @@ def read_documents(spark: SparkSession, path: str, with_ids: bool = False) -> Da
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
-                ids = unpack_bits(r["payload"], r["width"], 0, r["n_ids"])
-                ends = np.asarray(r["doc_ends"], np.int64)
+            own = {n: batch.column(n) for n in ("width", "n_ids", "first", "shard_first", "doc_ids", "doc_ends", "payload")}
+            for k in range(batch.num_rows):
+                payload, width, n = own["payload"][k].as_buffer(), own["width"][k].as_py(), own["n_ids"][k].as_py()
+                ids, ends = unpack_bits(payload, width, 0, n), own["doc_ends"][k].values.to_numpy()
                 starts = np.concatenate([[0], ends[:-1]])
-                out = {"doc_id": pa.array(r["doc_ids"], pa.int64()), "start": pa.array(starts + r["shard_first"] + r["first"]), "n_tokens": pa.array(ends - starts)}
                 parts = [ids[a:b] for a, b in zip(starts, ends, strict=True)]
-                out["ids_crc32"] = pa.array([zlib.crc32(x.tobytes()) for x in parts], pa.int64())
+                out = {"doc_id": own["doc_ids"][k].values, "start": pa.array(starts + own["shard_first"][k].as_py() + own["first"][k].as_py()), "n_tokens": pa.array(ends - starts)}
+                out["ids_crc32"] = pa.array([zlib.crc32(x) for x in parts], pa.int64())
                 if with_ids:
                     out["ids"] = pa.array([x.astype(np.int64) for x in parts], pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_pydict(out)

@@ -21,8 +21,6 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: White space after a space, for RE2.
-_ODD = r" [\s\x0b\x1c-\x1f\x{85}\p{Z}]"
 #: Pieces of Latin letters, and the run of ASCII marks that may follow as a word of its own.
 _LETTERS = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-/:-@\[-`{-~]*)")
 
@@ -86,12 +84,18 @@ class Encoder:
         if not self.cuts:
             own = self._whole(texts.to_pylist())
             return np.frombuffer(b"".join(own), "<u4"), np.cumsum([len(x) // 4 for x in own])
-        odd = np.flatnonzero(pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False))
         cut = pc.split_pattern(texts, " ")
         edges = cut.offsets.to_numpy()
         numbered = cut.values.slice(edges[0], edges[-1] - edges[0]).dictionary_encode()
         edges = edges - edges[0]
         index, pieces = numbered.indices.to_numpy().astype(np.int64), numbered.dictionary.to_pylist()
+        # A text with white space after a space is odd; an empty piece at its end is not.
+        blank = np.fromiter((not p or p[0].isspace() for p in pieces), bool, len(pieces))[index]
+        blank[edges[:-1]] = False
+        if "" in pieces:
+            last = edges[1:] - 1
+            blank[last[index[last] == pieces.index("")]] = False
+        odd = np.unique(np.searchsorted(edges, np.flatnonzero(blank), "right") - 1)
         # First pieces follow no space; of odd texts, the first piece stands for the whole and the rest for nothing.
         first = pc.list_element(cut, 0).to_pylist()
         index[edges[:-1]] = len(pieces) + np.arange(len(texts))
