@@ -50,6 +50,7 @@ class Encoder:
         self.space = self.stand_in[32]
         self.bound = memo
         self.pieces: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     @staticmethod
     def _ids(encodings: list) -> list[bytes]:
@@ -102,11 +103,14 @@ class Encoder:
         for k in odd.tolist():
             first[k] = texts[k].as_py()
             index[edges[k] + 1 : edges[k + 1]] = len(pieces) + len(texts)
-        if len(self.pieces) > self.bound:
-            self.pieces = {}
+        if 2 * len(self.pieces) > self.bound:  # the older half goes; what is met again moves to the newer half
+            self.older, self.pieces = self.pieces, {}
         found = list(map(self.pieces.get, pieces))
         if None in found:
-            self._learn([x for x, y in zip(pieces, found, strict=True) if y is None])
+            new = [x for x, y in zip(pieces, found, strict=True) if y is None]
+            back = {x: ids for x in new if (ids := self.older.get(x)) is not None}
+            self.pieces.update(back)
+            self._learn([x for x in new if x not in back])
             found = list(map(self.pieces.__getitem__, pieces))
         found += self._whole(first)
         found.append(b"")
