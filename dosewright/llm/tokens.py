@@ -3,7 +3,7 @@
 A byte-level BPE vocabulary with the usual word pattern never joins characters across a space that is
 followed by a non-space, so texts may be cut there. Arrow cuts a batch of texts and numbers its different
 pieces, each piece not seen before is encoded once, and numpy puts the ids of every text together. New
-pieces that are Latin letters, alone or before marks, go straight to the library's BPE model; others go
+pieces that are Latin letters, alone or before one mark, go straight to the library's BPE model; others go
 to the whole tokenizer. Texts with white space after a space, and texts for any other kind of tokenizer,
 are encoded whole.
 """
@@ -21,8 +21,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Pieces of Latin letters, and the run of ASCII marks that may follow as a word of its own.
-_LETTERS = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-/:-@\[-`{-~]*)")
+#: White space after a space, for RE2.
+_ODD = r" [\s\x0b\x1c-\x1f\x{85}\p{Z}]"
+#: Pieces of Latin letters alone, and the marks that may follow as a word of their own.
+_LETTERS = re.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+_MARKS = frozenset(".,;:!?")
 
 
 def _byte_characters() -> dict[int, str]:
@@ -50,7 +53,6 @@ class Encoder:
         self.space = self.stand_in[32]
         self.bound = memo
         self.pieces: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
 
     @staticmethod
     def _ids(encodings: list) -> list[bytes]:
@@ -61,22 +63,20 @@ class Encoder:
 
     def _learn(self, new: list[str]) -> None:
         """Encode pieces not seen before; each follows a space."""
-        known, latin = self.pieces, _LETTERS.fullmatch
+        known, letters = self.pieces, _LETTERS.fullmatch
         words, marked, rest = [], [], []
         for x in new:
-            m = latin(x)
-            if m is None:
-                rest.append(x)
-            elif m[2]:
-                marked.append((x, m[1], m[2]))
-            else:
+            if letters(x):
                 words.append(x)
-        words += {w for _, w, _ in marked}.difference(known, words)
+            elif x[-1:] in _MARKS and letters(x[:-1]):
+                marked.append(x)
+            else:
+                rest.append(x)
+        words += {x[:-1] for x in marked}.difference(known, words)
         shown = [self.space + (x if x.isascii() else x.encode().decode("latin-1").translate(self.stand_in)) for x in words]
         known.update(zip(words, self._ids(self.bare.encode_batch_fast(shown, add_special_tokens=False)), strict=True))
-        marks = list({m for _, _, m in marked})
-        alone = dict(zip(marks, self._whole(marks), strict=True))
-        known.update([(x, known[w] + alone[m]) for x, w, m in marked])
+        marks = dict(zip(_MARKS, self._whole(list(_MARKS)), strict=True)) if marked else {}
+        known.update([(x, known[x[:-1]] + marks[x[-1]]) for x in marked])
         known.update(zip(rest, self._whole([" " + x for x in rest]), strict=True))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -85,32 +85,23 @@ class Encoder:
         if not self.cuts:
             own = self._whole(texts.to_pylist())
             return np.frombuffer(b"".join(own), "<u4"), np.cumsum([len(x) // 4 for x in own])
+        odd = np.flatnonzero(pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False))
         cut = pc.split_pattern(texts, " ")
         edges = cut.offsets.to_numpy()
         numbered = cut.values.slice(edges[0], edges[-1] - edges[0]).dictionary_encode()
         edges = edges - edges[0]
         index, pieces = numbered.indices.to_numpy().astype(np.int64), numbered.dictionary.to_pylist()
-        # A text with white space after a space is odd; an empty piece at its end is not.
-        blank = np.fromiter((not p or p[0].isspace() for p in pieces), bool, len(pieces))[index]
-        blank[edges[:-1]] = False
-        if "" in pieces:
-            last = edges[1:] - 1
-            blank[last[index[last] == pieces.index("")]] = False
-        odd = np.unique(np.searchsorted(edges, np.flatnonzero(blank), "right") - 1)
         # First pieces follow no space; of odd texts, the first piece stands for the whole and the rest for nothing.
         first = pc.list_element(cut, 0).to_pylist()
         index[edges[:-1]] = len(pieces) + np.arange(len(texts))
         for k in odd.tolist():
             first[k] = texts[k].as_py()
             index[edges[k] + 1 : edges[k + 1]] = len(pieces) + len(texts)
-        if 2 * len(self.pieces) > self.bound:  # the older half goes; what is met again moves to the newer half
-            self.older, self.pieces = self.pieces, {}
+        if len(self.pieces) > self.bound:
+            self.pieces = {}
         found = list(map(self.pieces.get, pieces))
         if None in found:
-            new = [x for x, y in zip(pieces, found, strict=True) if y is None]
-            back = {x: ids for x in new if (ids := self.older.get(x)) is not None}
-            self.pieces.update(back)
-            self._learn([x for x in new if x not in back])
+            self._learn([x for x, y in zip(pieces, found, strict=True) if y is None])
             found = list(map(self.pieces.__getitem__, pieces))
         found += self._whole(first)
         found.append(b"")
