@@ -4,7 +4,8 @@ A byte-level BPE vocabulary with the usual word pattern never joins characters a
 followed by a non-space, so texts may be cut there. Arrow cuts a batch of texts and numbers its different
 pieces, each piece not seen before is encoded once, and numpy puts the ids of every text together. New
 pieces that are Latin letters, alone or before one mark, go straight to the library's BPE model; others go
-to the whole tokenizer. Texts with white space after a space, and texts for any other kind of tokenizer,
+to the whole tokenizer. The memo is an Arrow array of pieces and flat arrays of ids, so that pieces already
+known never become Python objects. Texts with white space after a space, and texts for any other kind of tokenizer,
 are encoded whole.
 """
 
@@ -35,7 +36,7 @@ def _byte_characters() -> dict[int, str]:
 
 
 class Encoder:
-    """Encodes batches of texts as unsigned 32-bit ids. ``memo`` bounds the pieces kept."""
+    """Encodes batches of texts as unsigned 32-bit ids. ``memo`` bounds the pieces kept; beyond it the quarter met first, which holds the common ones, stays."""
 
     def __init__(self, path: str, memo: int = 1_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -48,72 +49,90 @@ class Encoder:
             spec = json.load(f)
         pre, model = spec.get("pre_tokenizer") or {}, spec.get("model") or {}
         self.cuts = not spec.get("normalizer") and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space", True) and model.get("type") == "BPE"
-        self.bare = Tokenizer(self.library.model)
+        self.model = self.library.model
+        self.marks = dict(zip(_MARKS, self._whole(list(_MARKS)), strict=True))
         self.stand_in = _byte_characters()
         self.space = self.stand_in[32]
         self.bound = memo
-        self.pieces: dict[str, bytes] = {}
+        # The memo: pieces, all their ids one after the other, and where the ids of each begin and how many they are.
+        self.pieces = pa.array([], pa.string())
+        self.ids, self.starts, self.sizes = np.empty(0, "<u4"), np.empty(0, np.int64), np.empty(0, np.int64)
 
     @staticmethod
-    def _ids(encodings: list) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in encodings]
+    def _joined(own: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, sizes) of ids given as bytes."""
+        return np.frombuffer(b"".join(own), "<u4"), np.fromiter(map(len, own), np.int64, len(own)) // 4
 
     def _whole(self, texts: list[str]) -> list[bytes]:
-        return self._ids(self.library.encode_batch_fast(texts, add_special_tokens=False))
+        return [array("I", e.ids).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, new: list[str]) -> None:
-        """Encode pieces not seen before; each follows a space."""
-        known, letters = self.pieces, _LETTERS.fullmatch
-        words, marked, rest = [], [], []
-        for x in new:
+    def _learn(self, new: list[str]) -> list[bytes]:
+        """The ids of pieces not seen before; each follows a space."""
+        letters, model, stems = _LETTERS.fullmatch, self.model.tokenize, {}
+        out, rest = [], []
+        for k, x in enumerate(new):
             if letters(x):
-                words.append(x)
+                stem, mark = x, b""
             elif x[-1:] in _MARKS and letters(x[:-1]):
-                marked.append(x)
+                stem, mark = x[:-1], self.marks[x[-1]]
             else:
-                rest.append(x)
-        words += {x[:-1] for x in marked}.difference(known, words)
-        shown = [self.space + (x if x.isascii() else x.encode().decode("latin-1").translate(self.stand_in)) for x in words]
-        known.update(zip(words, self._ids(self.bare.encode_batch_fast(shown, add_special_tokens=False)), strict=True))
-        marks = dict(zip(_MARKS, self._whole(list(_MARKS)), strict=True)) if marked else {}
-        known.update([(x, known[x[:-1]] + marks[x[-1]]) for x in marked])
-        known.update(zip(rest, self._whole([" " + x for x in rest]), strict=True))
+                rest.append(k)
+                out.append(b"")
+                continue
+            ids = stems.get(stem)
+            if ids is None:
+                shown = stem if stem.isascii() else stem.encode().decode("latin-1").translate(self.stand_in)
+                stems[stem] = ids = array("I", [t.id for t in model(self.space + shown)]).tobytes()
+            out.append(ids + mark)
+        for k, ids in zip(rest, self._whole([" " + new[k] for k in rest]), strict=True):
+            out[k] = ids
+        return out
+
+    def _numbers(self, pieces: pa.Array) -> np.ndarray:
+        """The place of each of some different pieces in the memo, after learning those that it lacks."""
+        if len(self.pieces) > self.bound:
+            n = self.bound // 4
+            self.pieces, self.starts, self.sizes = pa.concat_arrays([self.pieces[:n]]), self.starts[:n].copy(), self.sizes[:n].copy()
+            self.ids = self.ids[: self.sizes.sum()].copy()
+        found = pc.index_in(pieces, value_set=self.pieces.cast(pieces.type))
+        lacks = found.is_null()
+        new = pieces.filter(lacks)
+        places = found.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        if len(new):
+            places[places < 0] = len(self.pieces) + np.arange(len(new))
+            ids, sizes = self._joined(self._learn(new.to_pylist()))
+            self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
+            self.sizes, self.ids = np.concatenate([self.sizes, sizes]), np.concatenate([self.ids, ids])
+            self.pieces = pa.concat_arrays([self.pieces, new.cast(self.pieces.type)])
+        return places
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, ends): the ids of all texts one after the other, and where each text's ids end."""
         texts = texts.fill_null("")
         if not self.cuts:
-            own = self._whole(texts.to_pylist())
-            return np.frombuffer(b"".join(own), "<u4"), np.cumsum([len(x) // 4 for x in own])
+            ids, sizes = self._joined(self._whole(texts.to_pylist()))
+            return ids, np.cumsum(sizes)
         odd = np.flatnonzero(pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False))
         cut = pc.split_pattern(texts, " ")
         edges = cut.offsets.to_numpy()
         numbered = cut.values.slice(edges[0], edges[-1] - edges[0]).dictionary_encode()
         edges = edges - edges[0]
-        index, pieces = numbered.indices.to_numpy().astype(np.int64), numbered.dictionary.to_pylist()
+        index, n = numbered.indices.to_numpy().astype(np.int64), len(numbered.dictionary)
         # First pieces follow no space; of odd texts, the first piece stands for the whole and the rest for nothing.
         first = pc.list_element(cut, 0).to_pylist()
-        index[edges[:-1]] = len(pieces) + np.arange(len(texts))
+        index[edges[:-1]] = n + np.arange(len(texts))
         for k in odd.tolist():
             first[k] = texts[k].as_py()
-            index[edges[k] + 1 : edges[k + 1]] = len(pieces) + len(texts)
-        if len(self.pieces) > self.bound:
-            self.pieces = {}
-        found = list(map(self.pieces.get, pieces))
-        if None in found:
-            self._learn([x for x, y in zip(pieces, found, strict=True) if y is None])
-            found = list(map(self.pieces.__getitem__, pieces))
-        found += self._whole(first)
-        found.append(b"")
-        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        ids = np.frombuffer(b"".join(found), "<u4")
-        starts = np.cumsum(sizes) - sizes
-        each = sizes[index]
+            index[edges[k] + 1 : edges[k + 1]] = n + len(texts)
+        places = self._numbers(numbered.dictionary)
+        whole, lengths = self._joined([*self._whole(first), b""])
+        starts = np.concatenate([self.starts[places], len(self.ids) + np.cumsum(lengths) - lengths])
+        each = np.concatenate([self.sizes[places], lengths])[index]
         ends = np.cumsum(each)
-        places = np.arange(ends[-1]) + np.repeat(starts[index] - (ends - each), each)
-        return ids[places], ends[edges[1:] - 1]
+        take = np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[index] - (ends - each), each)
+        return np.concatenate([self.ids, whole])[take], ends[edges[1:] - 1]
 
-    def batches(self, texts: pa.Array, end: int, rows: int = 2048, size: int = 4 << 20) -> Iterator[tuple[int, list[np.ndarray]]]:
+    def batches(self, texts: pa.Array, end: int, rows: int = 8192, size: int = 8 << 20) -> Iterator[tuple[int, list[np.ndarray]]]:
         """(first row, the ids of each text and the id ``end``) of runs of ``texts``: at most ``rows`` texts, and ``size`` bytes unless one text has more."""
         weights = np.nan_to_num(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(float))
         at = 0
