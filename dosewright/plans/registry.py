@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import exact
-from ..operators import calls, compare, enrich, intervals, score, terms
+from ..operators import calls, compare, enrich, intervals, score, splits, terms
 from . import bridge
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -238,6 +238,24 @@ def genotype_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return calls.classify(groups).groupBy("state").agg(F.count(F.lit(1)).alias("n"), F.sum("alt_dosage").alias("dosages"))
 
 
+@query(f"""WITH {RECORDS}, g AS (SELECT sample, partkey, min(depth) AS depth, min(quality) AS quality, count(DISTINCT CASE WHEN dosage = 2 THEN l_linenumber % 2 END) AS n1, max(CASE WHEN dosage = 2 THEN l_linenumber % 2 END) AS h1,
+ count(DISTINCT CASE WHEN dosage > 0 THEN l_linenumber % 2 END) AS n2, max(CASE WHEN dosage > 0 THEN l_linenumber % 2 END) AS h2 FROM records GROUP BY ALL),
+ s AS (SELECT CASE WHEN n1 > 1 AND n2 > 1 THEN 'no_call' WHEN n1 > 1 OR n2 > 1 THEN 'partial_no_call' WHEN depth < 10 OR quality < 20 THEN 'low_quality' WHEN h1 = 1 OR h2 = 1 THEN 'other_called_allele' WHEN n2 = 1 THEN 'observed_variant' ELSE 'observed_reference' END AS state, n1 + n2 AS dosage FROM g)
+ SELECT state, count(*) AS n, CAST(sum(CASE WHEN state LIKE 'observed%' THEN dosage END) AS BIGINT) AS dosages FROM s GROUP BY state""")
+def split_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The genotype rules after the records of each sample and site, two ALTs in turn, are put together."""
+    own = bridge.records(spark, sf_dir).join(bridge.sites(spark, sf_dir), "partkey")
+    gt = F.when(F.col("dosage") == 0, "0/0").when(F.col("dosage") == 1, "0/1").otherwise("1/1")
+    alts = F.array(F.when(F.col("l_linenumber") % 2 == 0, F.col("alt")).otherwise("N"))
+    record = F.struct(
+        F.col("pos"), F.col("pos").alias("end_"), "ref", alts.alias("alts"), F.array(F.lit("PASS")).alias("filters"), calls.genotype(gt).alias("gt"), F.lit(None).cast("string").alias("ft"),
+        F.col("depth").cast("double").alias("depth"), F.col("quality").cast("double").alias("quality"), F.lit(True).alias("anchor_ok"),
+    )
+    groups = own.groupBy("sample", "partkey", "contig", "pos", "ref", "alt").agg(F.array_sort(F.collect_list(F.struct("l_orderkey", "l_linenumber", record.alias("r")))).alias("x"))
+    groups = groups.withColumn("records", F.col("x.r")).withColumn("reference_ok", F.lit(True))
+    return calls.classify(splits.merged(groups)).groupBy("state").agg(F.count(F.lit(1)).alias("n"), F.sum("alt_dosage").alias("dosages"))
+
+
 @query(f"WITH {TERMS} SELECT contig, pos, ref, alt FROM terms WHERE pgs_id = 'S1' UNION SELECT contig, pos, ref, alt FROM terms WHERE pgs_id = 'S2'")
 def target_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = bridge.terms(spark, sf_dir)
