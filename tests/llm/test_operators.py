@@ -309,6 +309,44 @@ def test_line_dedup(spark, odd, clash, empty):
     assert linededup.trimmed(empty).count() == 0 and linededup.report(odd[1]).count() == len(odd[0])
 
 
+def test_line_dedup_between_later_copies(spark):
+    """A block goes although single lines of it, short or long, belong to other, earlier documents."""
+    short = [f"short line {k}" for k in range(6)]
+    long = "a line that is long enough to be a block of its own"
+    rows = [(1, f"{short[1]}\nalone one"), (2, f"{short[3]}\nalone two\n{long}"), (3, "\n".join([*short[:4], long, *short[4:]])), (4, "\n".join(["own start", *short[:4], long, *short[4:], "own end"]))]
+    rows += [(k + 10, f"{short[k]}\nalone {k}") for k in range(6)] + [(20, rows[2][1]), (None, rows[2][1])]
+    found = {r["doc_id"]: r["removed"] for r in linededup.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found[3] == [4] and found[4] == list(range(1, 8)) and found[20] == found[None] == list(range(7))
+    assert all(not found[k] for k in (1, 2, *range(10, 16)))
+
+
+def test_line_dedup_against_all_pairs(spark):
+    """The lines that go are those in runs of 10 words of any earlier document, which holds all that any alignment finds."""
+    rng = random.Random(12)
+    pool = [" ".join(f"p{k}" for _ in range(rng.randint(1, 6))) for k in range(60)]
+    pool += [" ".join([f"q{k}"] * 12) for k in range(8)]
+    rows = []
+    for d in range(120):
+        own = []
+        for _ in range(rng.randint(1, 3)):
+            at = rng.randrange(len(pool))
+            own += [pool[at : at + rng.randint(1, 9)], [f"own {d} {rng.random()}"]]
+        rows.append((d, "\n".join(x for part in own for x in part)))
+    texts = [t.split("\n") for _, t in rows]
+    found = {r["doc_id"]: r["removed"] for r in linededup.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for d, own in enumerate(texts):
+        want, aligned = set(), set()
+        for other in texts[:d]:
+            runs = {tuple(other[i:j]) for i in range(len(other)) for j in range(i + 1, len(other) + 1)}
+            for i in range(len(own)):
+                for j in range(i + 1, len(own) + 1):
+                    if tuple(own[i:j]) in runs and len(" ".join(own[i:j]).split()) >= 10:
+                        want.update(range(i, j))
+            both = set(own) & set(other)
+            aligned.update(linededup.common_blocks([(p, x, len(x.split())) for p, x in enumerate(own) if x in both], [(p, x) for p, x in enumerate(other) if x in both], 10))
+        assert aligned <= want == set(found[d]), d
+
+
 def test_line_dedup_loses_no_line(spark, small):
     rows, table = small
     left = {r["doc_id"]: [" ".join(x.split()) for x in r["text"].split("\n") if x.split()] for r in linededup.report(table).collect()}
