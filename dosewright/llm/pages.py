@@ -38,7 +38,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset(("script", "style", "noscript", "template", "textarea", "title", "iframe"))
 #: Fixed words of class, id and role that mark what is not content.
 _MARKED = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert|advertisement|advertising|banner|sponsor|sponsored|promo|nav|navbar|navigation|menu|breadcrumb|breadcrumbs|header|masthead|footer|sidebar|side-bar|aside|complementary|contentinfo|cookie|cookies|consent|notice|notices|popup|modal|alert|newsletter|subscribe|subscription|share|sharing|social|comment|comments|disqus|related|recommended|widget|toolbar|pagination|pager|login|signup|search)(?:$|[\s_-])", re.I)
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.S)
+#: Quotes count only at the start of an attribute's value; a tag whose quotes do not pair up ends at its first '>'.
+_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*+(?:\"[^\"]*\"|'[^']*'|[^\s\"'>][^\s>]*+)|=)*+(?=>)|[^>]*)>|([^<]+|<)", re.S)
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 _BLANK = re.compile(r"\s+")
 

@@ -193,6 +193,16 @@ def test_page_lines():
     assert pages.lines("a < b") == [("a < b", False)]
 
 
+def test_stray_quotes():
+    both = [("Body one.", False), ("Body two.", False)]
+    for tag in ('<p class="a"">', "<p title=it's>", '<p ">', '<p class="a>', "<p class='a>", '<p a=b"c>', '<p title="a > b">', '<p title= "a>b" x>', "<p a='\"'>"):
+        assert pages.lines(f"{tag}Body one.</p><p>Body two.</p>") == both, tag
+    assert pages.lines("<p title=it's>Body one.</p><p>Body two.</p><p title=it's></p>") == both
+    assert pages.lines('<p class="a"">Body one.</p><p>Body two.</p><p class="a""></p>') == both
+    assert pages.lines('<p class="a>Body one.</p><p>Body two.</p>"') == [*both, ('"', False)]
+    assert pages.lines("<p>Body one.</p><p " + 'a="b" ' * 5000) == both[:1]
+
+
 def test_common_lines():
     rng = random.Random(4)
     for _ in range(200):
