@@ -46,17 +46,21 @@ def fingerprint(text: bytes | None, words: int = 3) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64)[0])
 
 
+def _text_hash() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
 def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
-    """doc_id and fingerprint of every row of ``docs`` (doc_id, text); no shuffle."""
+    """doc_id, text hash t and fingerprint of every row of ``docs`` (doc_id, text); no shuffle."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                own = [fingerprint(t, words) for t in part.column(1).cast(pa.large_binary()).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(own, pa.int64())], ["doc_id", "fp"])
+                own = [fingerprint(t, words) for t in part.column(2).cast(pa.large_binary()).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(own, pa.int64())], ["doc_id", "t", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rows, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text_hash().alias("t"), "text").mapInArrow(rows, "doc_id long, t long, fp long")
 
 
 def _parity(half: Column, mask: int) -> Column:
@@ -96,13 +100,18 @@ def links(fps: DataFrame) -> DataFrame:
     return x.alias("x").join(y.alias("y"), close).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
-    """doc_id, fp and component_id of every row of ``docs``."""
+def _rooted(docs: DataFrame, words: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, t, fp) of every row of ``docs``, t the 64-bit hash of its text, and (fp, first, root) of every fingerprint."""
     marked = written(fingerprints(docs, words), "fingerprints")
     distinct = written(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
     roots = components(links(distinct.select("fp")))
     known = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    known = written(known, "roots")
+    return marked, written(known, "roots")
+
+
+def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
+    """doc_id, fp and component_id of every row of ``docs``."""
+    marked, known = _rooted(docs, words)
     least = known.groupBy("root").agg(F.min("first").alias("component_id"))
     named = known.join(least, "root").select("fp", "component_id")
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
@@ -113,13 +122,20 @@ def hexadecimal(fp: Column) -> Column:
 
 
 def one_of_each(docs: DataFrame, words: int = 3) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is its component's smallest: one document of each group of near copies.
+    """One row of ``docs`` for each group of near copies: the one with the least doc_id (null last), then text hash.
 
-    Rows repeated under that doc_id collapse to one; a component with no doc_id at all keeps one row of
-    each fingerprint. All columns are kept as they are.
+    A row that is not its group's choice never stays in place of one that is, whatever ids repeat. Rows equal
+    in doc_id and text are one document. If different texts under one doc_id are the choices of their groups,
+    the one with the least text hash stays, since ids that are not null stay unique. All columns are kept.
     """
-    found = near_duplicates(docs, words)
-    ids = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    key, names = fresh(docs, "kept_id"), docs.columns
-    kept = docs.join(ids.select(F.col("doc_id").alias(key)), F.col("doc_id").cast("long").eqNullSafe(F.col(key)), "left_semi")
-    return kept.dropDuplicates(["doc_id"]).select(*names)
+    marked, known = _rooted(docs, words)
+    own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")
+    firsts = written(marked.groupBy("fp").agg(F.min(own).alias("own")), "firsts")
+    chosen = firsts.join(known, "fp").groupBy("root").agg(F.min("own").alias("own")).select("own.*")
+    unique = F.when(F.col("none"), F.col("t"))
+    chosen = chosen.groupBy("doc_id", unique.alias("u")).agg(F.min("t").alias("t"))
+    key, hashed, names = fresh(docs, "kept_id"), fresh(docs, "kept_text"), docs.columns
+    chosen = chosen.select(F.col("doc_id").alias(key), F.col("t").alias(hashed))
+    rows = docs.withColumn(hashed, _text_hash())
+    kept = rows.join(chosen.withColumnRenamed(hashed, f"{hashed}_"), F.col("doc_id").cast("long").eqNullSafe(F.col(key)) & (F.col(hashed) == F.col(f"{hashed}_")), "left_semi")
+    return kept.dropDuplicates(["doc_id", hashed]).select(*names)

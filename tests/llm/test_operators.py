@@ -162,6 +162,17 @@ def test_one_of_each(spark, odd, clash, empty):
     assert simhash.one_of_each(empty).count() == 0
 
 
+def test_one_of_each_by_row(spark):
+    """Different texts under null are kept one by one, and an id's text that goes does not take another with it."""
+    rng = random.Random(14)
+    prose = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(80))
+    a, b, c, e = (prose() for _ in range(4))
+    rows = [(3, a), (5, a), (5, b), (None, a), (None, c), (None, c), (None, e), (None, None), (8, ""), (9, None)]
+    for table in (rows, rows[::-1]):
+        kept = simhash.one_of_each(spark.createDataFrame(table, "doc_id long, text string").repartition(3)).collect()
+        assert Counter((r["doc_id"], r["text"] or "") for r in kept) == Counter([(3, a), (5, b), (None, c), (None, e), (8, "")])
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(k, k + 1) for k in range(0, 60)] + [(rng.randint(100, 160), rng.randint(100, 160)) for _ in range(50)] + [(300, k) for k in range(301, 340)]
