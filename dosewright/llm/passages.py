@@ -1,14 +1,16 @@
 """Substring dedup by collinear chaining: fuzzy passages of ``least`` words or more that two documents share.
 
-1. Words are lower-cased runs of anything but ASCII white space. Every run of ``k`` words has a hash; the
-   least hash of each window of ``window`` such runs is a seed, so that any ``window + k - 1`` equal words
-   of two documents share one.
-2. Seeds are joined with their first owner, the document with the smallest doc_id that has them. Each
-   occurrence gives one match, so a passage in a third of all documents costs no more than its words, and
-   every repeated passage still meets its first copy.
-3. The matches of a (document, owner) pair are chained: a Fenwick tree over owner positions keeps the best
-   chain end, scored by the words it covers less a cost for every word of gap, separately from a cost for
-   gaps of different length, until chains of matches that increase on both sides remain.
+1. Words are lower-cased runs of anything but ASCII white space. Every place is a seed: four words, one that
+   may differ, and four more. One changed word in five or more, evenly spread, leaves such seeds, and eight
+   fixed words seldom agree by chance. To these come runs of 16 and 39 words, thinned to the least hash of each
+   window of 8 and 12, so that any 50 equal words share a run of 39 whoever owns their seeds.
+2. Seeds and runs are joined with their first owner, the document with the smallest doc_id that has them. Each
+   occurrence gives one match, so a passage in a third of all documents costs no more than its words.
+3. The matches of a (document, owner) pair, of ``k`` sure words each, are chained: a Fenwick tree over owner
+   positions keeps the best chain end, scored by the words it covers less a cost for every word of gap,
+   separately from a cost for gaps of different length, until chains of matches that increase on both sides
+   remain. A match alone is a chain too; of matches alone with one place of the owner, as repeated words have,
+   there is one for every ``least`` words.
 4. Each chain is aligned: the words of both sides are fetched, equal runs grow from the matches, small gaps
    are aligned by longest common subsequence, and both ends are extended while they still gain.
 
@@ -56,18 +58,24 @@ def word_hashes(text: bytes | None, memo: Words) -> np.ndarray:
     return np.array(list(map(memo.__getitem__, own)), np.uint64)
 
 
-def seeds(hashes: np.ndarray, k: int, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the seeds of a text: the least k-word hash of every window, the last of equals."""
+#: Words, window and word left out (none: -1) of each kind of seed.
+KINDS = ((9, 1, 4),)
+
+
+def seeds(hashes: np.ndarray, k: int, window: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of the seeds of a text: the least k-word hash of every window, the last of equals; word ``skip`` of the k is left out."""
     n = len(hashes) - k + 1
     if n < 1:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
     sums = np.zeros(n, np.uint64)
-    for j in range(k):
+    for j in (x for x in range(k) if x != skip):
         sums = sums * np.uint64(0x9E3779B97F4A7C15) + hashes[j : j + n]
     sums ^= sums >> np.uint64(29)
     sums *= np.uint64(0xBF58476D1CE4E5B9)
     sums ^= sums >> np.uint64(32)
-    if n <= window:
+    if window == 1:
+        at = np.arange(n)
+    elif n <= window:
         at = np.array([n - 1 - sums[::-1].argmin()])
     else:
         wide = np.lib.stride_tricks.sliding_window_view(sums[::-1], window)
@@ -75,6 +83,38 @@ def seeds(hashes: np.ndarray, k: int, window: int) -> tuple[np.ndarray, np.ndarr
     return at, sums[at]
 
 
+def all_seeds(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of the seeds of every kind."""
+    own = [seeds(hashes, *kind) for kind in KINDS]
+    return np.concatenate([x[0] for x in own]), np.concatenate([x[1] ^ np.uint64(n) for n, x in enumerate(own)])
+
+
+def thinned(matches: list[tuple[int, int]], k: int) -> list[tuple[int, int]]:
+    """``matches`` without those that lie in a row on a diagonal between every k-th and the last."""
+    own = np.unique(np.array(matches, np.int64).reshape(-1, 2), axis=0)
+    own = own[np.lexsort((own[:, 0], own[:, 1] - own[:, 0]))]
+    same = (np.diff(own, axis=0) == 1).all(axis=1)
+    starts = np.flatnonzero(np.concatenate([[True], ~same]))
+    nth = np.arange(len(own)) - np.repeat(starts, np.diff(np.append(starts, len(own))))
+    keep = (nth % k == 0) | np.append(~same, True)
+    return [(int(i), int(j)) for i, j in own[keep]]
+
+
+def wanted(chains: list[list[tuple[int, int]]], least: int, near: int = 60) -> list[list[tuple[int, int]]]:
+    """``chains``, best first, without matches alone that a chain or another match alone of the same owner place stands for."""
+    out = [run for run in chains if len(run) > 1]
+    spans = [(run[0], run[-1]) for run in out]
+    met: dict[int, int] = {}
+    for i, j in sorted(run[0] for run in chains if len(run) == 1):
+        if j in met and i - met[j] < least:
+            continue
+        if any(x[0] - near <= i <= y[0] + near and x[1] - near <= j <= y[1] + near and (i >= x[0] or abs(i - j - x[0] + x[1]) <= 1) and (i <= y[0] or abs(i - j - y[0] + y[1]) <= 1) for x, y in spans):
+            continue
+        met[j] = i
+        out.append([(i, j)])
+    return out
+
+
 def chain(matches: list[tuple[int, int]], k: int, reach: int = 60, gap: float = 0.1, skew: float = 0.5) -> list[list[tuple[int, int]]]:
     """Chains of ``matches`` (i, j), increasing on both sides, best first; each match is in one chain at most.
 
@@ -172,13 +212,13 @@ def align(a: np.ndarray, b: np.ndarray, run: list[tuple[int, int]], k: int, miss
     return i - du, i1, j - dv, j1, matched + got
 
 
-def _seed_rows(texts: DataFrame, k: int, window: int) -> DataFrame:
+def _seed_rows(texts: DataFrame) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = Words()
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                own = [seeds(word_hashes(t, memo), k, window) for t in part.column(1).cast(pa.large_binary()).to_pylist()]
+                own = [all_seeds(word_hashes(t, memo)) for t in part.column(1).cast(pa.large_binary()).to_pylist()]
                 take = pa.array(np.repeat(np.arange(len(own)), [len(x[0]) for x in own]).astype(np.int32))
                 columns = [part.column(0).take(take), pa.array(np.concatenate([x[0] for x in own]).astype(np.int32)), pa.array(np.concatenate([x[1] for x in own]).view(np.int64))]
                 yield pa.RecordBatch.from_arrays(columns, ["d", "p", "h"])
@@ -186,16 +226,15 @@ def _seed_rows(texts: DataFrame, k: int, window: int) -> DataFrame:
     return texts.mapInArrow(rows, "d long, p int, h long")
 
 
-def _chains(pairs: DataFrame, k: int) -> DataFrame:
-    """The chains of two matches or more of each pair of ``pairs`` (d, o, matches)."""
+def _chains(pairs: DataFrame, k: int, least: int) -> DataFrame:
+    """The chains of each pair of ``pairs`` (d, o, matches)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for d, o, matches in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
-                for n, run in enumerate(chain([(x["p"], x["q"]) for x in matches], k)):
-                    if len(run) > 1:
-                        out.append({"c": f"{d}/{o}/{n}", "d": d, "o": o, "ps": [x[0] for x in run], "qs": [x[1] for x in run]})
+                for n, run in enumerate(wanted(chain(thinned([(x["p"], x["q"]) for x in matches], k), k), least)):
+                    out.append({"c": f"{d}/{o}/{n}", "d": d, "o": o, "ps": [x[0] for x in run], "qs": [x[1] for x in run]})
             yield pa.RecordBatch.from_pylist(out, schema=shape)
 
     ints = pa.list_(pa.int32())
@@ -250,16 +289,16 @@ def _distinct_ids(docs: DataFrame) -> DataFrame:
     return rows.groupBy("d").agg(F.min("text").alias("text"))
 
 
-def passages(docs: DataFrame, least: int = 50, similar: float = 0.8, k: int = 7, window: int = 14, margin: int = 64, block: int = 256) -> DataFrame:
+def passages(docs: DataFrame, least: int = 50, similar: float = 0.8, k: int = 4, margin: int = 64, block: int = 256) -> DataFrame:
     """Passages of ``docs`` (doc_id, text) that an earlier document has too: a row per passage and earlier copy."""
     texts = _distinct_ids(docs)
-    own = written(_seed_rows(texts, k, window), "seeds")
+    own = written(_seed_rows(texts), "seeds")
     owners = own.groupBy("h").agg(F.min(F.struct("d", "p")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     # Written, so that both sides of the join are plain exchanges and a hot seed's partition can be split.
     owners = written(owners.select("h", F.col("first.d").alias("o"), F.col("first.p").alias("q")), "owners")
     matches = own.join(owners, "h").where("d <> o").select("d", "o", "p", "q")
-    pairs = matches.groupBy("d", "o").agg(F.collect_list(F.struct("p", "q")).alias("matches")).where(F.size("matches") > 1)
-    chains = written(_chains(pairs, k), "chains")
+    pairs = matches.groupBy("d", "o").agg(F.collect_list(F.struct("p", "q")).alias("matches"))
+    chains = written(_chains(pairs, k, least), "chains")
     dropped(own)
     dropped(owners)
 
@@ -278,4 +317,4 @@ def passages(docs: DataFrame, least: int = 50, similar: float = 0.8, k: int = 7,
     joined = joined.select("c", "side", "low", F.flatten("own.words").alias("words"))
     both = joined.groupBy("c").agg(*(F.first(F.when(F.col("side") == x, F.struct("low", "words")), ignorenulls=True).alias(n) for x, n in ((0, "a"), (1, "b"))))
     ready = chains.join(both, "c").select("d", "o", "ps", "qs", F.col("a.low").alias("a_low"), F.col("a.words").alias("a"), F.col("b.low").alias("b_low"), F.col("b.words").alias("b"))
-    return _aligned(ready, k, least, similar)
+    return _aligned(ready, k, least, similar).distinct()  # chains may grow into the same passage

@@ -463,6 +463,25 @@ def test_passages(spark, odd, empty):
     assert passages.passages(empty).count() == 0 and passages.passages(odd[1]).count() >= 2
 
 
+def test_passages_recall(spark):
+    """Fuzzy passages of 60 words at similarities 0.8 to 0.95 are found with the parameters of the query."""
+    rng = random.Random(21)
+    prose = lambda n: [f"v{rng.randrange(50_000)}" for _ in range(n)]
+    rows, kinds = [], {}
+    for kind, places in {"1 in 5": range(4, 60, 5), "1 in 7": range(3, 60, 7), "1 in 10": range(5, 60, 10), "1 in 20": range(10, 60, 20), "10 %": 6, "15 %": 9}.items():
+        for _ in range(20):
+            shared = prose(60)
+            fuzzy = list(shared)
+            for k in places if isinstance(places, range) else rng.sample(range(1, 59), places):
+                fuzzy[k] = f"changed{rng.random()}"
+            n = len(kinds)
+            rows += [(n, " ".join(prose(40) + shared + prose(40))), (1000 + n, " ".join(prose(30) + fuzzy + prose(50)))]
+            kinds[n] = kind
+    found = {r["doc_id"] for r in passages.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r["source_id"] == r["doc_id"] - 1000}
+    caught = Counter(kinds[d - 1000] for d in found)
+    assert all(caught[k] == 20 for k in ("1 in 7", "1 in 10", "1 in 20")) and caught["1 in 5"] >= 18 and caught["10 %"] >= 19 and caught["15 %"] >= 18, caught
+
+
 def test_passages_find_every_exact_run(spark, small):
     """Every maximal run of 50 equal words with an earlier document lies in a reported passage."""
     rows, table = small
