@@ -59,7 +59,7 @@ def word_hashes(text: bytes | None, memo: Words) -> np.ndarray:
 
 
 #: Words, window and word left out (none: -1) of each kind of seed.
-KINDS = ((9, 1, 4),)
+KINDS = ((9, 1, 4), (16, 8, -1), (39, 12, -1))
 
 
 def seeds(hashes: np.ndarray, k: int, window: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:

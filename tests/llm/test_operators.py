@@ -482,6 +482,18 @@ def test_passages_recall(spark):
     assert all(caught[k] == 20 for k in ("1 in 7", "1 in 10", "1 in 20")) and caught["1 in 5"] >= 18 and caught["10 %"] >= 19 and caught["15 %"] >= 18, caught
 
 
+def test_passages_between_later_copies(spark):
+    """A passage whose halves belong to two earlier documents, and one of a repeated word, are found."""
+    rng = random.Random(22)
+    prose = lambda n: [f"v{rng.randrange(50_000)}" for _ in range(n)]
+    p = prose(60)
+    rows = [(1, prose(40) + p[:30] + prose(40)), (2, prose(40) + p[30:] + prose(40)), (3, prose(20) + p + prose(30)), (4, prose(50) + p), (5, prose(10) + ["ha"] * 70 + prose(20)), (6, prose(30) + ["ha"] * 70 + prose(9))]
+    found = passages.passages(spark.createDataFrame([(d, " ".join(w)) for d, w in rows], "doc_id long, text string")).collect()
+    assert any((r["doc_id"], r["source_id"]) == (4, 3) and r["start"] <= 50 and r["start"] + r["n_words"] >= 110 for r in found)
+    assert any((r["doc_id"], r["source_id"]) == (6, 5) and r["start"] <= 30 and r["start"] + r["n_words"] >= 94 for r in found)
+    assert {r["doc_id"] for r in found} == {4, 6}
+
+
 def test_passages_find_every_exact_run(spark, small):
     """Every maximal run of 50 equal words with an earlier document lies in a reported passage."""
     rows, table = small
