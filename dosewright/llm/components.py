@@ -1,42 +1,92 @@
-"""Connected components by alternating large-star and small-star steps over written edge tables."""
+"""Connected components of a written edge table, without a task that holds a hub's edges.
+
+An edge (a, b) points from the larger node to the smaller. A round has two steps:
+
+1. Contraction. Each task joins the edges it has by union-find and gives one star for each part: every node
+   once, pointing at the part's least. Done before the shuffle, it bounds the edges of one node by the number
+   of tasks; done after a shuffle by a, all edges of a node have met, so each is left with one parent (``own``).
+2. Jump. Edges are joined with the parents of their smaller ends and point there instead. Both sides of the
+   join are plain scans, so Spark can split the partition of a node that many others point at.
+
+Nodes only ever point at smaller ones and what is connected stays so. The rounds end when the contraction
+finds no new edge and no edge jumps: stars are left. Their number grows with the logarithm of the longest path.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import dropped, written
 
+EDGES = "a long, b long"
+STARS = "a long, b long, own boolean, new boolean"
+
+
+def _forest(batches: Iterator[pa.RecordBatch], held: int, marked: bool) -> Iterator[pa.RecordBatch]:
+    """The stars of the edges of ``batches``; ``held`` edges are joined at a time, never parting those of one a."""
+    root: dict[int, int] = {}
+    given: set[tuple[int, int]] = set()
+
+    def find(x: int) -> int:
+        top = x
+        while (up := root.get(top, top)) != top:
+            top = up
+        while x != top:
+            root[x], x = top, root[x]
+        return top
+
+    def stars() -> pa.RecordBatch:
+        own = [(x, find(x)) for x in list(root)]
+        columns = [pa.array([x for x, _ in own], pa.int64()), pa.array([y for _, y in own], pa.int64())]
+        names = ["a", "b"]
+        if marked:
+            keys = {x for x, _ in given}
+            columns += [pa.array([x in keys for x, _ in own], pa.bool_()), pa.array([e not in given for e in own], pa.bool_())]
+            names += ["own", "new"]
+        return pa.RecordBatch.from_arrays(columns, names)
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    last = None
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if len(root) >= held and a != last:
+                yield stars()
+                root.clear()
+                given.clear()
+            last = a
+            if marked:
+                given.add((a, b))
+            x, y = find(a), find(b)
+            if x != y:
+                root[max(x, y)] = min(x, y)
+    if root:
+        yield stars()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
-    moved = down.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.unionAll(least.select("a", F.col("m").alias("b")))
+def contracted(edges: DataFrame, held: int = 500_000) -> DataFrame:
+    """Edges (a, b) of the same connected parts, at most one for each node and ``held`` edges of a task; no shuffle."""
+    return edges.mapInArrow(lambda batches: _forest(batches, held, False), EDGES)
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of every node of ``edges`` (a long, b long): root is the smallest node of its component.
+def components(edges: DataFrame, held: int = 500_000) -> DataFrame:
+    """(node, root) of every node of ``edges`` (a long, b long) that is not the smallest of its component, its root.
 
-    Both steps keep what is connected and only ever point nodes at smaller ones, so the edges become one
-    star per component after a number of rounds that grows with the logarithm of the longest path. Each
-    round's edges are a written table of no more rows than before; the driver sees a count and a checksum.
+    Loops and nulls are left out; an empty table gives no rows. The driver sees two counts a round.
     """
-    own = edges.where("a <> b").select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
-    now, mark = written(own.distinct(), "edges"), None
+    own = edges.where("a <> b").select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b"))
+    now = written(contracted(own, held), "edges")
     while True:
-        new = written(_small_star(_large_star(now)).distinct(), "edges")
-        seen = new.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
+        met, jumps = Observation(), Observation()
+        keyed = now.repartition("a").sortWithinPartitions("a")
+        stars = keyed.mapInArrow(lambda batches: _forest(batches, held, True), STARS)
+        stars = written(stars.observe(met, F.count_if("new").alias("n")), "stars")
         dropped(now)
-        now = new
-        if tuple(seen) == mark or not seen[0]:
-            break
-        mark = tuple(seen)
-    roots = now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
-    return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionAll(roots)
+        up = stars.where("own").select(F.col("a").alias("at"), F.col("b").alias("up"))
+        moved = stars.join(up, F.col("b") == F.col("at"), "left").observe(jumps, F.count("up").alias("n"))
+        now = written(contracted(moved.select("a", F.coalesce("up", "b").alias("b")), held), "edges")
+        dropped(stars)
+        if not met.get["n"] and not jumps.get["n"]:
+            return now.select(F.col("a").alias("node"), F.col("b").alias("root"))

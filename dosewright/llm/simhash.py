@@ -112,8 +112,9 @@ def _rooted(docs: DataFrame, words: int) -> tuple[DataFrame, DataFrame]:
 def near_duplicates(docs: DataFrame, words: int = 3) -> DataFrame:
     """doc_id, fp and component_id of every row of ``docs``."""
     marked, known = _rooted(docs, words)
-    least = known.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = known.join(least, "root").select("fp", "component_id")
+    # Small tables are written before they are joined, so that both sides are plain exchanges and a hot key's partition can be split.
+    least = written(known.groupBy("root").agg(F.min("first").alias("component_id")), "least")
+    named = written(known.join(least, "root").select("fp", "component_id"), "named")
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
 

@@ -173,9 +173,7 @@ def test_one_of_each_by_row(spark):
         assert Counter((r["doc_id"], r["text"] or "") for r in kept) == Counter([(3, a), (5, b), (None, c), (None, e), (8, "")])
 
 
-def test_components(spark):
-    rng = random.Random(1)
-    edges = [(k, k + 1) for k in range(0, 60)] + [(rng.randint(100, 160), rng.randint(100, 160)) for _ in range(50)] + [(300, k) for k in range(301, 340)]
+def brute_roots(edges):
     root = {}
 
     def find(x):
@@ -187,8 +185,23 @@ def test_components(spark):
     for a, b in edges:
         a, b = find(a), find(b)
         root[max(a, b)] = min(a, b)
-    found = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert found == {x: find(x) for e in edges for x in e if e[0] != e[1]}
+    return {x: find(x) for e in edges for x in e if find(x) != x}
+
+
+@pytest.mark.parametrize("held", [3, 500_000])
+def test_components(spark, held):
+    rng = random.Random(1)
+    edges = [(k, k + 1) for k in range(0, 60)] + [(rng.randint(100, 160), rng.randint(100, 160)) for _ in range(50)] + [(300, k) for k in range(301, 340)]
+    table = spark.createDataFrame(edges, "a long, b long").repartition(5)
+    assert {r["node"]: r["root"] for r in components.components(table, held).collect()} == brute_roots(edges)
+    assert components.components(table.where("a < 0")).count() == 0
+
+
+def test_components_of_a_star(spark):
+    """A hub of 10,000 nodes, whose number is neither the least nor the greatest, and a ball of near copies."""
+    edges = [(5000, k) for k in range(10_000) if k != 5000] + [(20_000 + i, 20_000 + j) for i in range(60) for j in range(i)]
+    found = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(edges, "a long, b long").repartition(7)).collect()}
+    assert found == {k: 0 for k in range(1, 10_000)} | {20_000 + k: 20_000 for k in range(1, 60)}
 
 
 # pages
