@@ -9,7 +9,8 @@ the home of x, so each pair meets at the home of its smaller member, and is comp
 bits. There are 2^27 anchors for each half; equal fingerprints are one row, whatever their number.
 
 Words and shingles: A to Z are lowered, words are runs of anything but ASCII white space, shingles are 3
-words (all words if there are fewer; none: fingerprint 0, which links like any other). Null texts count
+words (all words if there are fewer; none: fingerprint 0, which links like any other) and five where documents
+are dropped, as near copies are compared on shingles of five words there. Null texts count
 as empty. Rows with a null doc_id are fingerprinted and linked; a component's id is its smallest doc_id
 that is not null, or null if it has none. Repeated rows each give a row. An empty table gives none.
 """
@@ -122,21 +123,62 @@ def hexadecimal(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def one_of_each(docs: DataFrame, words: int = 3) -> DataFrame:
-    """One row of ``docs`` for each group of near copies: the one with the least doc_id (null last), then text hash.
+def jaccard(a: set, b: set) -> float:
+    return len(a & b) / len(a | b) if a or b else 1.0
 
-    A row that is not its group's choice never stays in place of one that is, whatever ids repeat. Rows equal
-    in doc_id and text are one document. If different texts under one doc_id are the choices of their groups,
-    the one with the least text hash stays, since ids that are not null stay unique. All columns are kept.
+
+def shingle_set(text: bytes | None, words: int) -> set[bytes]:
+    """The different shingles of a text; fewer words: the whole sequence; none: the empty set."""
+    own = (text or b"").lower().split()
+    return {b" ".join(own[k : k + words]) for k in range(max(1, len(own) - words + 1))} if own else set()
+
+
+def _alike(pairs: DataFrame, words: int, similar: float) -> DataFrame:
+    """(t) of the rows of ``pairs`` (t, text, leader) whose shingle sets have a Jaccard similarity of ``similar`` or more."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, own = None, set()
+        for batch in batches:
+            out = []
+            for t, text, leader in zip(*(batch.column(k) for k in range(3)), strict=True):
+                leader = leader.as_py()
+                if leader != known:
+                    known, own = leader, shingle_set((leader or "").encode(), words)
+                if jaccard(shingle_set((text.as_py() or "").encode(), words), own) >= similar:
+                    out.append(t.as_py())
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], ["t"])
+
+    return pairs.mapInArrow(rows, "t long")
+
+
+def one_of_each(docs: DataFrame, words: int = 5, similar: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` that are no copy or near copy of a row that stays; all columns are kept.
+
+    Equal texts are one text, at its least doc_id (null last). Of each group of linked fingerprints the text with
+    the least doc_id, then hash, leads; another text of the group goes if its shingles have a Jaccard similarity of
+    ``similar`` or more with the leader's, compared exactly, and stays if not. Different texts under one doc_id or
+    under null are different documents. Rows equal in doc_id and text are one document.
     """
     marked, known = _rooted(docs, words)
-    own = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")
-    firsts = written(marked.groupBy("fp").agg(F.min(own).alias("own")), "firsts")
-    chosen = firsts.join(known, "fp").groupBy("root").agg(F.min("own").alias("own")).select("own.*")
-    unique = F.when(F.col("none"), F.col("t"))
-    chosen = chosen.groupBy("doc_id", unique.alias("u")).agg(F.min("t").alias("t"))
+    at = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")
+    texts = written(marked.groupBy("t", "fp").agg(F.min(at).alias("at")), "texts")
+    placed = written(texts.join(known, "fp").select("t", "at", "root"), "placed")
+    leaders = placed.groupBy("root").agg(F.min(F.struct("at", "t")).alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    leaders = written(leaders.select("root", F.col("lead.t").alias("lt"), F.col("lead.at").alias("lat")), "leaders")
+    bodies = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text_hash().alias("t"), "text")
+
+    def body(rows: DataFrame, hashed: str, place: str) -> DataFrame:
+        """``rows`` with the text of the document at (``place``, ``hashed``), more than once if that row is repeated."""
+        own = bodies.select(F.col("doc_id").alias("__d"), F.col("t").alias("__t"), F.col("text").alias("__x"))
+        return rows.join(own, (F.col(hashed) == F.col("__t")) & F.col(f"{place}.doc_id").eqNullSafe(F.col("__d"))).drop("__d", "__t", place)
+
+    followers = written(placed.join(leaders, "root").where("t <> lt").select("t", "at", "root"), "followers")
+    own = body(followers, "t", "at").withColumnRenamed("__x", "text")
+    lead = body(leaders, "lt", "lat").dropDuplicates(["root"]).select("root", F.col("__x").alias("leader"))
+    gone = _alike(own.join(written(lead, "leading"), "root").select("t", "text", "leader"), words, similar)
+    kept = written(texts.join(gone.distinct(), "t", "left_anti").select(F.col("at.doc_id").alias("__d"), F.col("t").alias("__t")), "kept")
     key, hashed, names = fresh(docs, "kept_id"), fresh(docs, "kept_text"), docs.columns
-    chosen = chosen.select(F.col("doc_id").alias(key), F.col("t").alias(hashed))
+    kept = kept.select(F.col("__d").alias(key), F.col("__t").alias(f"{hashed}_"))
     rows = docs.withColumn(hashed, _text_hash())
-    kept = rows.join(chosen.withColumnRenamed(hashed, f"{hashed}_"), F.col("doc_id").cast("long").eqNullSafe(F.col(key)) & (F.col(hashed) == F.col(f"{hashed}_")), "left_semi")
-    return kept.dropDuplicates(["doc_id", hashed]).select(*names)
+    out = rows.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col(key)) & (F.col(hashed) == F.col(f"{hashed}_")), "left_semi")
+    return out.dropDuplicates(["doc_id", hashed]).select(*names)

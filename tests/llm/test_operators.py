@@ -153,13 +153,61 @@ def test_every_close_pair_is_linked(spark):
     assert found == want and want
 
 
-def test_one_of_each(spark, odd, clash, empty):
-    kept = simhash.one_of_each(clash)
-    assert kept.columns == clash.columns
-    ids = [r["doc_id"] for r in kept.collect()]
-    groups = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(odd[1]).collect() if r["doc_id"] is not None}
-    assert sorted(i for i in ids if i is not None) == sorted(set(groups.values()) & set(ids)) and len(ids) == len(set(ids))
+def brute_kept(rows):
+    """(doc_id, text) of the documents that stay: the least row of each text, if its group's leader is not like it."""
+    first = {}
+    for d, t in {(r[0], r[1] or "") for r in rows}:
+        first[t] = min(first.get(t, (True, 0)), (d is None, d or 0))
+    words = lambda t: re.findall(r"[^\x20\x09-\x0D]+", t.translate({c: c + 32 for c in range(65, 91)}))
+
+    def shingles(t):
+        own = words(t)
+        return {" ".join(own[k : k + 5]) for k in range(len(own) - 4)} or ({" ".join(own)} if own else set())
+
+    def mark(t):
+        hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles_in_order(words(t))]
+        return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+    def shingles_in_order(own):
+        return [" ".join(own[k : k + 5]) for k in range(len(own) - 4)] or ([" ".join(own)] if own else [])
+
+    prints = {t: mark(t) for t in first}
+    roots = brute_components(set(prints.values()))
+    groups = defaultdict(list)
+    for t, f in prints.items():
+        groups[roots[f]].append(t)
+    out = set()
+    for own in groups.values():
+        lead = min(own, key=lambda t: (first[t], xxhash_of(t)))
+        for t in own:
+            a, b = shingles(t), shingles(lead)
+            if t == lead or not (len(a & b) >= 0.8 * len(a | b)):
+                out.add((None if first[t][0] else first[t][1], t))
+    return out
+
+
+def xxhash_of(text):
+    """Spark's xxhash64 of a string, signed."""
+    value = xxhash.xxh64_intdigest(text.encode(), 42)
+    return value - (1 << 64) if value >> 63 else value
+
+
+@pytest.mark.parametrize("rows", ["small", "odd"])
+def test_one_of_each(request, rows, clash, empty):
+    own, table = request.getfixturevalue(rows)
+    found = Counter((r["doc_id"], r["text"] or "") for r in simhash.one_of_each(table).collect())
+    assert found == Counter(brute_kept(own))
     assert simhash.one_of_each(empty).count() == 0
+    assert simhash.one_of_each(clash).columns == clash.columns
+
+
+def test_one_of_each_of_different_texts(spark):
+    """Different documents all stay, whatever ids they share, and near copies go."""
+    rng = random.Random(31)
+    a, b, c, d, e, f = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(90)) for _ in range(6))
+    rows = [(None, a), (None, b), (None, c), (1, d), (1, e), (2, f)]
+    kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter(map(tuple, kept)) == Counter(rows)
 
 
 def test_one_of_each_by_row(spark):
