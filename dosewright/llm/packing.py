@@ -8,7 +8,7 @@ reaches the driver: it has ``capacity`` entries at most, whatever the number of
    gradient on the sparse pattern matrix), then rounded down, never using a length more often than it occurs.
 3. What rounding leaves is packed by best fit decreasing on the histogram.
 4. Every piece gets its rank among the pieces of its length; a pattern's slot owns an interval of ranks,
-   so one small equi-join places all pieces.
+   which one binary search of a small sorted array finds.
 
 Ranks need no sort: each task numbers the pieces of a length as it writes them, and sums over (length,
 task) give where a task's numbers begin.
@@ -168,19 +168,34 @@ def intervals(packing: list[tuple[list[tuple[int, int]], int]]) -> list[tuple[in
 
 def pack(pieces: DataFrame, capacity: int) -> DataFrame:
     """``pieces`` of :func:`tokenised_pieces` with sequence_id and offset added."""
-    spark = pieces.sparkSession
     counts = pieces.groupBy("length", "task").agg(F.count(F.lit(1)).alias("n"))
     histogram = np.zeros(capacity + 1, np.int64)
     for length, n in counts.groupBy("length").agg(F.sum("n")).collect():  # capacity rows at most
         histogram[length] = n
-    slots = spark.createDataFrame(intervals(plan(histogram, capacity)) or [(0, 0, 0, 0, 1, 0)], "length long, low long, high long, first_sequence long, times long, first_offset long")
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     begins = counts.select("length", "task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("begin"))
     ranked = pieces.join(begins, ["length", "task"]).withColumn("rank", F.col("begin") + F.col("place"))
     # The slots depend on the capacity and the patterns alone, not on the number of documents.
-    placed = ranked.join(F.broadcast(slots), "length").where((F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))
-    past = F.col("rank") - F.col("low")
-    return placed.withColumn("sequence_id", F.col("first_sequence") + F.expr("(rank - low) div times")).withColumn("offset", F.col("first_offset") + past % F.col("times") * F.col("length")).drop("task", "place", "begin", "rank", "low", "high", "first_sequence", "times", "first_offset")
+    slots = np.array(sorted(intervals(plan(histogram, capacity))) or [(0, 0, 0, 0, 1, 0)], np.int64)
+    return _placed(ranked.drop("task", "place", "begin"), slots, 62 - capacity.bit_length())
+
+
+def _placed(ranked: DataFrame, slots: np.ndarray, shift: int) -> DataFrame:
+    """``ranked`` with sequence_id and offset in place of rank: each piece's slot is found by one search for (length, rank)."""
+    length, low, _, sequence, times, offset = slots.T
+    keys = (length << shift) + low
+    names = [c for c in ranked.columns if c != "rank"]
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own, rank = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("length", "rank"))
+            at = np.searchsorted(keys, (own << shift) + rank, "right") - 1
+            past = rank - low[at]
+            more = [pa.array(sequence[at] + past // times[at]), pa.array(offset[at] + past % times[at] * own)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in names), *more], [*names, "sequence_id", "offset"])
+
+    schema = ranked.select(*names).schema.add("sequence_id", "long").add("offset", "long")
+    return ranked.mapInArrow(rows, schema)
 
 
 def pack_documents(docs: DataFrame, vocabulary_file: str, capacity: int = 2048, end_id: int = 0, with_ids: bool = False) -> DataFrame:

@@ -5,8 +5,8 @@ followed by a non-space, so texts may be cut there. Arrow cuts a batch of texts
 pieces, each piece not seen before is encoded once, and numpy puts the ids of every text together. New
 pieces that are Latin letters, alone or before one mark, go straight to the library's BPE model; others go
 to the whole tokenizer. The memo is an Arrow array of pieces and flat arrays of ids, so that pieces already
-known never become Python objects. Texts with white space after a space, and texts for any other kind of tokenizer,
-are encoded whole.
+known never become Python objects. Texts with white space after a space, texts that hold the string of a special
+token, and texts for any other kind of tokenizer, are encoded whole.
 """
 
 from __future__ import annotations
@@ -43,11 +43,12 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
         self.vocabulary = self.library.get_vocab_size()
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre, model = spec.get("pre_tokenizer") or {}, spec.get("model") or {}
+        # Texts that hold the string of an added token are encoded whole, as the library alone knows where it may join.
+        self.odd = "|".join([_ODD, *(re.escape(x["content"]) for x in spec.get("added_tokens") or [])])
         self.cuts = not spec.get("normalizer") and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space", True) and model.get("type") == "BPE"
         self.model = self.library.model
         self.marks = dict(zip(_MARKS, self._whole(list(_MARKS)), strict=True))
@@ -112,7 +113,7 @@ class Encoder:
         if not self.cuts:
             ids, sizes = self._joined(self._whole(texts.to_pylist()))
             return ids, np.cumsum(sizes)
-        odd = np.flatnonzero(pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False))
+        odd = np.flatnonzero(pc.match_substring_regex(texts, self.odd).to_numpy(zero_copy_only=False))
         cut = pc.split_pattern(texts, " ")
         edges = cut.offsets.to_numpy()
         numbered = cut.values.slice(edges[0], edges[-1] - edges[0]).dictionary_encode()

@@ -17,9 +17,7 @@ from dosewright.llm.tokens import Encoder, public_vocabulary
 def library():
     from tokenizers import Tokenizer
 
-    out = Tokenizer.from_file(public_vocabulary())
-    out.encode_special_tokens = True
-    return out
+    return Tokenizer.from_file(public_vocabulary())
 
 
 def brute(library, text):
@@ -29,7 +27,7 @@ def brute(library, text):
 def test_encoder_equals_library(library):
     rng = random.Random(2)
     letters = " \n\t'sa1é.,- 日$"
-    texts = ["", " ", "  a", "a  b", "a \n b", "x\u0085  y", "don't 's", "<|endoftext|> a", "a ", "\x1c b \x1c"]
+    texts = ["", " ", "  a", "a  b", "a \n b", "x\u0085  y", "don't 's", "<|endoftext|> a", "end <|endoftext|> next", "x<|endoftext|>y<|endoftext|>", " <|endoftext|> <|endoftext", "a ", "\x1c b \x1c"]
     texts += ["".join(rng.choice(letters) for _ in range(rng.randint(0, 40))) for _ in range(2000)]
     found = [x for _, own in Encoder(public_vocabulary(), memo=500).batches(pa.array([*texts, None]), 0, rows=64) for x in own]
     assert len(found) == len(texts) + 1
