@@ -45,6 +45,19 @@ def test_neighbours_recall(spark):
         assert own == sorted(own, key=lambda x: (-x[1], x[0])) and len(own) == 20
 
 
+def test_neighbours_search_stops(spark):
+    """With the query's own parameters, recall is 0.9 or more and rows are left unverified."""
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = [(r["vec_id"], r["embedding"]) for r in table.collect()]
+    want = exact(rows, 20)
+    found = defaultdict(set)
+    for r in neighbours.nearest(table).collect():
+        found[r["query_id"]].add(r["vec_id"])
+    assert sum(len({i for i, _ in want[q]} & found[q]) for q in want) >= 0.9 * sum(map(len, want.values()))
+    (total,) = neighbours.effort(table).agg((F.sum("verified") / F.sum("candidates")).alias("share")).collect()
+    assert 0 < total["share"] < 0.9
+
+
 def test_neighbours_odd_vectors(spark):
     nan = float("nan")
     rows = [(0, [1.0, 2.0]), (20, [1.0, 2.0]), (1, [1.0, 2.0]), (2, None), (3, [0.0, 0.0]), (4, [nan, 1.0]), (5, [None, 1.0]), (6, [float("inf"), 1.0]), (7, [1.0, 2.0, 3.0]), (None, [1.0, 1.0]), (8, [-1.0, -2.0]), (40, [3.0, 1.0]), (40, [3.0, 1.0])]
