@@ -1,21 +1,24 @@
 """HTML extraction by nearest-URL page differencing.
 
 A page is cut into lines, one per block of its markup, with white space folded and character references
-decoded. Lines inside navigation, headers, footers, side bars, notices, adverts, forms, scripts, styles
-or comments (by element, or by the words of class, id and role) go at once; lines inside an article or
-main element are text. The template can hide in what is left. Pages are therefore put in order of URL
-path within each host, each page is paired with the neighbour whose path shares the longer prefix (the
-one before, of equals), both pages' lines are aligned by longest common subsequence, and shared
-unlabelled lines are deleted. A page with no article whose lines are all shared keeps its lines of 20
-words or more, so that copies of a page do not erase each other.
-
-Order needs no task that holds a host: pages' keys and line hashes (never their text) are range-sorted
-and written in segments, neighbours are found within a segment, and the first and last page of each
-segment are also added to the segments next to it.
-
-Null and empty html give an empty text. Rows with a null page_id are extracted by their labels alone;
-rows repeated under one page_id are paired as they come and each gets a row. Null URLs are one host.
-An empty table gives no rows. Only page_id, url and html are read.
+decoded; scripts, styles, heads and form fields hold no text. Pages are put in order of URL path within each
+host, and each page is compared with the neighbours whose paths share the longer prefixes (the nearer in that
+order, then the one before, of equals), of the ``REACH`` on each side, as templates take turns on a site. The lines
+of both pages are aligned by longest common subsequence and lines that both have are template: menus, notices,
+adverts and footers go because the page beside has them too, however they are marked. Of the neighbours, the
+``NEAR`` nearest that share lines count. A neighbour with which a page shares more than nine tenths of its words is
+a copy that shows nothing and is passed over; pages of a host with equal html are one page.
+
+Where this leaves doubt the markup decides. A shared line inside an article or main element stays, for a passage
+that is quoted twice is text. A line that no neighbour shares goes if its element, its role or a whole word of its
+class says that it is something else, as on a page that has no neighbour; its words never decide on html,
+body, article and main.
+
+Order needs no task that holds a host: keys and line hashes (never text) are written once, range-sorted and
+numbered, and each run of numbers is compared in one task that also gets the ``REACH`` pages on each side of it.
+
+Null and empty html give an empty text. Each row is judged by its host, path and html, so ids may be null or
+repeat. Null URLs are one host. An empty table gives no rows. Only page_id, url and html are read.
 """
 
 from __future__ import annotations
@@ -31,33 +34,45 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-#: Fixed names: elements whose text is not content, elements that end a line, elements without an end tag.
-SKIPPED = frozenset("script style noscript template nav header footer aside form button select option textarea input iframe svg canvas object dialog menu head title figure".split()) - {"figure"}
+#: Fixed names: elements without text of the page, elements that are not its main text, and elements that end a line.
+SILENT = frozenset("script style noscript template select option textarea input iframe svg canvas object head title datalist".split())
+ASIDE = frozenset("nav header footer aside form button dialog menu".split())
 BLOCKS = frozenset("p div section article main h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table tr td th thead tbody tfoot caption blockquote pre hr br address figure figcaption details summary body html nav header footer aside form".split())
+#: Elements without an end tag, elements whose content is no markup, and elements that do not end an open paragraph.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset(("script", "style", "noscript", "template", "textarea", "title", "iframe"))
-#: Fixed words of class, id and role that mark what is not content.
-_MARKED = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert|advertisement|advertising|banner|sponsor|sponsored|promo|nav|navbar|navigation|menu|breadcrumb|breadcrumbs|header|masthead|footer|sidebar|side-bar|aside|complementary|contentinfo|cookie|cookies|consent|notice|notices|popup|modal|alert|newsletter|subscribe|subscription|share|sharing|social|comment|comments|disqus|related|recommended|widget|toolbar|pagination|pager|login|signup|search)(?:$|[\s_-])", re.I)
+WITHIN_P = frozenset(("br", "td", "th", "tr", "caption", "summary", "figcaption"))
+#: Fixed words of class, id and role, compared whole, that mark what is not the main text.
+MARKED = frozenset(
+    "ad ads advert advertisement advertising banner sponsor sponsored promo nav navbar navigation menu breadcrumb breadcrumbs masthead footer sidebar side-bar aside complementary contentinfo cookie cookies cookie-notice cookie-banner consent notice popup modal newsletter comment comments disqus_thread related pagination pager site-header site-footer page-header page-footer share-buttons social-links login-form search-form search-box".split()
+)
+#: How many pages on each side are looked at, and how many of those that share lines count.
+REACH, NEAR = 24, 2
+WHOLE = ("html", "body", "article", "main")
 #: Quotes count only at the start of an attribute's value; a tag whose quotes do not pair up ends at its first '>'.
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*+(?:\"[^\"]*\"|'[^']*'|[^\s\"'>][^\s>]*+)|=)*+(?=>)|[^>]*)>|([^<]+|<)", re.S)
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
-_BLANK = re.compile(r"\s+")
+_BLANK, _START, _NAME = re.compile(r"\s+"), re.compile(r"</?[a-zA-Z]"), re.compile(r"/?[a-zA-Z]")
 
 
-def _is_marked(attributes: str) -> bool:
-    for name, value in _ATTRIBUTE.findall(attributes):
-        value = value.strip("\"'")
-        if name.lower() == "hidden" or (name.lower() == "aria-hidden" and value == "true"):
+def _is_marked(name: str, attributes: str) -> bool:
+    for key, value in _ATTRIBUTE.findall(attributes):
+        value = value.strip("\"'").lower()
+        if key.lower() == "hidden" or (key.lower() == "aria-hidden" and value == "true"):
             return True
-        if name.lower() in ("class", "id", "role") and _MARKED.search(value):
+        if key.lower() in ("class", "id", "role") and name not in WHOLE and not MARKED.isdisjoint(value.split()):
             return True
     return False
 
 
-def lines(page: str | None) -> list[tuple[str, bool]]:
-    """(text, inside an article) of each line of a page that its markup does not mark as something else."""
-    out: list[tuple[str, bool]] = []
-    open_: list[tuple[str, bool, bool]] = []  # element, skipped, article
+#: What markup says of a line: it is in an article, or it is something else.
+ARTICLE, OTHER = 1, 2
+
+
+def lines(page: str | None) -> list[tuple[str, int]]:
+    """(text, marks) of each line of a page: ARTICLE where an article or main element holds it, OTHER where its markup names something else."""
+    out: list[tuple[str, int]] = []
+    open_: list[tuple[str, int, bool]] = []  # element, marks, silent
     held: list[str] = []
     page, at = page or "", 0
 
@@ -65,12 +80,12 @@ def lines(page: str | None) -> list[tuple[str, bool]]:
         text = _BLANK.sub(" ", references.unescape("".join(held))).strip()
         held.clear()
         if text:
-            out.append((text, any(x[2] for x in open_)))
+            out.append((text, open_[-1][1] if open_ else 0))
 
     while at < len(page):
         m = _TOKEN.match(page, at)
         if not m:  # a tag that the page's end cuts off
-            if re.match(r"</?[a-zA-Z]", page[at:]):
+            if _START.match(page, at):
                 break
             held.append("<")
             at += 1
@@ -78,75 +93,118 @@ def lines(page: str | None) -> list[tuple[str, bool]]:
         at = m.end()
         closing, name, attributes, text = m[1], m[2], m[3], m[4]
         if text is not None:
-            if text == "<" and re.match(r"/?[a-zA-Z]", page[at:]):
+            if text == "<" and _NAME.match(page, at):
                 break
-            if not open_ or not open_[-1][1]:
+            if not open_ or not open_[-1][2]:
                 held.append(text)
-        elif name is None:
-            continue
-        else:
+        elif name is not None:
             name = name.lower()
-            if name in BLOCKS:
+            ends = name in BLOCKS or name in ASIDE
+            if ends:
                 end_line()
             if closing:
                 if any(x[0] == name for x in open_):
-                    while open_.pop()[0] != name:
-                        pass
-            elif name not in VOID and not attributes.endswith("/"):
-                if name in ("p", "li") and open_ and open_[-1][0] == name:
+                    if not ends and any(x[0] in BLOCKS or x[0] in ASIDE for x in open_[_last(open_, name) :]):
+                        end_line()
+                    del open_[_last(open_, name) :]
+            elif name not in VOID:
+                if ends and name not in WITHIN_P and any(x[0] == "p" for x in open_):  # a block ends the paragraph it stands in
+                    del open_[_last(open_, "p") :]
+                if name == "li" and open_ and open_[-1][0] == "li":
                     open_.pop()
-                up = open_[-1] if open_ else ("", False, False)
-                within = up[2] or name in ("article", "main")
+                up = open_[-1] if open_ else ("", 0, False)
+                marks = up[1] | (ARTICLE if name in ("article", "main") else 0)
                 # An article's own header holds its headline.
-                skipped = up[1] or (name in SKIPPED and not (name == "header" and within)) or _is_marked(attributes)
-                open_.append((name, skipped, within))
+                if (name in ASIDE and not (name == "header" and marks & ARTICLE)) or _is_marked(name, attributes):
+                    marks |= OTHER
+                open_.append((name, marks, up[2] or name in SILENT))
                 if name in RAW:
-                    end = re.compile(rf"</{name}\s*>|$", re.I).search(page, at)
-                    at = end.end()
+                    at = re.compile(rf"</{name}\s*>|$", re.I).search(page, at).end()
                     open_.pop()
     end_line()
     return out
 
 
-def common_lines(a: list[int], b: list[int]) -> list[int]:
-    """Places in ``a`` of a longest common subsequence of two lists of line hashes."""
-    if not a or not b:
-        return []
-    table = np.zeros((len(a) + 1, len(b) + 1), np.int32)
-    y = np.array(b)
-    for i, x in enumerate(a):
-        table[i + 1, 1:] = np.maximum.accumulate(np.maximum(table[i, 1:], table[i, :-1] + (y == x)))
-    out, i, j = [], len(a), len(b)
-    while i and j:
-        if table[i, j] == table[i - 1, j]:
-            i -= 1
-        elif table[i, j] == table[i, j - 1]:
-            j -= 1
-        else:
-            i, j = i - 1, j - 1
-            out.append(i)
-    return out[::-1]
+def _last(open_: list[tuple[str, int, bool]], name: str) -> int:
+    return max(k for k, x in enumerate(open_) if x[0] == name)
+
 
+def _prefix_lengths(a: list[int], b: list[int]) -> np.ndarray:
+    """Lengths of the longest common subsequences of ``a`` and each prefix of ``b``, by one long number's bits."""
+    n = len(b)
+    every, where = (1 << n) - 1, {}
+    for j, x in enumerate(b):
+        where[x] = where.get(x, 0) | 1 << j
+    row = every
+    for x in a:
+        met = row & where.get(x, 0)
+        row = ((row + met) | (row - met)) & every
+    bits = np.unpackbits(np.frombuffer((~row & every).to_bytes((n + 7) // 8, "little"), np.uint8), bitorder="little")[:n]
+    return np.concatenate([[0], np.cumsum(bits, dtype=np.int64)])
+
+
+def common_lines(a: list[int], b: list[int]) -> list[int]:
+    """Places in ``a`` of a longest common subsequence of two lists of line hashes; memory grows with their lengths alone."""
+    both = set(a) & set(b)
+    places, a, b = [i for i, x in enumerate(a) if x in both], [x for x in a if x in both], [x for x in b if x in both]
+    out: list[int] = []
+    todo = [(0, len(a), 0, len(b))]
+    while todo:
+        a0, a1, b0, b1 = todo.pop()
+        while a0 < a1 and b0 < b1 and a[a0] == b[b0]:
+            out.append(a0)
+            a0, b0 = a0 + 1, b0 + 1
+        while a0 < a1 and b0 < b1 and a[a1 - 1] == b[b1 - 1]:
+            a1, b1 = a1 - 1, b1 - 1
+            out.append(a1)
+        if a0 == a1 or b0 == b1:
+            continue
+        if a1 - a0 == 1:
+            if a[a0] in b[b0:b1]:
+                out.append(a0)
+            continue
+        half = (a0 + a1) // 2
+        up = _prefix_lengths(a[a0:half], b[b0:b1])
+        down = _prefix_lengths(a[half:a1][::-1], b[b0:b1][::-1])
+        cut = b0 + int((up + down[::-1]).argmax())
+        todo += [(a0, half, b0, cut), (half, a1, cut, b1)]
+    return [places[i] for i in sorted(out)]
+
+
+def shared_places(own: list[int], sizes: list[int], path: str, others: list[tuple[str, list[int]]], near: int = NEAR, copy: float = 0.9) -> list[int]:
+    """Places of ``own`` (line hashes, with their words in ``sizes``) that its nearest neighbours share; ``others``: (path, line hashes) in order of distance."""
+
+    def prefix(other: str) -> int:
+        n = min(len(path), len(other))
+        return next((k for k in range(n) if path[k] != other[k]), n)
+
+    out: set[int] = set()
+    mine, total = set(own), sum(sizes)
+    some = [x for x in others if not mine.isdisjoint(x[1])]
+    for _, theirs in sorted(some, key=lambda x: -prefix(x[0])):
+        found = common_lines(own, theirs)
+        if sum(sizes[k] for k in found) > copy * total:
+            continue
+        out.update(found)
+        near -= 1
+        if not near:
+            break
+    return sorted(out)
 
-def shared_places(own: list[int], path: str, before: tuple | None, after: tuple | None) -> list[int]:
-    """Places of ``own`` that the nearer of two neighbours (path, line hashes) shares."""
-    def prefix(x: tuple | None) -> int:
-        if x is None:
-            return -1
-        n = min(len(path), len(x[0]))
-        return next((k for k in range(n) if path[k] != x[0][k]), n)
 
-    if before is None and after is None:
-        return []
-    near = before if prefix(before) >= prefix(after) else after
-    return common_lines(own, near[1])
+_SHAPE = "host string, path string, h long, hashes array<long>, sizes array<int>"
 
 
-_SHAPE = "page_id long, host string, path string, loose array<long>"
+def _placed(pages: DataFrame) -> DataFrame:
+    """``pages`` (page_id, url, html) with host, path and h, the hash of the html."""
+    url = F.coalesce("url", F.lit(""))
+    host = F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
+    path = F.regexp_extract(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)?([^?#]*)", 1)
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host.alias("host"), path.alias("path"), F.xxhash64(F.coalesce("html", F.lit(""))).alias("h"))
 
 
-def _keys(pages: DataFrame) -> DataFrame:
-    """page_id, host, path and the hashes of the unlabelled lines of each page."""
+def _keys(placed: DataFrame) -> DataFrame:
+    """host, path and h of each row, and the hashes and words of its lines."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -154,68 +212,95 @@ def _keys(pages: DataFrame) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                loose = []
+                hashes, sizes = [], []
                 for page in part.column(3).to_pylist():
-                    own = lines(page)
-                    loose.append([xxhash.xxh64_intdigest(t) - (1 << 63) for t, inside in own if not inside])
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(loose, pa.list_(pa.int64()))], ["page_id", "host", "path", "loose"])
-
-    url = F.coalesce("url", F.lit(""))
-    host = F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
-    path = F.regexp_extract(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)?([^?#]*)", 1)
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), path.alias("path"), "html").mapInArrow(rows, _SHAPE)
-
-
-def shared(pages: DataFrame) -> DataFrame:
-    """(page_id, gone): places among the unlabelled lines of each page that its nearest page shares; pages without any are left out."""
-    own = _keys(pages.where("page_id is not null")).repartitionByRange("host", "path", "page_id")
-    own = written(own.withColumn("seg", F.spark_partition_id()), "pages")
-    order = F.struct("host", "path", "page_id")
-    row = F.struct("host", "path", "page_id", "loose")
-    ends = own.groupBy("seg").agg(F.min_by(row, order).alias("first"), F.max_by(row, order).alias("last"))
-    # Segments may be empty, so neighbours are next in rank; there is one row per segment.
-    rank = Window.orderBy("seg")
-    ends = ends.select(F.lag("seg").over(rank).alias("up"), F.lead("seg").over(rank).alias("down"), "first", "last")
-    halo = ends.where("up is not null").select(F.col("up").alias("seg"), "first.*").unionByName(ends.where("down is not null").select(F.col("down").alias("seg"), "last.*"))
-    rows = own.withColumn("own", F.lit(True)).unionByName(halo.withColumn("own", F.lit(False)))
-    by = Window.partitionBy("seg").orderBy("host", "path", "page_id", "own")
-    beside = F.struct("host", "path", "loose")
-    rows = rows.withColumn("before", F.lag(beside).over(by)).withColumn("after", F.lead(beside).over(by))
-    rows = rows.where(F.col("own") & (F.size("loose") > 0)).select("page_id", "host", "path", "loose", "before", "after")
+                    own = [t for t, _ in lines(page)]
+                    hashes.append([xxhash.xxh64_intdigest(t) - (1 << 63) for t in own])
+                    sizes.append([t.count(" ") + 1 for t in own])
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(hashes, pa.list_(pa.int64())), pa.array(sizes, pa.list_(pa.int32()))], ["host", "path", "h", "hashes", "sizes"])
+
+    return placed.select("host", "path", "h", "html").mapInArrow(rows, _SHAPE)
+
+
+def shared(placed: DataFrame, reach: int = REACH, run: int = 512) -> DataFrame:
+    """(host, h, gone): the places of the lines that the neighbours of each page share; pages without any are left out."""
+    # Pages of a host with equal html are one, at their least path.
+    keys = written(_keys(placed), "keys")
+    least = keys.groupBy("host", "h").agg(F.min("path").alias("path"))
+    own = written(least, "least").join(keys, ["host", "h", "path"]).dropDuplicates(["host", "h"])
+    own = written(own.repartitionByRange("host", "path", "h").withColumn("seg", F.spark_partition_id()), "pages")
+    ahead = Window.orderBy("seg").rowsBetween(Window.unboundedPreceding, -1)
+    begins = own.groupBy("seg").agg(F.count(F.lit(1)).alias("n")).select("seg", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("begin"))
+    place = F.row_number().over(Window.partitionBy("seg").orderBy("host", "path", "h")) - 1
+    own = own.withColumn("place", place).join(F.broadcast(begins), "seg").withColumn("g", F.col("begin") + F.col("place"))  # a row for each shuffle partition
+    first, last = F.floor((F.col("g") - reach) / run), F.floor((F.col("g") + reach) / run)
+    rows = own.withColumn("run", F.explode(F.sequence(first, last))).withColumn("own", F.floor(F.col("g") / run) == F.col("run"))
+    rows = rows.repartition("run").sortWithinPartitions("run", "g").select("run", "own", "host", "path", "h", "hashes", "sizes")
+
+    def found(group: list[tuple], at: int, low: int) -> tuple | None:
+        """The result for page ``at`` of a run of pages of one host; its neighbours lie from ``low`` on."""
+        own_, host, path, h, hashes, sizes = group[at]
+        if not own_ or not hashes:
+            return None
+        order = [k for d in range(1, reach + 1) for k in (at - d, at + d) if low <= k < len(group)]
+        gone = shared_places(hashes, sizes, path, [(group[k][2], group[k][4]) for k in order])
+        return (host, h, gone) if gone else None
 
     def diff(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, gone = [], []
-            for r in batch.to_pylist():
-                near = [(x["path"], x["loose"]) if x and x["host"] == r["host"] else None for x in (r["before"], r["after"])]
-                if found := shared_places(r["loose"], r["path"], *near):
-                    ids.append(r["page_id"])
-                    gone.append(found)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(gone, pa.list_(pa.int32()))], ["page_id", "gone"])
-
-    return rows.mapInArrow(diff, "page_id long, gone array<int>")
+        group: list[tuple] = []
+        mark, done = None, 0
+        out: list[tuple] = []
 
+        def packed() -> pa.RecordBatch:
+            columns = list(zip(*(x for x in out if x), strict=True)) or [(), (), ()]
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, (pa.string(), pa.int64(), pa.list_(pa.int32())), strict=True)], ["host", "h", "gone"])
 
-def main_text(own: list[tuple[str, bool]], gone: list[int] | None) -> str:
-    """The lines that stay, joined by one space."""
+        for batch in batches:
+            for r in batch.to_pylist():
+                if (r["run"], r["host"]) != mark:
+                    out += [found(group, k, max(0, k - reach)) for k in range(done, len(group))]
+                    group, done, mark = [], 0, (r["run"], r["host"])
+                group.append((r["own"], r["host"], r["path"], r["h"], r["hashes"], r["sizes"]))
+                if len(group) > done + reach:
+                    out.append(found(group, done, max(0, done - reach)))
+                    done += 1
+                    if done > 2 * reach:  # pages that no page to come can look back at
+                        del group[: done - reach]
+                        done = reach
+            yield packed()
+        out += [found(group, k, max(0, k - reach)) for k in range(done, len(group))]
+        yield packed()
+
+    return rows.mapInArrow(diff, "host string, h long, gone array<int>")
+
+
+def main_text(own: list[tuple[str, int]], gone: list[int] | None) -> tuple[str, int, int]:
+    """The lines that stay, joined by one space, and the numbers of lines that differencing and that markup removed."""
     gone_ = set(gone or ())
-    loose = [k for k, (_, inside) in enumerate(own) if not inside]
-    away = {k for place, k in enumerate(loose) if place in gone_}
-    if len(away) == len(own):
-        away = {k for k in away if own[k][0].count(" ") < 19}
-    return " ".join(t for k, (t, _) in enumerate(own) if k not in away)
+    stay, shared_, marked = [], 0, 0
+    for k, (text, marks) in enumerate(own):
+        if k in gone_ and marks != ARTICLE:
+            shared_ += 1
+        elif marks & OTHER:
+            marked += 1
+        else:
+            stay.append(text)
+    return " ".join(stay), shared_, marked
 
 
 def extracted(pages: DataFrame) -> DataFrame:
-    """page_id, url, text and n_chars of every row of ``pages`` (page_id, url, html)."""
-    gone = shared(pages).groupBy("page_id").agg(F.first("gone").alias("gone"))
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").join(gone, "page_id", "left")
+    """page_id, url, text, n_chars, n_shared and n_marked (lines that differencing and that markup removed) of every row of ``pages`` (page_id, url, html)."""
+    placed = _placed(pages)
+    gone = written(shared(placed), "gone")
+    rows = placed.join(gone.withColumnsRenamed({"host": "_host", "h": "_h"}), (F.col("host") == F.col("_host")) & (F.col("h") == F.col("_h")), "left")
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 own = [main_text(lines(page), g) for page, g in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(own, pa.string()), pa.array([len(t) for t in own], pa.int64())], ["page_id", "url", "text", "n_chars"])
+                counts = [pa.array(x, pa.int64()) for x in ([len(t) for t, _, _ in own], [x for _, x, _ in own], [x for _, _, x in own])]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([t for t, _, _ in own], pa.string()), *counts], ["page_id", "url", "text", "n_chars", "n_shared", "n_marked"])
 
-    return rows.mapInArrow(texts, "page_id long, url string, text string, n_chars long")
+    return rows.select("page_id", "url", "html", "gone").mapInArrow(texts, "page_id long, url string, text string, n_chars long, n_shared long, n_marked long")

@@ -271,45 +271,114 @@ def test_components_of_a_star(spark):
 def test_page_lines():
     html = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p>";</script></head><body><nav><ul><li>Home</li></ul></nav>
     <div class="cookie-notice">We use cookies</div><header>Site</header><article><header><h1>Head&amp;line</h1></header><p>One <b>two</b>\n three<br>four<p>Five &lt;six&gt; &#233;</p>
-    <div class="comments"><p>First!</p></div><form><input>Go</form></article><aside>Side</aside><div id="ad-1">Buy</div><!-- x --><footer>&copy; me</footer><p>Loose</p></body></html>"""
-    assert pages.lines(html) == [("Head&line", True), ("One two three", True), ("four", True), ("Five <six> é", True), ("Loose", False)]
+    <div class="comments"><p>First!</p></div><form><input>Go</form></article><aside>Side</aside><div id="ads">Buy</div><!-- x --><footer>&copy; me</footer><p>Loose</p></body></html>"""
+    own = pages.lines(html)
+    assert [x for x in own if not x[1] & pages.OTHER] == [("Head&line", 1), ("One two three", 1), ("four", 1), ("Five <six> é", 1), ("Loose", 0)]
+    assert [t for t, k in own if k & pages.OTHER] == ["Home", "We use cookies", "Site", "First!", "Go", "Side", "Buy", "© me"]
     assert pages.lines(None) == [] and pages.lines("") == []
-    assert pages.lines("<article><p>cut &amp; of<p>f <b") == [("cut & of", True), ("f", True)]
-    assert pages.lines("a < b") == [("a < b", False)]
+    assert pages.lines("<article><p>cut &amp; of<p>f <b") == [("cut & of", 1), ("f", 1)]
+    assert pages.lines("a < b") == [("a < b", 0)]
 
 
 def test_stray_quotes():
-    both = [("Body one.", False), ("Body two.", False)]
+    both = [("Body one.", 0), ("Body two.", 0)]
     for tag in ('<p class="a"">', "<p title=it's>", '<p ">', '<p class="a>', "<p class='a>", '<p a=b"c>', '<p title="a > b">', '<p title= "a>b" x>', "<p a='\"'>"):
         assert pages.lines(f"{tag}Body one.</p><p>Body two.</p>") == both, tag
     assert pages.lines("<p title=it's>Body one.</p><p>Body two.</p><p title=it's></p>") == both
     assert pages.lines('<p class="a"">Body one.</p><p>Body two.</p><p class="a""></p>') == both
-    assert pages.lines('<p class="a>Body one.</p><p>Body two.</p>"') == [*both, ('"', False)]
+    assert pages.lines('<p class="a>Body one.</p><p>Body two.</p>"') == [*both, ('"', 0)]
     assert pages.lines("<p>Body one.</p><p " + 'a="b" ' * 5000) == both[:1]
+    assert pages.lines("<p data-x=it's>hello</p><p>more</p>") == [("hello", 0), ("more", 0)]
+
+
+def test_names_of_classes():
+    """Parts of a class name decide nothing, and whole pages and articles are never something else."""
+    for tag in ('body class="page search"', 'div class="post share-price"', 'article class="article social-science"', 'main id="menu"', 'div class="ad-hoc reports"'):
+        assert [k & pages.OTHER for _, k in pages.lines(f"<{tag}><p>Text.</p>")] == [0], tag
+    assert pages.lines("<p class=ad>ad<div>real content</div>") == [("ad", 2), ("real content", 0)]
+
+
+def test_long_pages():
+    """Twenty thousand lines a side, and a hundred thousand of which most are shared, in little memory."""
+    rng = random.Random(2)
+    a, b = ([rng.randrange(4000) for _ in range(20_000)] for _ in range(2))
+    own = pages.common_lines(a[:3000], b[:3000])
+    assert own == sorted(own) and len(own) > 50
+    long = list(range(100_000))
+    other = [x for x in long if x % 1000] + [-1]
+    assert pages.common_lines(long, other) == [x for x in long if x % 1000]
+    page = "<" * 20_000 + "".join(f"<p>line {k}" for k in range(100_000))
+    assert len(pages.lines(page)) == 100_001
 
 
 def test_common_lines():
     rng = random.Random(4)
-    for _ in range(200):
-        a, b = ([rng.randint(0, 4) for _ in range(rng.randint(0, 12))] for _ in range(2))
+    for _ in range(300):
+        a, b = ([rng.randint(0, 4) for _ in range(rng.randint(0, 14))] for _ in range(2))
         own = pages.common_lines(a, b)
         best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
         for i, x in enumerate(a):
             for j, y in enumerate(b):
                 best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
         assert len(own) == best[-1][-1] and own == sorted(own)
+        rest = iter(b)
+        assert all(a[i] in rest for i in own)
 
 
 def test_differencing(spark):
+    """Template lines go without any label, whatever ids repeat, and copies do not erase each other."""
     body = lambda t: f"<html><body><div>Site name</div><p>{t}</p><div>All about us</div></body></html>"
-    rows = [(k, f"http://H.example/a/{k:03}", body(f"Text number {k} alone.")) for k in range(40)]
-    rows += [(100, None, None), (101, None, ""), (None, "http://h.example/a/2", body("No id.")), (102, "http://other.example/x", body("Single page.")), (7, "http://h.example/a/007", body("Text number 7 alone."))]
+    words = lambda k: " ".join(f"w{k}x{j}" for j in range(12))
+    rows = [(k, f"http://H.example/a/{k:03}", body(words(k))) for k in range(40)]
+    rows += [(100, None, None), (101, None, ""), (None, "http://h.example/a/2", body("No id here.")), (102, "http://other.example/x", body("Single page.")), (7, "http://h.example/a/007", body(words(7)))]
+    rows += [(1, "http://h.example/b/1", body("real two A")), (1, "http://h.example/b/2", body("real two B"))]
+    rows += [(200 + k, f"http://copies.example/{k}", body(words(500))) for k in range(5)]
     found = pages.extracted(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)).collect()
-    assert len(found) == len(rows)
-    own = {(r["page_id"], r["text"]) for r in found}
-    assert {(k, f"Text number {k} alone.") for k in range(40) if k not in (7,)} <= own
-    assert {(100, ""), (101, ""), (102, "Site name Single page. All about us"), (None, "Site name No id. All about us")} <= own
-    assert all(r["n_chars"] == len(r["text"]) for r in found)
+    own = Counter((r["page_id"], r["text"]) for r in found)
+    want = Counter({(k, words(k)): 1 for k in range(40)}) + Counter([(100, ""), (101, ""), (None, "No id here."), (102, "Site name Single page. All about us"), (7, words(7)), (1, "real two A"), (1, "real two B")])
+    want += Counter((200 + k, f"Site name {words(500)} All about us") for k in range(5))
+    assert own == want
+    assert all(r["n_chars"] == len(r["text"]) for r in found) and sum(r["n_shared"] for r in found) == 2 * 44
+
+
+def brute_shared(rows):
+    """Lines that the nearest pages of a host share, by plain dynamic programming over all pages of the host in order."""
+    hosts = defaultdict(dict)
+    for _, url, html in rows:
+        host, _, path = url.split("://", 1)[1].partition("/")
+        path = "/" + path.split("#")[0].split("?")[0]
+        old = hosts[host].get(html)
+        hosts[host][html] = min(old, path) if old else path
+    out = {}
+    for host, own in hosts.items():
+        order = sorted((p, xxhash_of(h), h) for h, p in own.items())
+        for n, (path, _, html) in enumerate(order):
+            mine = [t for t, _ in pages.lines(html)]
+            near = [order[k] for d in range(1, pages.REACH + 1) for k in (n - d, n + d) if 0 <= k < len(order)]
+            same = lambda p: next((k for k in range(min(len(p), len(path))) if p[k] != path[k]), min(len(p), len(path)))
+            left, gone = 2, set()
+            for p, _, other in sorted(near, key=lambda x: -same(x[0])):
+                theirs = [t for t, _ in pages.lines(other)]
+                found = pages.common_lines(list(map(xxhash_of, mine)), list(map(xxhash_of, theirs)))
+                if found and left and sum(len(mine[k].split(" ")) for k in found) <= 0.9 * sum(len(t.split(" ")) for t in mine):
+                    gone |= set(found)
+                    left -= 1
+            out[host, html] = gone
+    return out
+
+
+def test_differencing_against_all_pages(spark):
+    """On the driver's pages the lines removed are those of the brute-force version, and there are many."""
+    table = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    rows = [tuple(r) for r in table.select("page_id", "url", "html").collect()]
+    want = brute_shared(rows)
+    found = {(r["page_id"], r["url"]): r for r in pages.extracted(table).collect()}
+    for page_id, url, html in rows:
+        host = url.split("://", 1)[1].partition("/")[0]
+        text, shared, _ = pages.main_text(pages.lines(html), sorted(want[host, html]))
+        r = found[page_id, url]
+        assert (r["text"], r["n_shared"]) == (text, shared)
+    assert sum(r["n_shared"] for r in found.values()) > 150
 
 
 def test_pages_against_articles(spark):
