@@ -1,11 +1,16 @@
 """Substring dedup by collinear chaining: fuzzy passages of ``least`` words or more that two documents share.
 
-1. Words are lower-cased runs of anything but ASCII white space. Every place is a seed: four words, one that
-   may differ, and four more. One changed word in five or more, evenly spread, leaves such seeds, and eight
-   fixed words seldom agree by chance. To these come runs of 16 and 39 words, thinned to the least hash of each
-   window of 8 and 12, so that any 50 equal words share a run of 39 whoever owns their seeds.
-2. Seeds and runs are joined with their first owner, the document with the smallest doc_id that has them. Each
-   occurrence gives one match, so a passage in a third of all documents costs no more than its words.
+1. Words are lower-cased runs of anything but ASCII white space. A seed is four words, one that may differ, and
+   four more; half of all seeds count, chosen by their hash and so alike in every document. One changed word in
+   five or more, evenly spread, leaves such seeds, and eight fixed words seldom agree by chance. To these come runs
+   of 39 and 50 words, thinned to the least hash of each window of 12: any 50 equal words share a run of 39 and any
+   61 a run of 50, whoever owns their seeds, and the owner of a run of 50 is a passage by itself.
+2. Each occurrence of a seed or run is matched with its first owner, the document with the smallest doc_id that has
+   it, so a passage in a third of all documents costs no more than its words. Nearly all seeds occur once. So that
+   these cost little, tasks sort some million seeds at a time by hash and send them in blocks of a few bytes a seed
+   to the range of hashes that they belong to, where owners are found. Of a seed that is frequent in one task, the
+   first occurrence there goes into the block and the others go as rows of their own, dealt out evenly, that are
+   joined with the owner later; so no range holds a frequent seed's occurrences.
 3. The matches of a (document, owner) pair, of ``k`` sure words each, are chained: a Fenwick tree over owner
    positions keeps the best chain end, scored by the words it covers less a cost for every word of gap,
    separately from a cost for gaps of different length, until chains of matches that increase on both sides
@@ -18,8 +23,9 @@ A chain is reported if both sides have ``least`` words or more and 2 * matched /
 at least ``similar``. Only passages shared by different documents count.
 
 Exact copies need no rule of their own: their only chain with the first copy is the whole text. Null texts
-count as empty; rows with a null doc_id take no part; rows repeated under one doc_id count once, with the
-smallest text. Only doc_id and text are read. An empty table gives no rows.
+count as empty. Different texts under one doc_id, or under null, are different documents, ordered by doc_id (null
+last) and a hash of the text; rows equal in both are one document, whose passages are reported once. Only doc_id
+and text are read. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -58,46 +64,212 @@ def word_hashes(text: bytes | None, memo: Words) -> np.ndarray:
     return np.array(list(map(memo.__getitem__, own)), np.uint64)
 
 
-#: Words, window and word left out (none: -1) of each kind of seed.
-KINDS = ((9, 1, 4), (16, 8, -1), (39, 12, -1))
+#: The last doc_id of all, for null.
+LAST = (1 << 63) - 1
+#: Words, window (none: places are taken by their hash) and word left out (none: -1) of each kind of seed.
+KINDS = ((9, None, 4), (39, 12, -1), (50, 12, -1))
+BITS = 48
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 1 << 64)
 
 
-def seeds(hashes: np.ndarray, k: int, window: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the seeds of a text: the least k-word hash of every window, the last of equals; word ``skip`` of the k is left out."""
+def _powers(base: int, n: int) -> np.ndarray:
+    return np.concatenate([np.ones(1, np.uint64), np.multiply.accumulate(np.full(n, base, np.uint64))])
+
+
+def seeds(hashes: np.ndarray, k: int, window: int | None, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of the seeds of a text; word ``skip`` of the k is left out.
+
+    With a window: the least hashes of every window of that many places. Without: half of all places, by their hash.
+    """
     n = len(hashes) - k + 1
     if n < 1:
         return np.empty(0, np.int64), np.empty(0, np.uint64)
-    sums = np.zeros(n, np.uint64)
-    for j in (x for x in range(k) if x != skip):
-        sums = sums * np.uint64(0x9E3779B97F4A7C15) + hashes[j : j + n]
+    # Sums of words times powers, moved to one place by the inverse power.
+    up = np.concatenate([np.zeros(1, np.uint64), np.cumsum(hashes * _powers(_BASE, len(hashes) - 1), dtype=np.uint64)])
+    sums = (up[k:] - up[:n]) * _powers(_INVERSE, n - 1)
+    if skip >= 0:
+        sums -= hashes[skip : skip + n] * np.uint64(pow(_BASE, skip, 1 << 64))
     sums ^= sums >> np.uint64(29)
     sums *= np.uint64(0xBF58476D1CE4E5B9)
     sums ^= sums >> np.uint64(32)
-    if window == 1:
-        at = np.arange(n)
+    if window is None:
+        at = np.flatnonzero(sums & np.uint64(1))
     elif n <= window:
-        at = np.array([n - 1 - sums[::-1].argmin()])
+        at = np.flatnonzero(sums == sums.min())
     else:
-        wide = np.lib.stride_tricks.sliding_window_view(sums[::-1], window)
-        at = np.unique(n - 1 - (np.arange(len(wide)) + wide.argmin(axis=1)))
+        # A place is the least of some window if it equals the greatest of the minima of the windows it lies in.
+        least = _sliding(sums, window, np.minimum)
+        edge = np.zeros(window - 1, np.uint64)
+        at = np.flatnonzero(_sliding(np.concatenate([edge, least, edge]), window, np.maximum) == sums)
     return at, sums[at]
 
 
+def _sliding(x: np.ndarray, window: int, best: np.ufunc) -> np.ndarray:
+    """The best of each ``window`` values that follow each other, by doubling."""
+    done = 1
+    while done < window:
+        step = min(done, window - done)
+        x = best(x[:-step], x[step:])
+        done += step
+    return x
+
+
 def all_seeds(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the seeds of every kind."""
+    """Places and 48-bit hashes of the seeds of every kind."""
     own = [seeds(hashes, *kind) for kind in KINDS]
-    return np.concatenate([x[0] for x in own]), np.concatenate([x[1] ^ np.uint64(n) for n, x in enumerate(own)])
+    mixed = [(x[1] ^ np.uint64(n * 0x9E3779B97F4A7C15 % (1 << 64))) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(64 - BITS) for n, x in enumerate(own)]
+    return np.concatenate([x[0] for x in own]), np.concatenate(mixed)
+
+
+def _narrow(x: np.ndarray) -> tuple[int, bytes]:
+    """(bytes a number, numbers) of unsigned numbers, at as few bytes as the greatest needs."""
+    width = max(1, (int(x.max()).bit_length() + 7) // 8) if len(x) else 1
+    return width, x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def _wide(width: int, data: bytes) -> np.ndarray:
+    raw = np.frombuffer(data, np.uint8).reshape(-1, width)
+    out = np.zeros((len(raw), 8), np.uint8)
+    out[:, :width] = raw
+    return out.reshape(-1).view("<u8")
+
+
+#: ``salt`` is 0 for a block of seeds (hash steps, places, the documents they lie in), else the row's are the occurrences of seeds that are frequent in one task.
+BLOCK = "part int, salt int, hw int, hs binary, pw int, ps binary, ds binary, ts binary, starts binary, hot binary"
+#: kind 0: matches of a document with an owner; 1: the owner of a seed that is frequent somewhere; 2: an occurrence of such a seed.
+MATCH = "kind int, h long, d long, t long, o long, u long, ps array<int>, qs array<int>"
+
+
+def _blocks_of(docs: list[tuple[int, int, np.ndarray]], parts: int, hot: int, salts: int) -> list[tuple]:
+    """The rows of ``BLOCK`` of some documents (d, t, word hashes)."""
+    ds, ts = np.array([x[0] for x in docs], np.int64), np.array([x[1] for x in docs], np.int64)
+    sizes = np.array([len(x[2]) for x in docs], np.int64)
+    starts = np.cumsum(sizes) - sizes
+    own = [all_seeds(x[2]) for x in docs]
+    h = np.concatenate([x[1] for x in own])
+    places = np.concatenate([x[0] + start for x, start in zip(own, starts, strict=True)])
+    order = np.argsort(h, kind="stable")
+    h, places = h[order], places[order]
+    doc = np.searchsorted(starts, places, "right") - 1
+    while (empty := sizes[doc] == 0).any():  # empty documents share their start with the next
+        doc[empty] -= 1
+    edge = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.empty(0, np.int64)
+    count = np.diff(np.append(edge, len(h)))
+    out: list[tuple] = []
+    many = np.empty(0, np.uint64)
+    if (count > hot).any():
+        many = h[edge[count > hot]]
+        big = np.flatnonzero(np.repeat(count > hot, count))
+        rank = np.lexsort((places[big], ts[doc[big]], ds[doc[big]], h[big]))
+        big = big[rank]
+        away = big[np.concatenate([[False], h[big][1:] == h[big][:-1]])]  # all but the first of each
+        for salt in range(salts):
+            some = away[salt::salts]
+            if len(some):
+                out.append((0, salt + 1, 8, h[some].tobytes(), 8, (places[some] - starts[doc[some]]).tobytes(), ds[doc[some]].tobytes(), ts[doc[some]].tobytes(), b"", b""))
+        stay = np.ones(len(h), bool)
+        stay[away] = False
+        h, places, doc = h[stay], places[stay], doc[stay]
+    part = (h >> np.uint64(BITS - 32)) * np.uint64(parts) >> np.uint64(32)
+    where = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
+    hot_part = (many >> np.uint64(BITS - 32)) * np.uint64(parts) >> np.uint64(32)
+    for k in range(parts):
+        low, high = where[k], where[k + 1]
+        if low < high:
+            met, number = np.unique(doc[low:high], return_inverse=True)
+            # Places are counted over the documents met here, so that they stay small numbers.
+            shift = np.cumsum(sizes[met]) - sizes[met]
+            hw, hs = _narrow(np.diff(h[low:high], prepend=np.uint64(0)))
+            pw, ps = _narrow((places[low:high] - starts[doc[low:high]] + shift[number.ravel()]).astype(np.uint64))
+            out.append((k, 0, hw, hs, pw, ps, ds[met].tobytes(), ts[met].tobytes(), shift.tobytes(), many[hot_part == k].tobytes()))
+    return out
+
 
+def _seed_blocks(texts: DataFrame, parts: int, flush: int = 1_500_000, hot: int = 64, salts: int = 32) -> DataFrame:
+    names = [x.split()[0] for x in BLOCK.split(", ")]
+    kinds = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), *[pa.binary()] * 5]
 
-def thinned(matches: list[tuple[int, int]], k: int) -> list[tuple[int, int]]:
-    """``matches`` without those that lie in a row on a diagonal between every k-th and the last."""
-    own = np.unique(np.array(matches, np.int64).reshape(-1, 2), axis=0)
-    own = own[np.lexsort((own[:, 0], own[:, 1] - own[:, 0]))]
-    same = (np.diff(own, axis=0) == 1).all(axis=1)
-    starts = np.flatnonzero(np.concatenate([[True], ~same]))
-    nth = np.arange(len(own)) - np.repeat(starts, np.diff(np.append(starts, len(own))))
-    keep = (nth % k == 0) | np.append(~same, True)
-    return [(int(i), int(j)) for i, j in own[keep]]
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = Words()
+        held: list[tuple[int, int, np.ndarray]] = []
+        size = 0
+
+        def emit() -> pa.RecordBatch:
+            own = _blocks_of(held, parts, hot, salts)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(list(zip(*own, strict=True)) or [()] * len(kinds), kinds, strict=True)], names)
+
+        for batch in batches:
+            for d, t, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.large_binary()), strict=True):
+                own = word_hashes(text.as_py(), memo)
+                held.append((d, t, own))
+                size += len(own)
+                if size >= flush:
+                    yield emit()
+                    size = 0
+        if held:
+            yield emit()
+
+    return texts.mapInArrow(rows, BLOCK)
+
+
+def _matches(block: pd.DataFrame) -> pd.DataFrame:
+    """The rows of ``MATCH`` of one part's blocks."""
+    names = [x.split()[0] for x in MATCH.split(", ")]
+    none = [np.empty(0, np.int32)]
+    if block["salt"].iloc[0]:
+        h, d, t, p = (np.concatenate([np.frombuffer(x, np.int64) for x in block[c]]) for c in ("hs", "ds", "ts", "ps"))
+        empty = none * len(h)
+        return pd.DataFrame({"kind": 2, "h": h, "d": d, "t": t, "o": 0, "u": 0, "ps": list(p.astype(np.int32)[:, None]), "qs": empty}, columns=names)
+    hs, ds, ts, ps, hot = [], [], [], [], []
+    for hw, h, pw, p, d, t, starts, many in zip(*(block[c] for c in ("hw", "hs", "pw", "ps", "ds", "ts", "starts", "hot")), strict=True):
+        at, starts = _wide(pw, p).astype(np.int64), np.frombuffer(starts, np.int64)
+        doc = np.searchsorted(starts, at, "right") - 1
+        hs.append(np.cumsum(_wide(hw, h), dtype=np.uint64))
+        ds.append(np.frombuffer(d, np.int64)[doc])
+        ts.append(np.frombuffer(t, np.int64)[doc])
+        ps.append((at - starts[doc]).astype(np.int32))
+        hot.append(np.frombuffer(many, np.uint64))
+    h, many = np.concatenate(hs), np.unique(np.concatenate(hot))
+    order = np.argsort(h, kind="stable")
+    same = h[order][1:] == h[order][:-1]
+    often = np.zeros(len(h), bool)
+    often[order[1:][same]] = often[order[:-1][same]] = True
+    if len(many):
+        often |= np.isin(h, many)
+    at = np.flatnonzero(often)
+    h, d, t, p = h[at], np.concatenate(ds)[at], np.concatenate(ts)[at], np.concatenate(ps)[at]
+    order = np.lexsort((p, t, d, h))
+    h, d, t, p = h[order], d[order], t[order], p[order]
+    first = np.concatenate([[True], h[1:] != h[:-1]]) if len(h) else np.empty(0, bool)
+    owner = np.flatnonzero(first)[np.cumsum(first) - 1]
+    other = np.flatnonzero((d != d[owner]) | (t != t[owner]))
+    d_, t_, o, u, p_, q = d[other], t[other], d[owner[other]], t[owner[other]], p[other], p[owner[other]]
+    order = np.lexsort((p_, u, o, t_, d_))
+    d_, t_, o, u, p_, q = (x[order] for x in (d_, t_, o, u, p_, q))
+    new = np.flatnonzero(np.concatenate([[True], (d_[1:] != d_[:-1]) | (t_[1:] != t_[:-1]) | (o[1:] != o[:-1]) | (u[1:] != u[:-1])])) if len(d_) else np.empty(0, np.int64)
+    out = pd.DataFrame({"kind": 0, "h": 0, "d": d_[new], "t": t_[new], "o": o[new], "u": u[new], "ps": np.split(p_, new[1:]) if len(new) else [], "qs": np.split(q, new[1:]) if len(new) else []}, columns=names)
+    led = np.flatnonzero(first & np.isin(h, many))
+    owners = pd.DataFrame({"kind": 1, "h": h[led].astype(np.int64), "d": 0, "t": 0, "o": d[led], "u": t[led], "ps": none * len(led), "qs": list(p[led][:, None])}, columns=names)
+    return pd.concat([out, owners])
+
+
+def thinned(pair: np.ndarray, p: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The matches (p, q) of each pair without those that lie in a row on a diagonal between every k-th and the last."""
+    order = np.lexsort((p, q - p, pair))
+    pair, p, q = pair[order], p[order], q[order]
+    twin = (pair[1:] == pair[:-1]) & (p[1:] == p[:-1]) & (q[1:] == q[:-1])
+    new = np.concatenate([[True], ~twin]) if len(p) else np.empty(0, bool)
+    pair, p, q = pair[new], p[new], q[new]
+    same = (pair[1:] == pair[:-1]) & (p[1:] - p[:-1] <= k) & (q[1:] - p[1:] == q[:-1] - p[:-1])
+    starts = np.flatnonzero(np.concatenate([[True], ~same])) if len(p) else np.empty(0, np.int64)
+    since = p - np.repeat(p[starts], np.diff(np.append(starts, len(p))))
+    step = since // k
+    keep = np.append(~same, True) if len(p) else np.empty(0, bool)
+    keep[starts] = True
+    keep[1:] |= same & (step[1:] != step[:-1])  # the first match of every k places
+    return pair[keep], p[keep], q[keep]
 
 
 def wanted(chains: list[list[tuple[int, int]]], least: int, near: int = 60) -> list[list[tuple[int, int]]]:
@@ -212,55 +384,48 @@ def align(a: np.ndarray, b: np.ndarray, run: list[tuple[int, int]], k: int, miss
     return i - du, i1, j - dv, j1, matched + got
 
 
-def _seed_rows(texts: DataFrame) -> DataFrame:
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Words()
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                own = [all_seeds(word_hashes(t, memo)) for t in part.column(1).cast(pa.large_binary()).to_pylist()]
-                take = pa.array(np.repeat(np.arange(len(own)), [len(x[0]) for x in own]).astype(np.int32))
-                columns = [part.column(0).take(take), pa.array(np.concatenate([x[0] for x in own]).astype(np.int32)), pa.array(np.concatenate([x[1] for x in own]).view(np.int64))]
-                yield pa.RecordBatch.from_arrays(columns, ["d", "p", "h"])
-
-    return texts.mapInArrow(rows, "d long, p int, h long")
-
-
 def _chains(pairs: DataFrame, k: int, least: int) -> DataFrame:
-    """The chains of each pair of ``pairs`` (d, o, matches)."""
+    """The chains of each pair of ``pairs`` (d, t, o, u, ps, qs)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            ps, qs = batch.column(4), batch.column(5)
+            pair = np.repeat(np.arange(batch.num_rows), ps.value_lengths().to_numpy(zero_copy_only=False))
+            pair, p, q = thinned(pair, ps.flatten().to_numpy().astype(np.int64), qs.flatten().to_numpy().astype(np.int64), k)
+            edges = np.searchsorted(pair, np.arange(batch.num_rows + 1))
+            keys = [batch.column(c).to_pylist() for c in range(4)]
             out = []
-            for d, o, matches in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
-                for n, run in enumerate(wanted(chain(thinned([(x["p"], x["q"]) for x in matches], k), k), least)):
-                    out.append({"c": f"{d}/{o}/{n}", "d": d, "o": o, "ps": [x[0] for x in run], "qs": [x[1] for x in run]})
+            for n, (d, t, o, u) in enumerate(zip(*keys, strict=True)):
+                matches = list(zip(p[edges[n] : edges[n + 1]].tolist(), q[edges[n] : edges[n + 1]].tolist(), strict=True))
+                for m, run in enumerate(wanted(chain(matches, k), least)):
+                    out.append({"c": f"{d}/{t}/{o}/{u}/{m}", "d": d, "t": t, "o": o, "u": u, "ps": [x[0] for x in run], "qs": [x[1] for x in run]})
             yield pa.RecordBatch.from_pylist(out, schema=shape)
 
-    ints = pa.list_(pa.int32())
-    shape = pa.schema([("c", pa.string()), ("d", pa.int64()), ("o", pa.int64()), ("ps", ints), ("qs", ints)])
-    return pairs.mapInArrow(rows, "c string, d long, o long, ps array<int>, qs array<int>")
+    ints, long = pa.list_(pa.int32()), pa.int64()
+    shape = pa.schema([("c", pa.string()), ("d", long), ("t", long), ("o", long), ("u", long), ("ps", ints), ("qs", ints)])
+    return pairs.mapInArrow(rows, "c string, d long, t long, o long, u long, ps array<int>, qs array<int>")
 
 
 def _word_blocks(asked: DataFrame, block: int) -> DataFrame:
-    """(d, b, words): the blocks of 32-bit word hashes that each row of ``asked`` (d, text, blocks) asks for."""
+    """(d, t, b, words): the blocks of 32-bit word hashes that each row of ``asked`` (d, t, text, blocks) asks for."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = Words()
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
-                ds, bs, own = [], [], []
-                for d, text, blocks in zip(part.column(0).to_pylist(), part.column(1).cast(pa.large_binary()).to_pylist(), part.column(2).to_pylist(), strict=True):
+                ds, ts, bs, own = [], [], [], []
+                for d, t, text, blocks in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2).cast(pa.large_binary()).to_pylist(), part.column(3).to_pylist(), strict=True):
                     hashes = word_hashes(text, memo).astype(np.uint32).view(np.int32)
                     for b in blocks:
                         if len(some := hashes[b * block : (b + 1) * block]):
                             ds.append(d)
+                            ts.append(t)
                             bs.append(b)
                             own.append(some)
-                yield pa.RecordBatch.from_arrays([pa.array(ds, pa.int64()), pa.array(bs, pa.int32()), pa.array(own, pa.list_(pa.int32()))], ["d", "b", "words"])
+                yield pa.RecordBatch.from_arrays([pa.array(ds, pa.int64()), pa.array(ts, pa.int64()), pa.array(bs, pa.int32()), pa.array(own, pa.list_(pa.int32()))], ["d", "t", "b", "words"])
 
-    return asked.mapInArrow(rows, "d long, b int, words array<int>")
+    return asked.mapInArrow(rows, "d long, t long, b int, words array<int>")
 
 
 def _aligned(ready: DataFrame, k: int, least: int, similar: float) -> DataFrame:
@@ -281,40 +446,44 @@ def _aligned(ready: DataFrame, k: int, least: int, similar: float) -> DataFrame:
     return ready.mapInArrow(rows, FOUND)
 
 
-def _distinct_ids(docs: DataFrame) -> DataFrame:
-    """(d, text) with one row for each doc_id."""
-    rows = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("d"), F.coalesce("text", F.lit("")).alias("text"))
-    if rows.groupBy("d").count().where("count > 1").isEmpty():
-        return rows
-    return rows.groupBy("d").agg(F.min("text").alias("text"))
+def matched(texts: DataFrame, seeds_in_part: int = 4_000_000) -> DataFrame:
+    """(d, t, o, u, ps, qs): the places of each document of ``texts`` (d, t, text) whose seeds an earlier one, (o, u), owns, and its places."""
+    # About a seed for six bytes of text; the number of parts follows the input, so that a part fits in memory.
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(1, -(-size // (6 * seeds_in_part)))
+    blocks = _seed_blocks(texts, parts).groupBy("part", "salt")
+    found = written(blocks.applyInPandas(_matches, MATCH), "matches")
+    owners = found.where("kind = 1").select(F.col("h").alias("_h"), F.col("o").alias("_o"), F.col("u").alias("_u"), F.col("qs")[0].alias("_q"))
+    # Both sides are plain scans, so the partition of a frequent seed can be split.
+    hot = found.where("kind = 2").select("h", "d", "t", F.col("ps")[0].alias("p")).join(owners, F.col("h") == F.col("_h"))
+    hot = hot.where("d <> _o or t <> _u").select("d", "t", F.col("_o").alias("o"), F.col("_u").alias("u"), F.array("p").alias("ps"), F.array("_q").alias("qs"))
+    both = found.where("kind = 0").select("d", "t", "o", "u", "ps", "qs").unionAll(hot)
+    # No more matches than the document has seeds.
+    return both.groupBy("d", "t", "o", "u").agg(F.flatten(F.collect_list("ps")).alias("ps"), F.flatten(F.collect_list("qs")).alias("qs"))
 
 
 def passages(docs: DataFrame, least: int = 50, similar: float = 0.8, k: int = 4, margin: int = 64, block: int = 256) -> DataFrame:
     """Passages of ``docs`` (doc_id, text) that an earlier document has too: a row per passage and earlier copy."""
-    texts = _distinct_ids(docs)
-    own = written(_seed_rows(texts), "seeds")
-    owners = own.groupBy("h").agg(F.min(F.struct("d", "p")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    # Written, so that both sides of the join are plain exchanges and a hot seed's partition can be split.
-    owners = written(owners.select("h", F.col("first.d").alias("o"), F.col("first.p").alias("q")), "owners")
-    matches = own.join(owners, "h").where("d <> o").select("d", "o", "p", "q")
-    pairs = matches.groupBy("d", "o").agg(F.collect_list(F.struct("p", "q")).alias("matches"))
-    chains = written(_chains(pairs, k, least), "chains")
-    dropped(own)
-    dropped(owners)
+    text = F.coalesce("text", F.lit(""))
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("d"), F.xxhash64(text).alias("t"), text.alias("text"))
+    chains = written(_chains(matched(texts), k, least), "chains")
 
     # The ranges that each chain needs of both texts, cut into blocks of words.
+    low = lambda x: F.greatest(F.array_min(x) - margin, F.lit(0)).alias("low")
+    high = lambda x: (F.array_max(x) + k + margin).alias("high")
     sides = F.array(
-        F.struct(F.lit(0).alias("side"), F.col("d"), F.greatest(F.array_min("ps") - margin, F.lit(0)).alias("low"), (F.array_max("ps") + k + margin).alias("high")),
-        F.struct(F.lit(1).alias("side"), F.col("o").alias("d"), F.greatest(F.array_min("qs") - margin, F.lit(0)).alias("low"), (F.array_max("qs") + k + margin).alias("high")),
+        F.struct(F.lit(0).alias("side"), F.col("d"), F.col("t"), low("ps"), high("ps")),
+        F.struct(F.lit(1).alias("side"), F.col("o").alias("d"), F.col("u").alias("t"), low("qs"), high("qs")),
     )
     asks = chains.select("c", F.inline(sides)).withColumn("b", F.explode(F.sequence(F.expr(f"cast(low div {block} as int)"), F.expr(f"cast((high - 1) div {block} as int)"))))
-    wanted = asks.select("d", "b").distinct().groupBy("d").agg(F.collect_list("b").alias("blocks"))  # no more than a text has
-    blocks = _word_blocks(texts.join(wanted, "d").select("d", "text", "blocks"), block)
+    asked = written(asks.select("d", "t", "b").distinct().groupBy("d", "t").agg(F.collect_list("b").alias("blocks")), "asked")  # no more than a text has
+    blocks = _word_blocks(texts.join(asked, ["d", "t"]).select("d", "t", "text", "blocks"), block)
     start = F.greatest(F.lit(0), F.col("low") - F.col("b") * block)
     end = F.least(F.lit(block), F.col("high") - F.col("b") * block)
-    cut = asks.join(blocks, ["d", "b"]).select("c", "side", "low", "b", F.slice("words", start + 1, end - start).alias("words"))
+    cut = asks.join(blocks, ["d", "t", "b"]).select("c", "side", "low", "b", F.slice("words", start + 1, end - start).alias("words"))
     joined = cut.groupBy("c", "side").agg(F.min("low").alias("low"), F.array_sort(F.collect_set(F.struct("b", "words"))).alias("own"))
     joined = joined.select("c", "side", "low", F.flatten("own.words").alias("words"))
     both = joined.groupBy("c").agg(*(F.first(F.when(F.col("side") == x, F.struct("low", "words")), ignorenulls=True).alias(n) for x, n in ((0, "a"), (1, "b"))))
     ready = chains.join(both, "c").select("d", "o", "ps", "qs", F.col("a.low").alias("a_low"), F.col("a.words").alias("a"), F.col("b.low").alias("b_low"), F.col("b.words").alias("b"))
-    return _aligned(ready, k, least, similar).distinct()  # chains may grow into the same passage
+    ids = {c: F.when(F.col(c) != LAST, F.col(c)) for c in ("doc_id", "source_id")}
+    return _aligned(ready, k, least, similar).withColumns(ids).distinct()  # chains may grow into the same passage

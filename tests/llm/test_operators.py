@@ -572,12 +572,40 @@ def test_mixed(spark, odd, clash, empty):
 
 
 def test_seeds_meet():
+    """Equal texts of 20 words share a 9-word seed of a window of 12, and half of all seeds count without a window."""
     rng = np.random.default_rng(3)
     shared = rng.integers(0, 2**63, 20).astype(np.uint64)
     for _ in range(50):
         a, b = (np.concatenate([rng.integers(0, 2**63, rng.integers(0, 60)).astype(np.uint64), shared, rng.integers(0, 2**63, rng.integers(0, 60)).astype(np.uint64)]) for _ in range(2))
-        (pa_, ha), (pb, hb) = passages.seeds(a, 5, 16), passages.seeds(b, 5, 16)
+        (pa_, ha), (pb, hb) = passages.seeds(a, 9, 12), passages.seeds(b, 9, 12)
         assert set(ha.tolist()) & set(hb.tolist())
+    long = rng.integers(0, 2**63, 5000).astype(np.uint64)
+    at, h = passages.seeds(long, 9, None, 4)
+    assert 0.45 < len(at) / 5000 < 0.55
+    changed = long.copy()
+    changed[4::9] = 7
+    assert set(passages.seeds(changed, 9, None, 4)[1].tolist()) & set(h.tolist())
+    at, h = passages.seeds(long, 39, 12)
+    want = {i + int(w.argmin()) for i in range(5000 - 39 + 1 - 11) for w in [passages.seeds(long, 39, 1)[1][i : i + 12]]}
+    assert set(at.tolist()) == want
+
+
+def test_frequent_seeds(spark):
+    """Matches do not depend on which seeds are frequent in a task, nor on how texts are dealt out."""
+    rng = random.Random(41)
+    hot = " ".join(f"h{k}" for k in range(60))
+    rows = [(k if k % 17 else None, f"{hot if k % 3 else ''} " + " ".join(f"v{rng.randrange(900)}" for _ in range(40))) for k in range(400)]
+    table = spark.createDataFrame(rows, "d long, text string").selectExpr("coalesce(d, 9223372036854775807) d", "xxhash64(text) t", "text")
+
+    def found(parts, flush, often, n):
+        blocks = passages._seed_blocks(table.repartition(n), parts, flush, often, 3).groupBy("part", "salt").applyInPandas(passages._matches, passages.MATCH).collect()
+        owner = {r["h"]: (r["o"], r["u"], r["qs"][0]) for r in blocks if r["kind"] == 1}
+        out = {(r["d"], r["t"], r["o"], r["u"], p, q) for r in blocks if r["kind"] == 0 for p, q in zip(r["ps"], r["qs"], strict=True)}
+        out |= {(r["d"], r["t"], *owner[r["h"]][:2], r["ps"][0], owner[r["h"]][2]) for r in blocks if r["kind"] == 2 if (r["d"], r["t"]) != owner[r["h"]][:2]}
+        return out
+
+    plain = found(1, 10**9, 10**9, 1)
+    assert len(plain) > 5000 and plain == found(5, 3000, 2, 3) == found(2, 10**9, 20, 2)
 
 
 def test_chain_follows_the_diagonal():
@@ -599,7 +627,7 @@ def test_passages(spark, odd, empty):
     rows = [(d, " ".join(w)) for d, w in rows]
     rows += [(7, rows[0][1]), (8, None), (9, ""), (None, rows[1][1])]
     found = {r["doc_id"]: r for r in passages.passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert set(found) == {3, 4, 7}
+    assert set(found) == {3, 4, 7, None} and found[None]["source_id"] == 2  # a null id is a document too
     assert (found[3]["start"], found[3]["n_words"], found[3]["source_id"], found[3]["source_start"]) == (31, 70, 2, 50)
     assert found[4]["start"] == 0 and found[4]["n_words"] == 69 and found[4]["source_id"] == 2 and found[4]["similarity"] > 0.9
     assert found[7]["n_words"] == 200 and found[7]["source_id"] == 1 and found[7]["similarity"] == 1.0
