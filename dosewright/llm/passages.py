@@ -19,7 +19,9 @@
 4. Each chain is aligned: the words of both sides are fetched, equal runs grow from the matches, small gaps
    are aligned by longest common subsequence, and both ends are extended while they still gain.
 
-A chain is reported if both sides have ``least`` words or more and 2 * matched / (words of both sides) is
+A chain that lies within another of its document, and the other is long and alike enough by its matches alone, is
+not aligned: a document in a group of copies is reported with the copies that matter, not with all of them. An
+aligned chain is reported if both sides have ``least`` words or more and 2 * matched / (words of both sides) is
 at least ``similar``. Only passages shared by different documents count.
 
 Exact copies need no rule of their own: their only chain with the first copy is the whole text. Null texts
@@ -186,7 +188,7 @@ def _blocks_of(docs: list[tuple[int, int, np.ndarray]], parts: int, hot: int, sa
     return out
 
 
-def _seed_blocks(texts: DataFrame, parts: int, flush: int = 1_500_000, hot: int = 64, salts: int = 32) -> DataFrame:
+def _seed_blocks(texts: DataFrame, parts: int, flush: int = 1_000_000, hot: int = 64, salts: int = 32) -> DataFrame:
     names = [x.split()[0] for x in BLOCK.split(", ")]
     kinds = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), *[pa.binary()] * 5]
 
@@ -384,26 +386,59 @@ def align(a: np.ndarray, b: np.ndarray, run: list[tuple[int, int]], k: int, miss
     return i - du, i1, j - dv, j1, matched + got
 
 
-def _chains(pairs: DataFrame, k: int, least: int) -> DataFrame:
-    """The chains of each pair of ``pairs`` (d, t, o, u, ps, qs)."""
+def certain(run: list[tuple[int, int]], k: int, least: int, similar: float) -> bool:
+    """Whether a chain is long and alike enough by its matches alone, whatever lies between them."""
+    a, b = run[-1][0] + k - run[0][0], run[-1][1] + k - run[0][1]
+    sure = k + sum(min(k, y[0] - x[0], y[1] - x[1]) for x, y in zip(run, run[1:], strict=False))
+    return min(a, b) >= least and 2 * sure >= similar * (a + b)
+
+
+def leading(chains: list[tuple[int, list[tuple[int, int]]]], k: int, least: int, similar: float) -> list[tuple[int, list[tuple[int, int]]]]:
+    """The chains (owner, run) of one document without those that lie within a certain one, longest first."""
+    out, spans = [], []
+    for owner, run in sorted(chains, key=lambda x: (x[1][0][0] - x[1][-1][0], x[0], x[1][0])):
+        low, high = run[0][0], run[-1][0] + k
+        if any(a <= low and high <= b for a, b in spans):
+            continue
+        out.append((owner, run))
+        if certain(run, k, least, similar):
+            spans.append((low, high))
+    return out
+
+
+def _chains(documents: DataFrame, k: int, least: int, similar: float) -> DataFrame:
+    """The chains of each document of ``documents`` (d, t, own: its owners o, u and their places ps, qs)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ps, qs = batch.column(4), batch.column(5)
-            pair = np.repeat(np.arange(batch.num_rows), ps.value_lengths().to_numpy(zero_copy_only=False))
+            own = batch.column(2)
+            docs = np.repeat(np.arange(batch.num_rows), own.value_lengths().to_numpy(zero_copy_only=False))
+            own = own.flatten()
+            os, us = (own.field(c).to_numpy() for c in (0, 1))
+            ps, qs = own.field(2), own.field(3)
+            # Rows of one document and owner are one pair.
+            order = np.lexsort((us, os, docs))
+            new = np.ones(len(order), bool)
+            new[1:] = (np.diff(docs[order]) != 0) | (os[order][1:] != os[order][:-1]) | (us[order][1:] != us[order][:-1])
+            pair_of = np.empty(len(order), np.int64)
+            pair_of[order] = np.cumsum(new) - 1
+            heads = order[new]
+            pair = np.repeat(pair_of, ps.value_lengths().to_numpy(zero_copy_only=False))
             pair, p, q = thinned(pair, ps.flatten().to_numpy().astype(np.int64), qs.flatten().to_numpy().astype(np.int64), k)
-            edges = np.searchsorted(pair, np.arange(batch.num_rows + 1))
-            keys = [batch.column(c).to_pylist() for c in range(4)]
-            out = []
-            for n, (d, t, o, u) in enumerate(zip(*keys, strict=True)):
+            edges = np.searchsorted(pair, np.arange(len(heads) + 1))
+            held: dict[int, list] = {}
+            for n, head in enumerate(heads.tolist()):
                 matches = list(zip(p[edges[n] : edges[n + 1]].tolist(), q[edges[n] : edges[n + 1]].tolist(), strict=True))
-                for m, run in enumerate(wanted(chain(matches, k), least)):
-                    out.append({"c": f"{d}/{t}/{o}/{u}/{m}", "d": d, "t": t, "o": o, "u": u, "ps": [x[0] for x in run], "qs": [x[1] for x in run]})
+                held.setdefault(int(docs[head]), []).extend((head, run) for run in wanted(chain(matches, k), least))
+            ds, ts, out = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
+            for n, found in held.items():
+                for m, (head, run) in enumerate(leading(found, k, least, similar)):
+                    out.append({"c": f"{ds[n]}/{ts[n]}/{m}", "d": ds[n], "t": ts[n], "o": int(os[head]), "u": int(us[head]), "ps": [x[0] for x in run], "qs": [x[1] for x in run]})
             yield pa.RecordBatch.from_pylist(out, schema=shape)
 
     ints, long = pa.list_(pa.int32()), pa.int64()
     shape = pa.schema([("c", pa.string()), ("d", long), ("t", long), ("o", long), ("u", long), ("ps", ints), ("qs", ints)])
-    return pairs.mapInArrow(rows, "c string, d long, t long, o long, u long, ps array<int>, qs array<int>")
+    return documents.mapInArrow(rows, "c string, d long, t long, o long, u long, ps array<int>, qs array<int>")
 
 
 def _word_blocks(asked: DataFrame, block: int) -> DataFrame:
@@ -446,8 +481,8 @@ def _aligned(ready: DataFrame, k: int, least: int, similar: float) -> DataFrame:
     return ready.mapInArrow(rows, FOUND)
 
 
-def matched(texts: DataFrame, seeds_in_part: int = 4_000_000) -> DataFrame:
-    """(d, t, o, u, ps, qs): the places of each document of ``texts`` (d, t, text) whose seeds an earlier one, (o, u), owns, and its places."""
+def matched(texts: DataFrame, seeds_in_part: int = 1_500_000) -> DataFrame:
+    """(d, t, own) of each document of ``texts`` (d, t, text) with seeds that earlier ones own: these (o, u), and the places in both (ps, qs)."""
     # About a seed for six bytes of text; the number of parts follows the input, so that a part fits in memory.
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-size // (6 * seeds_in_part)))
@@ -459,14 +494,14 @@ def matched(texts: DataFrame, seeds_in_part: int = 4_000_000) -> DataFrame:
     hot = hot.where("d <> _o or t <> _u").select("d", "t", F.col("_o").alias("o"), F.col("_u").alias("u"), F.array("p").alias("ps"), F.array("_q").alias("qs"))
     both = found.where("kind = 0").select("d", "t", "o", "u", "ps", "qs").unionAll(hot)
     # No more matches than the document has seeds.
-    return both.groupBy("d", "t", "o", "u").agg(F.flatten(F.collect_list("ps")).alias("ps"), F.flatten(F.collect_list("qs")).alias("qs"))
+    return both.groupBy("d", "t").agg(F.collect_list(F.struct("o", "u", "ps", "qs")).alias("own"))
 
 
 def passages(docs: DataFrame, least: int = 50, similar: float = 0.8, k: int = 4, margin: int = 64, block: int = 256) -> DataFrame:
     """Passages of ``docs`` (doc_id, text) that an earlier document has too: a row per passage and earlier copy."""
     text = F.coalesce("text", F.lit(""))
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("d"), F.xxhash64(text).alias("t"), text.alias("text"))
-    chains = written(_chains(matched(texts), k, least), "chains")
+    chains = written(_chains(matched(texts), k, least, similar), "chains")
 
     # The ranges that each chain needs of both texts, cut into blocks of words.
     low = lambda x: F.greatest(F.array_min(x) - margin, F.lit(0)).alias("low")
@@ -480,10 +515,12 @@ def passages(docs: DataFrame, least: int = 50, similar: float = 0.8, k: int = 4,
     blocks = _word_blocks(texts.join(asked, ["d", "t"]).select("d", "t", "text", "blocks"), block)
     start = F.greatest(F.lit(0), F.col("low") - F.col("b") * block)
     end = F.least(F.lit(block), F.col("high") - F.col("b") * block)
-    cut = asks.join(blocks, ["d", "t", "b"]).select("c", "side", "low", "b", F.slice("words", start + 1, end - start).alias("words"))
-    joined = cut.groupBy("c", "side").agg(F.min("low").alias("low"), F.array_sort(F.collect_set(F.struct("b", "words"))).alias("own"))
-    joined = joined.select("c", "side", "low", F.flatten("own.words").alias("words"))
-    both = joined.groupBy("c").agg(*(F.first(F.when(F.col("side") == x, F.struct("low", "words")), ignorenulls=True).alias(n) for x, n in ((0, "a"), (1, "b"))))
-    ready = chains.join(both, "c").select("d", "o", "ps", "qs", F.col("a.low").alias("a_low"), F.col("a.words").alias("a"), F.col("b.low").alias("b_low"), F.col("b.words").alias("b"))
+    cut = asks.join(blocks, ["d", "t", "b"]).select("c", F.struct("side", "b", "low", F.slice("words", start + 1, end - start).alias("words")).alias("x"))
+    rows = cut.withColumn("y", F.lit(None)).unionAll(chains.select("c", F.lit(None), F.struct("d", "o", "ps", "qs")))
+    # One shuffle brings a chain and its words together; repeated rows give a block twice.
+    both = rows.groupBy("c").agg(F.first("y", ignorenulls=True).alias("y"), F.array_sort(F.collect_set("x")).alias("x"))
+    side = lambda n: F.filter("x", lambda x: x["side"] == n)
+    words = lambda n: F.flatten(F.transform(side(n), lambda x: x["words"]))
+    ready = both.select("y.*", side(0)[0]["low"].alias("a_low"), words(0).alias("a"), side(1)[0]["low"].alias("b_low"), words(1).alias("b"))
     ids = {c: F.when(F.col(c) != LAST, F.col(c)) for c in ("doc_id", "source_id")}
     return _aligned(ready, k, least, similar).withColumns(ids).distinct()  # chains may grow into the same passage
