@@ -43,7 +43,7 @@ def with_shard(df: DataFrame, key: str, weights: Sequence[float], name: str = "s
     return df.withColumn(fresh(df, name), rendezvous(F.col(key), weights))
 
 
-def sharded(docs: DataFrame, weights: Sequence[float], grown: Sequence[float], buckets: int = 4096) -> DataFrame:
+def sharded(docs: DataFrame, weights: Sequence[float], grown: Sequence[float], buckets: int = 4096, run: int = 4096) -> DataFrame:
     """Size, checksum, shard, slot and grown shard of every row of ``docs`` (doc_id, text)."""
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
@@ -58,14 +58,16 @@ def sharded(docs: DataFrame, weights: Sequence[float], grown: Sequence[float], b
     begins = counts.select("shard", "bucket", F.coalesce(F.sum("n_bucket").over(ahead), F.lit(0)).alias("begin"))
     within = Window.partitionBy("shard", "bucket").orderBy("doc_id", "size", "text_crc32").rowsBetween(Window.unboundedPreceding, -1)
     placed = same.withColumn("past", F.coalesce(F.sum("n").over(within), F.lit(0))).join(begins, ["shard", "bucket"])
-    first = F.col("begin") + F.col("past")
+    # A row repeated n times takes n slots, dealt out in runs so that no array grows with n.
+    placed = placed.withColumn("first", F.col("begin") + F.col("past")).withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / run))))
+    low = F.col("first") + F.col("run") * run
     return placed.select(
         "doc_id",
         "size",
         "text_crc32",
         F.lit("key").alias("law"),
         "shard",
-        F.explode(F.sequence(first, first + F.col("n") - 1)).alias("slot"),
+        F.explode(F.sequence(low, F.least(low + run, F.col("first") + F.col("n")) - 1)).alias("slot"),
         "grown_shard",
     )
 

@@ -568,6 +568,15 @@ def test_mixed(spark, odd, clash, empty):
     assert mixing.mixed(empty).count() == 0 and mixing.mix(empty).count() == 0
 
 
+def test_mixed_and_sharded_repeated_rows(spark, empty):
+    """Many equal rows: each gets a plan and a slot of its own."""
+    table = spark.createDataFrame([(1, "five words are in this", "en", "a", 0)] * 9000 + [(2, "x y", "en", "b", 0)], empty.schema)
+    passes = sum(r["passes"] for r in mixing.mix(table).collect())
+    assert mixing.mixed(table).count() == passes > 9000
+    found = sharding.sharded(table, [1.0], [1.0, 1.0]).collect()
+    assert sorted(r["slot"] for r in found) == list(range(9001))
+
+
 # passages
 
 
