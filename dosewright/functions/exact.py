@@ -1,7 +1,7 @@
 """Exact decimals of any length, as a struct <neg, digits, exp>: (-1)^neg * digits * 10^exp.
 
 A value keeps its exponent and its sign even when it is zero. Sums are exact and need no wide type: the
-digits are cut into limbs of 18, each limb is summed for its own exponent in a decimal that holds it, with
+digits are cut into limbs of 9, each limb is summed for its own exponent in two whole numbers that hold it, with
 partial aggregation, and only the few limb sums of a key are put together as big integers.
 """
 
@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 EXACT = T.StructType([T.StructField("neg", T.BooleanType()), T.StructField("digits", T.StringType()), T.StructField("exp", T.IntegerType())])
 GRAMMAR = r"^([+-]?)(?:([0-9]+)(?:\.([0-9]*))?|\.([0-9]+))(?:[eE]([+-]?[0-9]+))?$"
-LIMB = 18
+LIMB = 9
 
 
 def parse(text: Column) -> Column:
@@ -59,59 +59,79 @@ def text(x: Column) -> Column:
     return F.when((x["exp"] <= 0) & (high >= -6), plain(x)).otherwise(F.concat(sign, science))
 
 
+def rescaled(x: Column, exp: Column) -> Column:
+    """The value of ``x`` at a smaller exponent; null where digits other than 0 would be lost."""
+    more = x["exp"] - exp
+    digits = F.when(x["digits"] == "0", F.lit("0")).when(more >= 0, F.concat(x["digits"], F.repeat(F.lit("0"), more)))
+    return F.when(digits.isNotNull(), F.struct(x["neg"].alias("neg"), digits.alias("digits"), exp.cast("int").alias("exp")))
+
+
 def magnitude_key(x: Column) -> Column:
-    """Sorts as the absolute value does, without floats: zero first."""
+    """Sorts as the absolute value does, without floats and at any length: zero first, then first places, then digits."""
     zero = x["digits"] == "0"
-    return F.struct((~zero).alias("some"), F.when(zero, F.lit(0)).otherwise(adjusted(x)).alias("high"), F.rpad(x["digits"], 130, "0").alias("digits"))
+    return F.struct((~zero).alias("some"), F.when(zero, F.lit(0)).otherwise(adjusted(x)).alias("high"), F.rtrim(x["digits"], F.lit("0")).alias("digits"))
 
 
 def value_key(x: Column) -> Column:
-    """Sorts as the value does: a sign, and for negatives the reversed magnitude."""
+    """Sorts as the value does: a sign, and for negatives the reversed magnitude, whose end sorts after every digit."""
     m = magnitude_key(x)
-    turned = F.translate(m["digits"], "0123456789", "9876543210")
+    turned = F.concat(F.translate(m["digits"], "0123456789", "9876543210"), F.lit(":"))
     sign = F.when(~m["some"], 0).when(x["neg"], -1).otherwise(1)
     return F.struct(sign.alias("sign"), (m["high"] * sign).alias("high"), F.when(sign < 0, turned).otherwise(m["digits"]).alias("digits"))
 
 
+def magnitude(x: Column) -> Column:
+    """The absolute value."""
+    return F.when(x.isNotNull(), F.struct(F.lit(False).alias("neg"), x["digits"].alias("digits"), x["exp"].alias("exp")))
+
+
 def to_double(x: Column) -> Column:
     return F.concat(F.when(x["neg"], F.lit("-")).otherwise(F.lit("")), x["digits"], F.lit("E"), x["exp"].cast("string")).cast("double")
 
 
 def limbs(x: Column) -> Column:
-    """array<struct<exp, limb>>: the digits in groups of 18, as signed decimals at their own exponents."""
+    """array<struct<exp, limb>>: the digits in groups of 9, as signed whole numbers at their own exponents."""
     n = F.ceil(F.length(x["digits"]) / F.lit(LIMB)).cast("int")
     padded = F.lpad(x["digits"], n * LIMB, "0")
 
     def limb(k: Column) -> Column:
-        own = F.substr(padded, (n - 1 - k) * LIMB + 1, F.lit(LIMB)).cast("decimal(18,0)")
+        own = F.substr(padded, (n - 1 - k) * LIMB + 1, F.lit(LIMB)).cast("long")
         return F.struct((x["exp"] + k * LIMB).cast("int").alias("exp"), F.when(x["neg"], -own).otherwise(own).alias("limb"))
 
     return F.transform(F.sequence(F.lit(0), n - 1), limb)
 
 
 @F.pandas_udf(EXACT)
-def _join(parts: pd.Series, least: pd.Series) -> pd.DataFrame:
+def joined(parts: pd.Series, least: pd.Series) -> pd.DataFrame:
+    """The exact value of limb sums <exp, high, low> (high counts 10^9), at the exponent ``least`` or 0."""
     rows = []
     for own, low in zip(parts, least, strict=True):
         low = min(0, int(low)) if low is not None and low == low else 0
-        total = sum(int(p["total"]) * 10 ** (int(p["exp"]) - low) for p in own) if own is not None else 0
+        total = sum((int(p["high"]) * 10**LIMB + int(p["low"])) * 10 ** (int(p["exp"]) - low) for p in own) if own is not None else 0
         rows.append((total < 0, str(abs(total)), low))
     return pd.DataFrame(rows, columns=["neg", "digits", "exp"])
 
 
+def limb_sums(limb: Column, times: Column) -> list[Column]:
+    """Aggregates ``high`` and ``low`` of limb * times (below 9 * 10^9 in size): neither overflows below 9 * 10^9 rows."""
+    value = limb * times.cast("long")
+    unit = 10**LIMB
+    return [F.sum(F.call_function("div", value - F.pmod(value, F.lit(unit)), F.lit(unit))).alias("high"), F.sum(F.pmod(value, F.lit(unit))).alias("low")]
+
+
 def exact_sum(df: DataFrame, keys: list[str], value: Column, times: Column | None = None, name: str = "total") -> DataFrame:
     """One row per key with the exact sum of value * times (null values do not count).
 
     Its exponent is the least of the values' exponents and 0, zeros included; a zero sum has no sign.
     """
     times = F.lit(1) if times is None else times
-    own = df.select(*keys, value.alias("__v"), times.cast("decimal(9,0)").alias("__n"))
+    own = df.select(*keys, value.alias("__v"), times.cast("long").alias("__n"))
     one = F.explode_outer(F.when(F.col("__v").isNotNull(), limbs(F.col("__v"))))
     cut = own.select(*keys, F.col("__v.exp").alias("__low"), "__n", one.alias("__l"))
-    sums = cut.groupBy(*keys, F.col("__l.exp").alias("exp")).agg(F.sum((F.col("__l.limb") * F.col("__n")).cast("decimal(27,0)")).alias("total"), F.min("__low").alias("__low"))
-    part = F.when(F.col("exp").isNotNull(), F.struct("exp", F.col("total").cast("string").alias("total")))
-    joined = sums.groupBy(*keys).agg(F.collect_list(part).alias("__parts"), F.min("__low").alias("__low"))  # a row per exponent met
-    return joined.select(*keys, _join("__parts", "__low").alias(name))
+    sums = cut.groupBy(*keys, F.col("__l.exp").alias("exp")).agg(*limb_sums(F.col("__l.limb"), F.col("__n")), F.min("__low").alias("__low"))
+    part = F.when(F.col("exp").isNotNull(), F.struct("exp", "high", "low"))
+    grouped = sums.groupBy(*keys).agg(F.collect_list(part).alias("__parts"), F.min("__low").alias("__low"))  # a row per exponent met
+    return grouped.select(*keys, joined("__parts", "__low").alias(name))
 
 
 @F.pandas_udf(EXACT)

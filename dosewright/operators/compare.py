@@ -1,37 +1,102 @@
-"""Comparison of two score tables, and of two term tables, by full outer joins."""
+"""Comparison of two score tables, and of two term tables, by full outer joins on exact numbers."""
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Fixed texts that mean no value.
 NULLS = ("", "NA", "N/A", ".", "nan", "NaN")
-
-
-def score_number(text: Column) -> Column:
-    return F.when(~F.trim(text).isin(*NULLS), F.trim(text).try_cast("decimal(38,12)"))
-
-
-def compare_scores(left: DataFrame, right: DataFrame, absolute: float = 0.0, relative: float = 0.0, keys: tuple[str, ...] = ("sample", "pgs_id"), value: str = "score") -> DataFrame:
-    """A row per key with both values (decimals), their difference and a status."""
-    if absolute < 0 or relative < 0:
-        raise ValueError("tolerances may not be negative")
+_NUMBER = re.compile(r"([+-]?)([0-9]*)(?:\.([0-9]*))?(?:[eE]([+-]?[0-9]+))?")
+#: Most digits of a number, and the largest exponent.
+DIGITS, EXPONENT = 32_768, 16_384
+
+
+def number(text: str | None) -> tuple[int, int] | None:
+    """(whole number, exponent) of a decimal text; None for a text that means no value, an error for any other."""
+    if text is None or (text := text.strip()) in NULLS:
+        return None
+    m = _NUMBER.fullmatch(text)
+    if not m or not (m[2] or m[3]) or len(m[4] or "") > 7:
+        raise ValueError(f"not a number: {text[:40]!r}")
+    digits, exp = (m[2] + (m[3] or "")).lstrip("0") or "0", int(m[4] or 0) - len(m[3] or "")
+    if len(digits) > DIGITS or abs(exp) > EXPONENT:
+        raise ValueError(f"number out of range: {text[:40]!r}")
+    value = 0
+    for at in range(0, len(digits), 4000):  # Python refuses longer texts at once
+        part = digits[at : at + 4000]
+        value = value * 10 ** len(part) + int(part)
+    return (-value if m[1] == "-" else value), exp
+
+
+def compact(value: int, exp: int) -> str:
+    """A number as its shortest digits and exponent: 1e-2, 25, -3e4; 0 for zero."""
+    if not value:
+        return "0"
+    while value % 10 == 0:
+        value, exp = value // 10, exp + 1
+    sign, value = ("-" if value < 0 else ""), abs(value)
+    parts = []
+    while value:
+        value, part = divmod(value, 10**4000)
+        parts.append(str(part).rjust(4000, "0") if value else str(part))
+    return sign + "".join(parts[::-1]) + (f"e{exp}" if exp else "")
+
+
+def _judged(left: str | None, right: str | None, absolute: tuple[int, int], relative: tuple[int, int]) -> tuple[str, str | None]:
+    a, b = number(left), number(right)
+    if a is None or b is None:
+        return "unavailable", None
+    low = min(a[1], b[1])
+    x, y = a[0] * 10 ** (a[1] - low), b[0] * 10 ** (b[1] - low)
+    delta = compact(y - x, low)
+    if x == y:
+        return "exact", delta
+    # |y - x| 10^low <= abs + rel max(|x|, |y|) 10^low, at the least exponent of all.
+    least = min(low, absolute[1], low + relative[1])
+    bound = absolute[0] * 10 ** (absolute[1] - least) + relative[0] * max(abs(x), abs(y)) * 10 ** (low + relative[1] - least)
+    return ("within_tolerance" if abs(y - x) * 10 ** (low - least) <= bound else "different"), delta
+
+
+def compare_scores(left: DataFrame, right: DataFrame, absolute: str = "0", relative: str = "0", keys: tuple[str, ...] = ("sample", "pgs_id"), value: str = "score", identity: tuple[str, ...] = ()) -> DataFrame:
+    """A row per key with both values (texts), their exact difference and a status.
+
+    A key found twice on one side is an error. Where both sides have a value in a column of ``identity`` and they
+    differ, the status is identity_mismatch. Texts that are no numbers, and negative tolerances, are errors.
+    """
+    tolerances = [number(str(x)) for x in (absolute, relative)]
+    if any(x is None or x[0] < 0 for x in tolerances):
+        raise ValueError("tolerances must be numbers of 0 or more")
     k = list(keys)
-    a = left.select(*k, F.col(value).alias("left_score"), F.lit(True).alias("__l"))
-    b = right.select(*k, F.col(value).alias("right_score"), F.lit(True).alias("__r"))
-    out = a.join(b, k, "full_outer").withColumn("delta", F.col("right_score") - F.col("left_score"))
-    size = F.greatest(F.abs("left_score"), F.abs("right_score"))
-    within = F.abs("delta") <= F.lit(absolute).cast("decimal(38,12)") + (F.lit(relative).cast("decimal(20,12)") * size).cast("decimal(38,12)")
-    status = (
-        F.when(F.col("__r").isNull(), "left_only")
-        .when(F.col("__l").isNull(), "right_only")
-        .when(F.col("left_score").isNull() | F.col("right_score").isNull(), "unavailable")
-        .when(F.col("delta") == 0, "exact")
-        .when(within, "within_tolerance")
-        .otherwise("different")
-    )
-    return out.withColumn("status", status).drop("__l", "__r")
+
+    @F.pandas_udf("status string, delta string")
+    def judged(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_judged(x, y, *tolerances) for x, y in zip(a, b, strict=True)], columns=["status", "delta"])
+
+    def side(table: DataFrame, name: str) -> DataFrame:
+        own = table.groupBy(*k).agg(F.count(F.lit(1)).alias(f"__{name}"), F.first(F.col(value).cast("string")).alias(f"{name}_score"), *(F.first(c).alias(f"__{name}_{c}") for c in identity))
+        twice = F.raise_error(F.concat(F.lit("key found twice: "), F.concat_ws(", ", *(F.col(c).cast("string") for c in k))))
+        return own.withColumn(f"__{name}", F.when(F.col(f"__{name}") > 1, twice).otherwise(F.lit(True)))
+
+    out = side(left, "left").join(side(right, "right"), k, "full_outer").withColumn("__j", judged("left_score", "right_score"))
+    differs = F.lit(False)
+    for c in identity:
+        differs = differs | F.coalesce(F.col(f"__left_{c}") != F.col(f"__right_{c}"), F.lit(False))
+    status = F.when(F.col("__right").isNull(), "left_only").when(F.col("__left").isNull(), "right_only").when(differs, "identity_mismatch").otherwise(F.col("__j.status"))
+    return out.select(*k, "left_score", "right_score", F.when(F.col("__left").isNotNull() & F.col("__right").isNotNull(), F.col("__j.delta")).alias("delta"), status.alias("status"))
+
+
+def one_sampleset(table: DataFrame, wanted: str | None = None, column: str = "sampleset") -> DataFrame:
+    """The rows of one sample set; a table of several is an error unless one is named."""
+    if wanted is not None:
+        return table.where(F.col(column) == wanted)
+    names = [r[0] for r in table.select(column).distinct().limit(2).collect()]
+    if len(names) > 1:
+        raise ValueError(f"several sample sets: {names}")
+    return table
 
 
 def status_counts(compared: DataFrame) -> DataFrame:

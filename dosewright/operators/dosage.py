@@ -24,13 +24,36 @@ def ds(text: Column) -> Column:
     return F.when(_within(x, 2), x)
 
 
+def _sums_to_one(xs: Column) -> Column:
+    """Whether exact values in [0, 1] with exponents of 0 or less sum to 1, at any number of decimals.
+
+    Decimals are cut into groups of 15, summed from the last group with what each group carries.
+    """
+    places = F.array_max(F.transform(xs, lambda x: -x["exp"]))
+    n = F.ceil(places / F.lit(15)).cast("int")
+    unit = 10**15
+
+    def digits(x: Column) -> Column:
+        """The whole number 0 or 1 and all decimals, padded to whole groups."""
+        return F.rpad(F.lpad(x["digits"], F.greatest(F.length(x["digits"]), 1 - x["exp"]), "0"), 1 + n * 15, "0")
+
+    texts = F.transform(xs, digits)
+    group = lambda k: F.aggregate(texts, F.lit(0).cast("long"), lambda s, t: s + F.substr(t, 2 + k * 15, F.lit(15)).cast("long"))
+    whole = F.aggregate(texts, F.lit(0).cast("long"), lambda s, t: s + F.substr(t, F.lit(1), F.lit(1)).cast("long"))
+    start = F.struct(F.lit(0).cast("long").alias("carry"), F.lit(True).alias("even"))
+    step = lambda s, k: F.struct(F.call_function("div", s["carry"] + group(k), F.lit(unit)).alias("carry"), (s["even"] & ((s["carry"] + group(k)) % unit == 0)).alias("even"))
+    ends = F.when(n > 0, F.reverse(F.sequence(F.lit(0), n - 1))).otherwise(F.array().cast("array<int>"))
+    total = F.aggregate(ends, start, step)
+    return total["even"] & (whole + total["carry"] == 1)
+
+
 def gp(text: Column) -> Column:
     """The three probabilities of a GP text as exact values; null unless they lie in [0, 1] and sum to 1 exactly."""
-    xs = F.transform(F.split(text, ","), exact.parse)
-    fits = (F.size(xs) == 3) & F.forall(xs, lambda x: x.isNotNull() & (x["exp"] >= -15) & (x["exp"] <= 0)) & F.forall(xs, lambda x: _within(x, 1))
-    scaled = lambda x: x["digits"].cast("decimal(38,0)") * F.rpad(F.lit("1"), F.lit(16) + x["exp"], "0").cast("decimal(38,0)")
-    total = F.aggregate(xs, F.lit(0).cast("decimal(38,0)"), lambda s, x: (s + scaled(x)).cast("decimal(38,0)"))
-    return F.when(F.coalesce(fits, F.lit(False)), F.when(total == F.lit("1" + "0" * 15).cast("decimal(38,0)"), xs))
+    xs = F.transform(F.split(text, ",", -1), exact.parse)
+    fits = (F.size(xs) == 3) & F.forall(xs, lambda x: x.isNotNull()) & F.forall(xs, lambda x: _within(x, 1))
+    # 1E0 and 0E5 are 1 and 0: exponents above 0 become 0.
+    level = F.transform(xs, lambda x: F.when(x["exp"] > 0, F.struct(x["neg"].alias("neg"), F.when(x["digits"] == "0", F.lit("0")).otherwise(F.concat(x["digits"], F.repeat(F.lit("0"), x["exp"]))).alias("digits"), F.lit(0).alias("exp"))).otherwise(x))
+    return F.when(F.coalesce(fits, F.lit(False)), F.when(_sums_to_one(level), xs))
 
 
 @F.pandas_udf(exact.EXACT)
@@ -66,23 +89,27 @@ def expected(weight: pd.Series, model: pd.Series, effect_is_alt: pd.Series, dosa
     return pd.DataFrame(rows, columns=["neg", "digits", "exp"])
 
 
-def normalise(pos: int, ref: str, alt: str, base: Callable[[int], str]) -> tuple[int, str, str]:
-    """The shortest form of a variant, moved as far to the left as its bases allow; ``base`` reads the reference."""
-    while True:
-        if len(ref) > 0 and len(alt) > 0 and ref[-1] == alt[-1] and (len(ref) > 1 or len(alt) > 1):
-            ref, alt = ref[:-1], alt[:-1]
-        if ref and alt:
-            if not (ref[-1] == alt[-1] and (len(ref) > 1 or len(alt) > 1)):
-                break
-            continue
-        if pos == 1:  # nothing further left: the base that follows keeps both from being empty
-            after = base(pos + len(ref))
-            return pos, ref + after, alt + after
-        pos -= 1
-        ref, alt = base(pos) + ref, base(pos) + alt
-    while len(ref) > 1 and len(alt) > 1 and ref[0] == alt[0]:
-        pos, ref, alt = pos + 1, ref[1:], alt[1:]
-    return pos, ref, alt
+_BASES = frozenset("ACGT")
+
+
+def normalise(pos: int, ref: str, alt: str, base: Callable[[int], str | None]) -> tuple[int, str, str] | None:
+    """The shortest form of a variant, as far to the left as its bases allow; ``base`` reads the reference.
+
+    None if the alleles are equal, hold other letters than ACGT, or the variant runs off the reference.
+    """
+    if not ref or not alt or ref == alt or not _BASES.issuperset(ref + alt):
+        return None
+    while ref[-1] == alt[-1]:
+        ref, alt = ref[:-1], alt[:-1]
+        if not ref or not alt:
+            pos -= 1
+            before = base(pos) if pos >= 1 else None
+            if not before:
+                return None
+            ref, alt = before + ref, before + alt
+    shared = next((k for k, (x, y) in enumerate(zip(ref, alt, strict=False)) if x != y), min(len(ref), len(alt)))
+    shared = min(shared, len(ref) - 1, len(alt) - 1)
+    return pos + shared, ref[shared:], alt[shared:]
 
 
 VARIANT = T.StructType([T.StructField("pos", T.IntegerType()), T.StructField("ref", T.StringType()), T.StructField("alt", T.StringType())])
@@ -90,17 +117,37 @@ VARIANT = T.StructType([T.StructField("pos", T.IntegerType()), T.StructField("re
 
 @F.pandas_udf(VARIANT)
 def normalised(pos: pd.Series, ref: pd.Series, alt: pd.Series, left: pd.Series) -> pd.DataFrame:
-    """``normalise`` with the reference bases just before each position (``left`` ends at pos - 1); stops where they end."""
+    """``normalise`` with the reference bases just before each position (``left`` ends at pos - 1); null where they do not reach."""
     rows = []
     for p, r, a, before in zip(pos, ref, alt, left, strict=True):
-        first = int(p) - len(before or "")
-        try:
-            rows.append(normalise(int(p), r, a, lambda q, s=before or "", f=first: s[q - f] if q >= f else (_ for _ in ()).throw(IndexError)))
-        except IndexError:
-            rows.append((None, None, None))
+        first, own = int(p) - len(before or ""), before or ""
+        found = normalise(int(p), r, a, lambda q, s=own, f=first: s[q - f] if q >= f else None) if r and a else None
+        rows.append(found or (None, None, None))
     return pd.DataFrame(rows, columns=["pos", "ref", "alt"])
 
 
+#: Kinds of inference, and the opt-in that each needs.
+INFERRED = {"reference_anchored": "alleles", "catalog_other_allele": "alleles", "palindrome_forward_strand": "palindromes", "reference_fit_sequence": "indels", "public_sequence_pair": "indels"}
+
+
+def accepted(rows: DataFrame, informational: bool = False, alleles: bool = False, palindromes: bool = False, indels: bool = False, reasons: str = "reasons") -> DataFrame:
+    """Adds ``review`` and ``resolved`` and puts an accepted inference in place of the orientation (ref, alt, effect_is_alt, pos).
+
+    An informational description waives its own reason. An inferred palindrome or indel counts where no other reason
+    is left, an inferred other allele where the missing one is the only reason left.
+    """
+    left = F.col(reasons)
+    if informational:
+        left = F.when(F.col("informational"), F.array_remove(left, "variant_description_requires_review")).otherwise(left)
+    allowed = [k for k, needs in INFERRED.items() if {"alleles": alleles, "palindromes": palindromes, "indels": indels}[needs]]
+    kind = F.col("inf_kind")
+    lacking = F.when(F.coalesce(kind.isin("reference_anchored", "catalog_other_allele"), F.lit(False)), F.array(F.lit("author_other_allele_missing"))).otherwise(F.array().cast("array<string>"))
+    taken = F.coalesce(kind.isin(*allowed) if allowed else F.lit(False), F.lit(False)) & (left == lacking)
+    out = rows.withColumn("__taken", taken).withColumn("review", (F.size(left) > 0) & ~F.col("__taken")).withColumn("resolved", (F.col("status") == "resolved") | F.col("__taken"))
+    moved = {"ref": "inf_ref", "alt": "inf_alt", "effect_is_alt": "inf_effect_is_alt", "pos": "inf_pos"}
+    return out.withColumns({k: F.when(F.col("__taken"), F.col(v)).otherwise(F.col(k)) for k, v in moved.items()}).drop("__taken")
+
+
 def waived(rows: DataFrame, reasons: str = "reasons", informational: bool = False, inferred_alleles: bool = False) -> DataFrame:
     """Adds ``review``: whether a term still needs review under the opt-ins given.
 

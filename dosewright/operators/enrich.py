@@ -14,24 +14,55 @@ from ..functions import exact
 # Frequency fills
 
 
-def fill_decisions(rows: DataFrame, freq: DataFrame, last_contig: int = 22) -> DataFrame:
-    """Adds ``reason`` (null: filled) and ``fill`` (exact) to each unscorable row of ``outcomes``.
-
-    ``freq``: contig, pos, ref, alt, freq (exact), multiallelic; several records may share a position.
+@F.pandas_udf(exact.EXACT)
+def _fill(weight: pd.DataFrame, frequency: pd.DataFrame, alt: pd.Series) -> pd.DataFrame:
+    """weight * 2 * f, or weight * 2 * (1 - f) where the effect allele is REF; exponents add up."""
+    rows = []
+    for neg, digits, exp, fdigits, fexp, is_alt in zip(weight["neg"], weight["digits"], weight["exp"], frequency["digits"], frequency["exp"], alt, strict=True):
+        if not isinstance(digits, str) or not isinstance(fdigits, str):
+            rows.append((None, None, None))
+            continue
+        f, low = int(fdigits), int(fexp)
+        if not is_alt:
+            f, low = 10 ** max(0, -low) - f * 10 ** max(0, low), min(0, low)
+        rows.append((bool(neg), str(int(digits) * 2 * f), int(exp) + low))
+    return pd.DataFrame(rows, columns=["neg", "digits", "exp"])
+
+
+def fill_decisions(terms: DataFrame, freq: DataFrame, last_contig: int = 22) -> DataFrame:
+    """Adds ``reason`` (null: can be filled) and ``fill`` (exact) to each term, once whatever the number of samples.
+
+    ``freq``: contig, pos, ref, alt, freq (exact), multiallelic; several records may share a position. A term's
+    alleles are those of its orientation, else the published ones (effect_allele, other_allele) where the term has
+    them and they are no palindrome. A record of several ALTs is an error.
     """
     grouped = freq.groupBy("contig", "pos").agg(F.collect_list(F.struct("ref", "alt", "freq", "multiallelic")).alias("at"))
-    own = rows.where("status <> 'scorable_observation'").join(grouped, ["contig", "pos"], "left")
-    pair = F.array_sort(F.array(F.col("ref"), F.col("alt")))
-    own = own.withColumn("hits", F.filter("at", lambda x: F.array_sort(F.array(x["ref"], x["alt"])) == pair))
+    own = terms.join(grouped, ["contig", "pos"], "left")
+    resolved = F.coalesce("resolved", F.lit(False))
+    effect, other = F.when(F.col("effect_is_alt"), F.col("alt")).otherwise(F.col("ref")), F.when(F.col("effect_is_alt"), F.col("ref")).otherwise(F.col("alt"))
+    palindrome = F.lit(False)
+    if {"effect_allele", "other_allele"} <= set(terms.columns):
+        published = F.col("effect_allele").rlike("^[ACGT]+$") & F.col("other_allele").rlike("^[ACGT]+$") & (F.col("effect_allele") != F.col("other_allele"))
+        palindrome = F.col("effect_allele") == F.translate("other_allele", "ACGT", "TGCA")
+        effect, other = (F.when(resolved, x).when(F.coalesce(published & ~palindrome, F.lit(False)), F.col(c)) for x, c in ((effect, "effect_allele"), (other, "other_allele")))
+    else:
+        effect, other = F.when(resolved, effect), F.when(resolved, other)
+    pair = F.array_sort(F.array(effect, other))
+    several = F.exists("at", lambda x: x["alt"].contains(","))
+    hits = F.when(F.coalesce(several, F.lit(False)), F.raise_error(F.lit("a frequency record has several ALTs"))).otherwise(F.filter("at", lambda x: F.array_sort(F.array(x["ref"], x["alt"])) == pair))
+    own = own.withColumn("hits", hits)
     hit = F.get("hits", F.lit(0))
-    effect = F.when(F.col("effect_is_alt"), F.col("alt")).otherwise(F.col("ref"))
-    known = (~hit["freq"]["neg"]) & (exact.to_double(hit["freq"]) <= 1)
+    known = (~hit["freq"]["neg"] | (hit["freq"]["digits"] == "0")) & (exact.to_double(hit["freq"]) <= 1)
+    review = F.col("review")
+    if "reasons" in terms.columns:
+        review = F.size(F.array_remove("reasons", "unresolved_harmonized_position")) > 0
     reason = (
-        F.when(F.col("pos").isNull(), "no_position")
-        .when(F.col("review"), "requires_review")
+        F.when(F.col("pos").isNull() | F.col("contig").isNull(), "no_position")
+        .when(review, "requires_review")
         .when(F.col("model") != "additive", "non_additive_model")
         .when(F.col("contig") > last_contig, "no_frequency_source_for_contig")
-        .when(~F.col("resolved"), "source_alleles_unresolved")
+        .when(~resolved & F.coalesce(palindrome, F.lit(False)), "palindrome_orientation_unresolved")
+        .when(effect.isNull() | other.isNull(), "source_alleles_unresolved")
         .when(F.col("at").isNull(), "site_absent")
         .when(F.size("hits") == 0, "alleles_differ")
         .when(F.size("hits") > 1, "multiple_matching_records")
@@ -39,10 +70,28 @@ def fill_decisions(rows: DataFrame, freq: DataFrame, last_contig: int = 22) -> D
         .when((effect == hit["ref"]) & (hit["multiallelic"] | (F.size("at") > 1)), "multiallelic_reference_effect_allele")
     )
     own = own.withColumn("reason", reason)
-    share = F.when(effect == hit["alt"], hit["freq"]).otherwise(exact.one_minus(hit["freq"]))
-    two = F.struct(F.lit(False).alias("neg"), F.lit("2").alias("digits"), F.lit(0).alias("exp"))
-    fill = exact.product(exact.product(F.get("weights", F.lit(0)), two), share)
-    return own.withColumn("fill", F.when(F.col("reason").isNull(), fill)).drop("at", "hits")
+    filled = F.col("reason").isNull()
+    fill = _fill(F.when(filled, F.get("weights", F.lit(0))), F.when(filled, hit["freq"]), effect == hit["alt"])
+    return own.withColumn("fill", F.when(filled, fill)).drop("at", "hits")
+
+
+def fill_report(decided: DataFrame) -> DataFrame:
+    """Per score and reason ('filled' for none): rows and the exact sum of their fills, of terms with ``missing`` samples."""
+    rows = decided.where("missing > 0").withColumn("reason", F.coalesce("reason", F.lit("filled")))
+    sums = exact.exact_sum(rows, ["pgs_id", "reason"], F.col("fill"), F.col("missing"))
+    return rows.groupBy("pgs_id", "reason").agg(F.sum("missing").alias("n")).join(sums, ["pgs_id", "reason"])
+
+
+def filled_scores(rows: DataFrame, decided: DataFrame, keys: tuple[str, ...] = ("pgs_id", "sample")) -> DataFrame:
+    """Scores of rows of ``outcomes`` with the fills of ``decided`` in place of what could not be scored."""
+    fills = decided.where("fill is not null").select("pgs_id", "ordinal", "fill")
+    own = rows.join(fills, ["pgs_id", "ordinal"], "left")
+    ok = F.col("status") == "scorable_observation"
+    value, times = F.when(ok, F.col("weight")).otherwise(F.col("fill")), F.when(ok, F.col("times")).otherwise(1)
+    total = exact.exact_sum(own, list(keys), value, times)
+    counts = own.groupBy(*keys).agg(F.count(F.lit(1)).alias("terms"), F.count_if(ok).alias("scorable"), F.count_if(~ok & F.col("fill").isNotNull()).alias("filled"))
+    out = counts.join(total, list(keys)).withColumn("filled_score", exact.text(F.col("total"))).drop("total")
+    return out.withColumn("enough", F.col("scorable") * 100 >= F.col("terms") * 99)
 
 
 # Reference distributions
@@ -109,36 +158,118 @@ def windows(deviations: DataFrame, keys: list[str], width: int = 1_000_000) -> D
     return own.groupBy(*keys).agg(F.first("total").alias("total"), best.alias("top")).select(*keys, "total", "top.contig", "top.window", "top.deviation")
 
 
-# Missing terms
-
-
-def possible(weights: Column, model: Column) -> Column:
-    """Contributions of a term at effect dosage 0, 1 and 2, as (weight, times) pairs."""
-    w = F.get(weights, F.lit(0))
-    pair = lambda v, n: F.struct(v.alias("weight"), F.lit(n).alias("times"))
-    return (
-        F.when(model == "dosage_weights", F.transform(weights, lambda v: F.struct(v.alias("weight"), F.lit(1).alias("times"))))
-        .when(model == "dominant", F.array(pair(w, 0), pair(w, 1), pair(w, 1)))
-        .when(model == "recessive", F.array(pair(w, 0), pair(w, 0), pair(w, 1)))
-        .otherwise(F.array(pair(w, 0), pair(w, 1), pair(w, 2)))
-    )
-
-
-def bounds(rows: DataFrame) -> DataFrame:
-    """Adds lower, upper and impact keys of what each unscorable term could contribute (weights of at most 18 digits and one exponent)."""
-    own = rows.where("status <> 'scorable_observation'").withColumn("__p", possible(F.col("weights"), F.col("model")))
-    signed = lambda x: F.when(x["weight"]["neg"], -x["weight"]["digits"].cast("decimal(20,0)")).otherwise(x["weight"]["digits"].cast("decimal(20,0)")) * x["times"]
-    values = F.transform("__p", signed)
-    own = own.withColumn("lower", F.array_min(values)).withColumn("upper", F.array_max(values)).withColumn("exp", F.get("weights", F.lit(0))["exp"])
-    return own.withColumn("impact", F.greatest(F.abs("lower"), F.abs("upper"))).drop("__p")
+def panel_placement(rows: DataFrame, panel: DataFrame, groups: DataFrame, least: float = 0.99) -> DataFrame:
+    """Percentile of each sample's score among each group of a panel, over the terms that both can score.
 
+    ``rows``: pgs_id, sample, ordinal, c0, c1, c2 (contributions at effect dosage 0, 1 and 2) and d, the sample's
+    effect dosage (null: not scored). ``panel``: pgs_id, ordinal, member, d (null: no call), a row for each member.
+    ``groups``: member, grp. A term called in fewer than ``least`` of the panel counts on neither side; a member
+    without a call gets the Hardy-Weinberg expectation at its group's frequency, or the panel's if the group has none.
+    """
+    calls = panel.join(groups, "member")
+    per_group = calls.groupBy("pgs_id", "ordinal", "grp").agg(F.count(F.lit(1)).alias("n"), F.count("d").alias("called"), F.sum("d").alias("alleles"))
+    every = per_group.groupBy("pgs_id", "ordinal").agg(F.sum("n").alias("all_n"), F.sum("called").alias("all_called"), F.sum("alleles").alias("all_alleles"))
+    every = every.where((F.col("all_called") > 0) & (F.col("all_called") >= least * F.col("all_n")))
+    p = F.coalesce(F.col("alleles") / (2 * F.col("called")), F.col("all_alleles") / (2 * F.col("all_called")))
+    rates = per_group.join(every, ["pgs_id", "ordinal"]).select("pgs_id", "ordinal", "grp", F.when(F.col("called") > 0, p).otherwise(F.col("all_alleles") / (2 * F.col("all_called"))).alias("p"))
+    at = lambda d: F.when(d == 0, F.col("c0")).when(d == 1, F.col("c1")).when(d == 2, F.col("c2"))
+    matched = rows.where("d is not null and c0 is not null and c1 is not null and c2 is not null").join(every.select("pgs_id", "ordinal"), ["pgs_id", "ordinal"], "left_semi")
+    own = matched.groupBy("pgs_id", "sample").agg(F.sum(at(F.col("d"))).alias("value"), F.count(F.lit(1)).alias("matched"))
+    terms = matched.select("pgs_id", "sample", "ordinal", "c0", "c1", "c2").join(calls.join(rates, ["pgs_id", "ordinal", "grp"]), ["pgs_id", "ordinal"])
+    value = F.when(F.col("d").isNull(), hardy_weinberg(F.col("p"), F.col("c0"), F.col("c1"), F.col("c2"))).otherwise(at(F.col("d")))
+    members = terms.groupBy("pgs_id", "sample", "grp", "member").agg(F.sum(value).alias("other"))
+    pairs = members.join(own, ["pgs_id", "sample"])
+    below, equal = F.count_if(F.col("other") < F.col("value")), F.count_if(F.col("other") == F.col("value"))
+    out = pairs.groupBy("pgs_id", "sample", "grp", "value", "matched").agg(F.count(F.lit(1)).alias("n"), (100 * (below + equal / 2) / F.count(F.lit(1))).alias("percentile"), F.avg("other").alias("mean"), F.when(F.count(F.lit(1)) > 1, F.stddev_samp("other")).alias("sd"))
+    return out.withColumn("z", F.when(F.col("sd") > 0, (F.col("value") - F.col("mean")) / F.col("sd")))
 
-def ranked(bounded: DataFrame, keys: list[str], k: int = 20) -> DataFrame:
-    """The k unscorable terms of greatest possible contribution, by exact magnitude, then by ordinal."""
-    by = Window.partitionBy(*keys).orderBy(F.desc("impact"), "ordinal")
-    return bounded.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
 
+# Missing terms
 
-def envelope(bounded: DataFrame, keys: list[str]) -> DataFrame:
-    """Sums of lower and upper bounds over the unscorable terms."""
-    return bounded.groupBy(*keys).agg(F.sum("lower").alias("lower"), F.sum("upper").alias("upper"), F.count(F.lit(1)).alias("missing"))
+#: Fixed reasons that concern matching alone, not what a term contributes.
+MATCHING = ("unresolved_harmonized_position", "harmonization_mismatch:hm_match_chr", "harmonization_mismatch:hm_match_pos", "invalid_harmonization_flag:hm_match_chr", "invalid_harmonization_flag:hm_match_pos", "author_other_allele_missing")
+
+
+@F.pandas_udf(T.StructType([T.StructField(c, exact.EXACT) for c in ("lower", "upper", "impact")]))
+def _extremes(weights: pd.Series, model: pd.Series, most: pd.Series, hemizygous: pd.Series) -> pd.DataFrame:
+    """Least and greatest contribution of a term over its possible dosages, and the larger of their sizes; nulls without valid weights."""
+    def struct(value: int, exp: int, neg: bool | None = None) -> dict:
+        return {"neg": value < 0 if neg is None else neg, "digits": str(abs(value)), "exp": exp}
+
+    rows = []
+    for own, kind, k, single in zip(weights, model, most, hemizygous, strict=True):
+        ws = [None if w is None else ((-1 if w["neg"] else 1) * int(w["digits"]), int(w["exp"])) for w in own]
+        dosages = [0, int(k)] if single else [0, 1, 2]
+        times = {"additive": lambda d: d, "dominant": lambda d: int(d > 0), "recessive": lambda d: int(d == 2)}
+        try:
+            values = [ws[d] for d in dosages] if kind == "dosage_weights" else [(ws[0][0] * times[kind](d), ws[0][1]) for d in dosages]
+        except (TypeError, IndexError):
+            values = [None]
+        if None in values:
+            rows.append((None, None, None))
+            continue
+        low = min(e for _, e in values)
+        values.sort(key=lambda x: x[0] * 10 ** (x[1] - low))
+        (a, e), (b, f) = values[0], values[-1]
+        size = max(((abs(a), e), (abs(b), f)), key=lambda x: x[0] * 10 ** (x[1] - low))
+        rows.append((struct(a, e), struct(b, f), struct(*size)))
+    return pd.DataFrame(rows, columns=["lower", "upper", "impact"])
+
+
+def bounds(terms: DataFrame, single: Column | None = None, most: int = 2) -> DataFrame:
+    """Adds lower, upper and impact (exact; null: unbounded) and ``unbounded``, why a term has no bounds, once for each term.
+
+    ``reasons``, where there, must concern matching alone (an informational description also does no harm). ``single``
+    says which terms are counted once (chrX outside the pseudo-autosomal regions in XY); those take the dosages 0 and ``most``.
+    """
+    single = F.lit(False) if single is None else single
+    own = terms.withColumn("__x", _extremes(F.col("weights"), F.col("model"), F.lit(most), single))
+    barred = F.lit(False)
+    if "reasons" in terms.columns:
+        allowed = F.array(*map(F.lit, MATCHING))
+        if "informational" in terms.columns:
+            allowed = F.when(F.col("informational"), F.concat(allowed, F.array(F.lit("variant_description_requires_review")))).otherwise(allowed)
+        barred = F.size(F.array_except("reasons", allowed)) > 0
+    why = F.when(barred, "ambiguous_or_unsupported_contribution_model").when(F.col("__x.lower").isNull(), "invalid_or_missing_weights")
+    out = own.withColumn("unbounded", why)
+    return out.withColumns({c: F.when(F.col("unbounded").isNull(), F.col(f"__x.{c}")) for c in ("lower", "upper", "impact")}).drop("__x")
+
+
+def missing(rows: DataFrame, bounded: DataFrame) -> DataFrame:
+    """The unscorable rows of ``outcomes`` with their terms' bounds; a call of unsupported ploidy has none."""
+    own = bounded.select("pgs_id", "ordinal", "lower", "upper", "impact", "unbounded")
+    out = rows.where("status <> 'scorable_observation'").join(own, ["pgs_id", "ordinal"])
+    why = F.coalesce("unbounded", F.when(F.col("status").isin("unsupported_ploidy", "missing_reason_not_retained"), F.col("status")))
+    out = out.withColumn("unbounded", why)
+    return out.withColumns({c: F.when(F.col("unbounded").isNull(), F.col(c)) for c in ("lower", "upper", "impact")})
+
+
+def ranked(rows: DataFrame, keys: list[str], k: int = 20) -> DataFrame:
+    """The k bounded rows of :func:`missing` of greatest possible contribution, by exact size, then by ordinal."""
+    by = Window.partitionBy(*keys).orderBy(F.desc("__size"), "ordinal")
+    own = rows.where("impact is not null").withColumn("__size", exact.magnitude_key(F.col("impact")))
+    return own.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).drop("__size")
+
+
+def earliest_unbounded(rows: DataFrame, keys: list[str], k: int = 20) -> DataFrame:
+    """The first k rows of :func:`missing` without bounds, by ordinal."""
+    by = Window.partitionBy(*keys).orderBy("ordinal")
+    return rows.where("impact is null").withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
+
+
+def envelope(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Exact sums of the lower and upper bounds of rows of :func:`missing`, and how many there are with and without bounds."""
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("missing"), F.count("unbounded").alias("unbounded"))
+    lower, upper = (exact.exact_sum(rows, keys, F.col(c), name=c) for c in ("lower", "upper"))
+    return counts.join(lower, keys).join(upper, keys)
+
+
+def completion(enveloped: DataFrame, partial: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds the least and greatest complete score (texts) to an envelope; null where a term has no bounds."""
+    own = enveloped.join(partial.select(*keys, exact.parse(F.col("partial_score")).alias("__p")), keys)
+    parts = [own.select(*keys, F.col(c).alias("__v"), F.lit(c).alias("side")) for c in ("lower", "upper")]
+    parts += [own.select(*keys, F.col("__p").alias("__v"), F.lit(c).alias("side")) for c in ("lower", "upper")]
+    both = parts[0].unionAll(parts[1]).unionAll(parts[2]).unionAll(parts[3])
+    sums = exact.exact_sum(both, [*keys, "side"], F.col("__v")).groupBy(*keys).agg(*(F.first(F.when(F.col("side") == c, exact.text(F.col("total"))), True).alias(f"complete_{c}") for c in ("lower", "upper")))
+    out = own.drop("__p").join(sums, keys)
+    return out.withColumns({f"complete_{c}": F.when(F.col("unbounded") == 0, F.col(f"complete_{c}")) for c in ("lower", "upper")})

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import exact
+
 COMPLEMENT = ("ACGT", "TGCA")
 #: Fixed names of review reasons.
 INVALID_FLAGS = ("", ".", "NA")
@@ -54,16 +56,35 @@ def reasons(conditions: dict[str, Column]) -> Column:
     return F.array_sort(F.array_compact(F.array(*(F.when(c, F.lit(n)) for n, c in conditions.items()))))
 
 
-def restates(description: Column, contig: Column, pos: Column, a: Column, b: Column) -> Column:
-    """Whether a description only repeats the row: chr_pos_allele_allele in either order of alleles."""
-    part = lambda k: F.regexp_extract(description, r"^(?:chr)?([0-9XYM]+)[_:]([0-9]+)[_:]([ACGT]+)[_:]([ACGT]+)$", k)
-    same = F.array_sort(F.array(part(3), part(4))) == F.array_sort(F.array(a, b))
-    return (contig_code(part(1)) == contig) & (part(2) == pos.cast("string")) & same
+def restates(description: Column, chr_name: Column, chr_position: Column, effect: Column, other: Column) -> Column:
+    """Whether a description only names the row's own variant: its chromosome, position and both alleles in either order."""
+    part = lambda k: F.regexp_extract(description, r"^FinnGen_VariantID=chr([0-9]{1,2}|X|Y)_([0-9]+)_([ACGT]+)_([ACGT]+)$", k)
+    same = F.array_sort(F.array(part(3), part(4))) == F.array_sort(F.array(F.trim(effect), F.trim(other)))
+    return (part(1) != "") & (part(1) == F.regexp_replace(F.trim(chr_name), "^chr", "")) & (part(2) == F.trim(chr_position)) & same
+
+
+#: Fixed keys, notes and a prefix of descriptions that tell nothing about how a term is scored.
+INFORMATIONAL_KEYS = ("PIP", "BETAlast", "SE", "LastSampleEff", "P", "N", "FinnGen_VariantID", "ID", "variant_id", "VARIANT_ID")
+INFORMATIONAL_NOTES = ("Variant info (UK Biobank)", "Score calculated as product of dosage times weight across all variants")
+INFORMATIONAL_PREFIX = "Beta, estimated per allele log odds ratio adjusted for winner"
+
+
+def informational(description: Column, known: tuple[str, ...] = INFORMATIONAL_KEYS) -> Column:
+    """Whether a description changes nothing: key=value parts with known keys (or a1, a2, ...) and values, a known note, or a proxy's name."""
+    def harmless(item: Column) -> Column:
+        key, value = F.trim(F.regexp_extract(item, "^([^=]*)=", 1)), F.trim(F.regexp_extract(item, "^[^=]*=(.*)$", 1))
+        return item.contains("=") & (value != "") & (key.isin(*known) | key.rlike("^a[0-9]+$"))
+
+    parts = F.forall(F.split(description, ";", -1), harmless)
+    return parts | description.rlike("^proxy SNP: rs[0-9]+$") | description.isin(*INFORMATIONAL_NOTES) | description.startswith(INFORMATIONAL_PREFIX)
 
 
-def informational(description: Column, known: list[str]) -> Column:
-    """Whether every ';' part of a description is key=value with a known key, or empty."""
-    return F.forall(F.split(description, ";"), lambda x: (F.trim(x) == "") | F.regexp_extract(F.trim(x), r"^([A-Za-z_]+)=", 1).isin(*known))
+def centre(description: Column) -> Column:
+    """<weight_type, centre> of a description that centres its weight at a number from 0 to 2, else null."""
+    kind, text = (F.regexp_extract(description, r"^weight_type=(beta|OR|HR|NR);centre=([0-9.][0-9.eE+-]*)$", k) for k in (1, 2))
+    value = exact.parse(text)
+    fits = (kind != "") & value.isNotNull() & (exact.to_double(value) <= 2)
+    return F.when(fits, F.struct(kind.alias("weight_type"), text.alias("centre")))
 
 
 def orient(terms: DataFrame, base: str = "base", effect: str = "effect_allele", other: str = "other_allele") -> DataFrame:

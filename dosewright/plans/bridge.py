@@ -37,6 +37,10 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.select((F.col("o_custkey") % 50).alias("sample"), F.col("l_partkey").alias("partkey"), F.col("l_quantity").cast("int").alias("depth"), (F.round(F.col("l_tax") * 100).cast("int") * 10).alias("quality"), (F.col("l_linenumber") % 3).alias("dosage"), "l_linestatus", F.col("l_linenumber"), "l_orderkey")
 
 
+def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records(spark, sf_dir).select("sample").distinct()
+
+
 def simple_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A call for each sample and site with a record: ambiguous, low quality or observed."""
     own = records(spark, sf_dir).groupBy("sample", "partkey").agg(F.count(F.lit(1)).alias("n"), F.min("depth").alias("depth"), F.min("dosage").alias("dosage"))

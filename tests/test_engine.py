@@ -113,6 +113,10 @@ BLOCK = {"alts": ["<*>"], "gt": [0, 0], "end_": 9}
         ({"alts": ["C", "G"], "gt": [0, 1]}, ("other_called_allele", None)),
         ({"alts": ["C", "G"], "gt": [0, 2]}, ("observed_variant", 1)),
         ({"ref": "AC"}, ("unsupported_allele_representation", None)),
+        ({"gt": None}, ("unsupported_ploidy", None)),
+        ({"gt": []}, ("unsupported_ploidy", None)),
+        ({"filters": None}, ("filtered", None)),
+        ({"alts": ["G"], "gt": [0, 3]}, ("other_called_allele", None)),
         (BLOCK, ("observed_reference", 0)),
         (BLOCK | {"anchor_ok": False}, ("reference_anchor_mismatch", None)),
         (BLOCK | {"gt": [0, 1]}, ("unsupported_symbolic_genotype", None)),
@@ -150,15 +154,50 @@ def test_models(spark):
 
 def test_missing_terms(spark):
     rows = [(1, True, "additive", ["-2"]), (2, True, "additive", ["5"]), (3, True, "dominant", ["3"]), (4, True, "recessive", ["-1"]), (5, True, "additive", ["1"])]
-    own = score.outcomes(make_terms(spark, rows), make_calls(spark, {1: None, 2: None, 3: None, 4: None, 5: 1}))
+    made = make_terms(spark, rows)
+    own = score.outcomes(made, make_calls(spark, {1: None, 2: None, 3: None, 4: None, 5: 1}))
     (out,) = score.scores(own).collect()
     assert out["partial_score"] == "1" and out["complete_score"] is None
-    bounded = enrich.bounds(own)
-    (env,) = enrich.envelope(bounded, ["pgs_id", "sample"]).collect()
-    assert (int(env["lower"]), int(env["upper"]), env["missing"]) == (-5, 13, 4)
+    bounded = enrich.missing(own, enrich.bounds(made))
+    enveloped = enrich.envelope(bounded, ["pgs_id", "sample"])
+    (env,) = enveloped.select(exact.text(F.col("lower")).alias("lower"), exact.text(F.col("upper")).alias("upper"), "missing", "unbounded").collect()
+    assert tuple(env) == ("-5", "13", 4, 0)
+    (whole,) = enrich.completion(enveloped, score.scores(own), ["pgs_id", "sample"]).collect()
+    assert (whole["complete_lower"], whole["complete_upper"]) == ("-4", "14")
     assert [r["ordinal"] for r in enrich.ranked(bounded, ["pgs_id", "sample"]).orderBy("rank").collect()] == [2, 1, 3, 4]
 
 
+def test_bounds_of_mixed_exponents(spark):
+    """Weights of other exponents and of many digits: exact sums, and the greater size ranks first."""
+    long = "0." + "1" * 60
+    rows = [(1, True, "additive", ["5"]), (2, True, "additive", ["0.500"]), (3, True, "dosage_weights", ["3", "7", "1e1"]), (4, True, "dominant", [long]), (5, True, "recessive", ["-7E-3"])]
+    made = make_terms(spark, rows)
+    own = enrich.missing(score.outcomes(made, make_calls(spark, dict.fromkeys(range(1, 6)))), enrich.bounds(made))
+    (env,) = enrich.envelope(own, ["pgs_id", "sample"]).select(exact.text(F.col("lower")).alias("lower"), exact.text(F.col("upper")).alias("upper")).collect()
+    with localcontext() as c:
+        c.prec = 200
+        assert Decimal(env["lower"]) == Decimal("2.993") and Decimal(env["upper"]) == Decimal("21.000") + Decimal(long)
+    assert [r["ordinal"] for r in enrich.ranked(own, ["pgs_id", "sample"]).orderBy("rank").collect()] == [1, 3, 2, 4, 5]
+
+
+def test_every_term_counts_for_every_sample(spark):
+    """One term called, one without a call, one without an orientation: none vanishes."""
+    made = make_terms(spark, [(1, True, "additive", ["0.5"]), (2, True, "additive", ["0.25"]), (3, True, "additive", ["1"])])
+    made = made.withColumns({c: F.when(F.col("ordinal") != 3, F.col(c)) for c in ("ref", "alt")}).withColumn("resolved", F.col("ordinal") != 3)
+    found = make_calls(spark, {1: 1})
+    (out,) = score.cohort(made, found, absent=score.ABSENT).collect()
+    assert (out["terms"], out["scorable"], out["partial_score"], out["complete_score"]) == (3, 1, "0.5", None)
+    assert abs(out["weight_coverage"] - 0.5 / 1.75) < 1e-12 and not out["covered"]
+    assert {r["status"]: r["n"] for r in score.states(made, found, absent=score.ABSENT).collect()} == {"scorable_observation": 1, "unknown_no_record": 1, "unresolved_orientation": 1}
+    assert {r["ordinal"]: r["status"] for r in score.outcomes(made, found, absent=score.ABSENT).collect()} == {1: "scorable_observation", 2: "unknown_no_record", 3: "unresolved_orientation"}
+    for f in (lambda: score.cohort(made, found), lambda: score.states(made, found), lambda: score.outcomes(made, found)):
+        with pytest.raises(Exception, match="no call"):
+            f().collect()
+    both = found.unionByName(make_calls(spark, {2: 2}))
+    (out,) = score.cohort(made, both).collect()
+    assert (out["terms"], out["scorable"], out["partial_score"]) == (3, 2, "1.00")
+
+
 def test_hemizygous(spark):
     own = make_terms(spark, [(1, True, "additive", ["2"]), (2, True, "additive", ["3"])]).withColumn("contig", F.lit(23))
     called = make_calls(spark, {1: 2, 2: 1}).withColumn("contig", F.lit(23))
@@ -172,14 +211,27 @@ def test_fsum(spark):
 
 
 def test_comparison(spark):
-    left = spark.createDataFrame([("a", "P", "1.0"), ("b", "P", "2"), ("c", "P", "NA"), ("d", "P", "4")], "sample string, pgs_id string, s string").withColumn("score", compare.score_number(F.col("s")))
-    right = spark.createDataFrame([("a", "P", "1.00"), ("b", "P", "2.005"), ("c", "P", "3"), ("e", "P", "4")], "sample string, pgs_id string, s string").withColumn("score", compare.score_number(F.col("s")))
-    out = compare.compare_scores(left, right, 0.01)
+    left = spark.createDataFrame([("a", "P", "1.0"), ("b", "P", "2"), ("c", "P", "NA"), ("d", "P", "4")], "sample string, pgs_id string, s string").withColumnRenamed("s", "score")
+    right = spark.createDataFrame([("a", "P", "1.00"), ("b", "P", "2.005"), ("c", "P", "3"), ("e", "P", "4")], "sample string, pgs_id string, s string").withColumnRenamed("s", "score")
+    out = compare.compare_scores(left, right, "0.01")
     assert {r["sample"]: r["status"] for r in out.collect()} == {"a": "exact", "b": "within_tolerance", "c": "unavailable", "d": "left_only", "e": "right_only"}
     assert not compare.agrees(out).first()["agrees"]
     with pytest.raises(ValueError):
-        compare.compare_scores(left, right, -1.0)
-
+        compare.compare_scores(left, right, "-1")
+    with pytest.raises(Exception, match="key found twice"):
+        compare.compare_scores(left.unionAll(left), right).collect()
+
+
+def test_comparison_is_exact(spark):
+    """Differences far below a float's or a short decimal's reach count, and so does the tolerance's own boundary."""
+    pairs = {"a": ("0.0000000000001", "0.0000000000002", "different"), "b": ("1e300", "1E+300", "exact"), "c": ("0.1", "0.11", "within_tolerance"), "d": ("0.1", "0.110000000000000000000000000001", "different"), "e": (None, "1", "unavailable"), "f": ("5", "5.0", "identity_mismatch")}
+    shape = "sample string, pgs_id string, score string, fid string"
+    left = spark.createDataFrame([(k, "P", a, "x") for k, (a, _, _) in pairs.items()], shape)
+    right = spark.createDataFrame([(k, "P", b, "y" if k == "f" else None) for k, (_, b, _) in pairs.items()], shape)
+    found = {r["sample"]: r for r in compare.compare_scores(left, right, "0.01" if False else "0", "0", identity=("fid",)).collect()}
+    assert found["a"]["status"] == "different" and found["a"]["delta"] == "1e-13" and found["b"]["status"] == "exact" and found["f"]["status"] == "identity_mismatch"
+    near = {r["sample"]: r["status"] for r in compare.compare_scores(left, right, "0.01", identity=("fid",)).collect()}
+    assert {k: near[k] for k in "cde"} == {k: pairs[k][2] for k in "cde"}
 
 def test_batches_do_not_depend_on_partitions(spark):
     own = spark.range(1, 5001).select(F.lit("P").alias("pgs_id"), F.col("id").alias("ordinal"))
@@ -213,10 +265,20 @@ def test_sources(spark, tmp_path):
     assert [(r["pgs_id"], r["contig"], r["pos"], r["model"], r["reasons"]) for r in own] == [
         ("MY_SCORE", 1, 5, "additive", []),
         ("MY_SCORE", 1, 6, "dominant", ["author_other_allele_missing"]),
-        ("MY_SCORE", 1, None, "additive", ["identical_effect_and_other_alleles", "invalid_dominance_flag", "invalid_weight", "unresolved_harmonized_position"]),
+        ("MY_SCORE", 1, None, "additive", ["identical_effect_other_alleles", "invalid_effect_weight", "invalid_model_flag:is_dominant", "unresolved_harmonized_position"]),
     ]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:  # lines keep their numbers when a file is read in many splits
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+        (tmp_path / "long.txt").write_text("".join(f"line {k} {'x' * (k % 37)}\n" for k in range(1, 1001)))
+        rows = text.numbered_lines(spark, str(tmp_path / "long.txt"), "line NOT LIKE 'line 7 %'")
+        assert rows.rdd.getNumPartitions() > 3
+        found = {r["n"]: r["line"].split()[1] for r in rows.collect()}
+        assert [found[n] for n in range(1, 1000)] == [str(k) for k in range(1, 1001) if k != 7]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     (tmp_path / "r.fa").write_text(">chr1 x\nACGTTGCAAC\nNNacgttgca\nACG\n>chrX\nGATTACA\n")
-    chunks = binary.fasta_chunks(spark, str(tmp_path / "r.fa"), 8)
+    chunks = binary.fasta_chunks(spark, str(tmp_path / "r.fa"), 8, 3)
     want = "ACGTTGCAACNNACGTTGCAACG"
     points = spark.createDataFrame([(1, p) for p in range(1, 25)] + [(23, 7)], "contig int, pos int")
     found = {(r["contig"], r["pos"]): r["base"] for r in binary.with_bases(points, chunks, width=8).collect()}
@@ -229,7 +291,7 @@ def test_sources(spark, tmp_path):
     rows = text.frequency_records(spark, str(tmp_path / "f.vcf"), "AF").orderBy("src_ord").collect()
     assert [(r["pos"], r["freq_text"], r["multiallelic"]) for r in rows] == [(5, "0.25", True), (6, None, False)]
     (tmp_path / "p.sscore").write_text("#FID IID A_SUM NAMED_ALLELE_DOSAGE_SUM B_SUM\n0 S1 1.5 3 NA\n")
-    assert sorted((r["pgs_id"], r["score"] and float(r["score"])) for r in text.score_table(spark, str(tmp_path / "p.sscore"), "plink").collect()) == [("A", 1.5), ("B", None)]
+    assert sorted((r["pgs_id"], r["score"]) for r in text.score_table(spark, str(tmp_path / "p.sscore"), "plink").collect()) == [("A", "1.5"), ("B", "NA")]
 
 
 def test_plink(spark, tmp_path):
