@@ -188,7 +188,7 @@ def _blocks_of(docs: list[tuple[int, int, np.ndarray]], parts: int, hot: int, sa
     return out
 
 
-def _seed_blocks(texts: DataFrame, parts: int, flush: int = 1_000_000, hot: int = 64, salts: int = 32) -> DataFrame:
+def _seed_blocks(texts: DataFrame, parts: int, flush: int = 1_000_000, hot: int = 64, salts: int = 32, least: int = 0) -> DataFrame:
     names = [x.split()[0] for x in BLOCK.split(", ")]
     kinds = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), *[pa.binary()] * 5]
 
@@ -205,6 +205,8 @@ def _seed_blocks(texts: DataFrame, parts: int, flush: int = 1_000_000, hot: int
         for batch in batches:
             for d, t, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).cast(pa.large_binary()), strict=True):
                 own = word_hashes(text.as_py(), memo)
+                if len(own) < least:  # too short for any passage
+                    continue
                 held.append((d, t, own))
                 size += len(own)
                 if size >= flush:
@@ -407,7 +409,7 @@ def leading(chains: list[tuple[int, list[tuple[int, int]]]], k: int, least: int,
 
 
 def _chains(documents: DataFrame, k: int, least: int, similar: float) -> DataFrame:
-    """The chains of each document of ``documents`` (d, t, own: its owners o, u and their places ps, qs)."""
+    """The chains (ps, qs) of each document of ``documents`` (d, t, own: its owners o, u and their places ps, qs), a row for each owner."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -432,13 +434,17 @@ def _chains(documents: DataFrame, k: int, least: int, similar: float) -> DataFra
                 held.setdefault(int(docs[head]), []).extend((head, run) for run in wanted(chain(matches, k), least))
             ds, ts, out = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
             for n, found in held.items():
-                for m, (head, run) in enumerate(leading(found, k, least, similar)):
-                    out.append({"c": f"{ds[n]}/{ts[n]}/{m}", "d": ds[n], "t": ts[n], "o": int(os[head]), "u": int(us[head]), "ps": [x[0] for x in run], "qs": [x[1] for x in run]})
+                own_runs: dict[int, list] = {}
+                for head, run in leading(found, k, least, similar):
+                    own_runs.setdefault(head, []).append(run)
+                for m, (head, runs) in enumerate(own_runs.items()):
+                    ps_, qs_ = ([[x[side] for x in run] for run in runs] for side in (0, 1))
+                    out.append({"c": f"{ds[n]}/{ts[n]}/{m}", "d": ds[n], "t": ts[n], "o": int(os[head]), "u": int(us[head]), "ps": ps_, "qs": qs_})
             yield pa.RecordBatch.from_pylist(out, schema=shape)
 
-    ints, long = pa.list_(pa.int32()), pa.int64()
-    shape = pa.schema([("c", pa.string()), ("d", long), ("t", long), ("o", long), ("u", long), ("ps", ints), ("qs", ints)])
-    return documents.mapInArrow(rows, "c string, d long, t long, o long, u long, ps array<int>, qs array<int>")
+    runs, long = pa.list_(pa.list_(pa.int32())), pa.int64()
+    shape = pa.schema([("c", pa.string()), ("d", long), ("t", long), ("o", long), ("u", long), ("ps", runs), ("qs", runs)])
+    return documents.mapInArrow(rows, "c string, d long, t long, o long, u long, ps array<array<int>>, qs array<array<int>>")
 
 
 def _word_blocks(asked: DataFrame, block: int) -> DataFrame:
@@ -463,17 +469,31 @@ def _word_blocks(asked: DataFrame, block: int) -> DataFrame:
     return asked.mapInArrow(rows, "d long, t long, b int, words array<int>")
 
 
-def _aligned(ready: DataFrame, k: int, least: int, similar: float) -> DataFrame:
+def _aligned(ready: DataFrame, k: int, least: int, similar: float, margin: int, block: int) -> DataFrame:
+    """The passages of each row of ``ready``: y, a document's chains with one owner, and x, the blocks of words of both around them."""
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["d", "o", "ps", "qs", "a_low", "a", "b_low", "b"]
         for batch in batches:
             out = []
-            for d, o, ps, qs, a_low, a, b_low, b in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
-                run = [(p - a_low, q - b_low) for p, q in zip(ps, qs, strict=True)]
-                i, i1, j, j1, matched = align(np.array(a, np.int64), np.array(b, np.int64), run, k)
-                likeness = 2 * matched / (i1 - i + j1 - j)
-                if min(i1 - i, j1 - j) >= least and likeness >= similar:
-                    out.append({"doc_id": d, "start": i + a_low, "n_words": i1 - i, "source_id": o, "source_start": j + b_low, "source_words": j1 - j, "matched": matched, "similarity": likeness})
+            for y, x in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                sides: tuple[dict, dict] = ({}, {})
+                pieces = x.values
+                for n, (side, b) in enumerate(zip(pieces.field(0).to_pylist(), pieces.field(1).to_pylist(), strict=True)):
+                    sides[side][b] = pieces.field(2)[n].values.to_numpy()
+
+                def around(side: int, places: list[int], sides=sides) -> tuple[int, np.ndarray]:
+                    """(first place, words) of one text from ``margin`` words before a chain to as many after it."""
+                    low, high = max(0, min(places) - margin), max(places) + k + margin
+                    first = low // block
+                    words = np.concatenate([sides[side][b] for b in range(first, (high - 1) // block + 1) if b in sides[side]])
+                    return low, words[low - first * block : high - first * block].astype(np.int64)
+
+                for ps, qs in zip(y["ps"], y["qs"], strict=True):
+                    (a_low, a), (b_low, b) = around(0, ps), around(1, qs)
+                    i, i1, j, j1, matched = align(a, b, [(p - a_low, q - b_low) for p, q in zip(ps, qs, strict=True)], k)
+                    likeness = 2 * matched / (i1 - i + j1 - j)
+                    if min(i1 - i, j1 - j) >= least and likeness >= similar:
+                        out.append({"doc_id": y["d"], "start": i + a_low, "n_words": i1 - i, "source_id": y["o"], "source_start": j + b_low, "source_words": j1 - j, "matched": matched, "similarity": likeness})
             frame = pd.DataFrame(out, columns=[x.split()[0] for x in FOUND.split(", ")])
             yield pa.RecordBatch.from_pandas(frame, schema=shape, preserve_index=False)
 
@@ -481,12 +501,12 @@ def _aligned(ready: DataFrame, k: int, least: int, similar: float) -> DataFrame:
     return ready.mapInArrow(rows, FOUND)
 
 
-def matched(texts: DataFrame, seeds_in_part: int = 1_500_000) -> DataFrame:
+def matched(texts: DataFrame, least: int, seeds_in_part: int = 1_500_000) -> DataFrame:
     """(d, t, own) of each document of ``texts`` (d, t, text) with seeds that earlier ones own: these (o, u), and the places in both (ps, qs)."""
     # About a seed for six bytes of text; the number of parts follows the input, so that a part fits in memory.
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-size // (6 * seeds_in_part)))
-    blocks = _seed_blocks(texts, parts).groupBy("part", "salt")
+    blocks = _seed_blocks(texts, parts, least=least).groupBy("part", "salt")
     found = written(blocks.applyInPandas(_matches, MATCH), "matches")
     owners = found.where("kind = 1").select(F.col("h").alias("_h"), F.col("o").alias("_o"), F.col("u").alias("_u"), F.col("qs")[0].alias("_q"))
     # Both sides are plain scans, so the partition of a frequent seed can be split.
@@ -501,26 +521,24 @@ def passages(docs: DataFrame, least: int = 50, similar: float = 0.8, k: int = 4,
     """Passages of ``docs`` (doc_id, text) that an earlier document has too: a row per passage and earlier copy."""
     text = F.coalesce("text", F.lit(""))
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("d"), F.xxhash64(text).alias("t"), text.alias("text"))
-    chains = written(_chains(matched(texts), k, least, similar), "chains")
+    chains = written(_chains(matched(texts, least), k, least, similar), "chains")
+
+    # The blocks of words that the chains of a pair need of both texts, each once.
+    def near(runs: str):
+        low = lambda x: F.greatest(F.array_min(x) - margin, F.lit(0))
+        high = lambda x: F.array_max(x) + (k + margin - 1)
+        return F.array_distinct(F.flatten(F.transform(runs, lambda x: F.sequence(F.floor(low(x) / block).cast("int"), F.floor(high(x) / block).cast("int")))))
 
-    # The ranges that each chain needs of both texts, cut into blocks of words.
-    low = lambda x: F.greatest(F.array_min(x) - margin, F.lit(0)).alias("low")
-    high = lambda x: (F.array_max(x) + k + margin).alias("high")
     sides = F.array(
-        F.struct(F.lit(0).alias("side"), F.col("d"), F.col("t"), low("ps"), high("ps")),
-        F.struct(F.lit(1).alias("side"), F.col("o").alias("d"), F.col("u").alias("t"), low("qs"), high("qs")),
+        F.struct(F.lit(0).alias("side"), F.col("d"), F.col("t"), near("ps").alias("bs")),
+        F.struct(F.lit(1).alias("side"), F.col("o").alias("d"), F.col("u").alias("t"), near("qs").alias("bs")),
     )
-    asks = chains.select("c", F.inline(sides)).withColumn("b", F.explode(F.sequence(F.expr(f"cast(low div {block} as int)"), F.expr(f"cast((high - 1) div {block} as int)"))))
+    asks = chains.select("c", F.inline(sides)).select("c", "side", "d", "t", F.explode("bs").alias("b"))
     asked = written(asks.select("d", "t", "b").distinct().groupBy("d", "t").agg(F.collect_list("b").alias("blocks")), "asked")  # no more than a text has
     blocks = _word_blocks(texts.join(asked, ["d", "t"]).select("d", "t", "text", "blocks"), block)
-    start = F.greatest(F.lit(0), F.col("low") - F.col("b") * block)
-    end = F.least(F.lit(block), F.col("high") - F.col("b") * block)
-    cut = asks.join(blocks, ["d", "t", "b"]).select("c", F.struct("side", "b", "low", F.slice("words", start + 1, end - start).alias("words")).alias("x"))
+    cut = asks.join(blocks, ["d", "t", "b"]).select("c", F.struct("side", "b", "words").alias("x"))
     rows = cut.withColumn("y", F.lit(None)).unionAll(chains.select("c", F.lit(None), F.struct("d", "o", "ps", "qs")))
-    # One shuffle brings a chain and its words together; repeated rows give a block twice.
-    both = rows.groupBy("c").agg(F.first("y", ignorenulls=True).alias("y"), F.array_sort(F.collect_set("x")).alias("x"))
-    side = lambda n: F.filter("x", lambda x: x["side"] == n)
-    words = lambda n: F.flatten(F.transform(side(n), lambda x: x["words"]))
-    ready = both.select("y.*", side(0)[0]["low"].alias("a_low"), words(0).alias("a"), side(1)[0]["low"].alias("b_low"), words(1).alias("b"))
+    # One shuffle brings a pair's chains and words together; repeated rows give a block twice.
+    ready = rows.groupBy("c").agg(F.first("y", ignorenulls=True).alias("y"), F.collect_set("x").alias("x")).select("y", "x")
     ids = {c: F.when(F.col(c) != LAST, F.col(c)) for c in ("doc_id", "source_id")}
-    return _aligned(ready, k, least, similar).withColumns(ids).distinct()  # chains may grow into the same passage
+    return _aligned(ready, k, least, similar, margin, block).withColumns(ids).distinct()  # chains may grow into the same passage
