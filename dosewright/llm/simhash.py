@@ -9,8 +9,8 @@ the home of x, so each pair meets at the home of its smaller member, and is comp
 bits. There are 2^27 anchors for each half; equal fingerprints are one row, whatever their number.
 
 Words and shingles: A to Z are lowered, words are runs of anything but ASCII white space, shingles are 3
-words (all words if there are fewer; none: fingerprint 0, which links like any other) and five where documents
-are dropped, as near copies are compared on shingles of five words there. Null texts count
+words (all words if there are fewer; none: fingerprint 0, which links like any other). Before a document is dropped,
+it is compared with the one that stays on shingles of five words. Null texts count
 as empty. Rows with a null doc_id are fingerprinted and linked; a component's id is its smallest doc_id
 that is not null, or null if it has none. Repeated rows each give a row. An empty table gives none.
 """
@@ -151,15 +151,16 @@ def _alike(pairs: DataFrame, words: int, similar: float) -> DataFrame:
     return pairs.mapInArrow(rows, "t long")
 
 
-def one_of_each(docs: DataFrame, words: int = 5, similar: float = 0.8) -> DataFrame:
+def one_of_each(docs: DataFrame, words: int = 5, similar: float = 0.8, digest: int = 3) -> DataFrame:
     """The rows of ``docs`` that are no copy or near copy of a row that stays; all columns are kept.
 
     Equal texts are one text, at its least doc_id (null last). Of each group of linked fingerprints the text with
-    the least doc_id, then hash, leads; another text of the group goes if its shingles have a Jaccard similarity of
-    ``similar`` or more with the leader's, compared exactly, and stays if not. Different texts under one doc_id or
+    the least doc_id, then hash, leads; another text of the group goes if its shingles of ``words`` words have a Jaccard similarity of
+    ``similar`` or more with the leader's, compared exactly, and stays if not. Fingerprints only choose whom to compare;
+    shingles of ``digest`` words, which a changed word touches less, bring more near copies within their reach. Different texts under one doc_id or
     under null are different documents. Rows equal in doc_id and text are one document.
     """
-    marked, known = _rooted(docs, words)
+    marked, known = _rooted(docs, digest)
     at = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id")
     texts = written(marked.groupBy("t", "fp").agg(F.min(at).alias("at")), "texts")
     placed = written(texts.join(known, "fp").select("t", "at", "root"), "placed")

@@ -182,7 +182,7 @@ def brute_kept(rows):
         return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
     def shingles_in_order(own):
-        return [" ".join(own[k : k + 5]) for k in range(len(own) - 4)] or ([" ".join(own)] if own else [])
+        return [" ".join(own[k : k + 3]) for k in range(len(own) - 2)] or ([" ".join(own)] if own else [])
 
     prints = {t: mark(t) for t in first}
     roots = brute_components(set(prints.values()))
