@@ -488,11 +488,14 @@ def _aligned(ready: DataFrame, k: int, least: int, similar: float, margin: int,
                     words = np.concatenate([sides[side][b] for b in range(first, (high - 1) // block + 1) if b in sides[side]])
                     return low, words[low - first * block : high - first * block].astype(np.int64)
 
+                met: set[tuple[int, int, int, int]] = set()  # several chains may grow into one passage
                 for ps, qs in zip(y["ps"], y["qs"], strict=True):
                     (a_low, a), (b_low, b) = around(0, ps), around(1, qs)
                     i, i1, j, j1, matched = align(a, b, [(p - a_low, q - b_low) for p, q in zip(ps, qs, strict=True)], k)
                     likeness = 2 * matched / (i1 - i + j1 - j)
-                    if min(i1 - i, j1 - j) >= least and likeness >= similar:
+                    place = (i + a_low, i1 + a_low, j + b_low, j1 + b_low)
+                    if min(i1 - i, j1 - j) >= least and likeness >= similar and place not in met:
+                        met.add(place)
                         out.append({"doc_id": y["d"], "start": i + a_low, "n_words": i1 - i, "source_id": y["o"], "source_start": j + b_low, "source_words": j1 - j, "matched": matched, "similarity": likeness})
             frame = pd.DataFrame(out, columns=[x.split()[0] for x in FOUND.split(", ")])
             yield pa.RecordBatch.from_pandas(frame, schema=shape, preserve_index=False)
