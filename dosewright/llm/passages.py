@@ -22,7 +22,9 @@
 A chain that lies within another of its document, and the other is long and alike enough by its matches alone, is
 not aligned: a document in a group of copies is reported with the copies that matter, not with all of them. An
 aligned chain is reported if both sides have ``least`` words or more and 2 * matched / (words of both sides) is
-at least ``similar``. Only passages shared by different documents count.
+at least ``similar``. Of a document's passages with one owner the fewest are reported that cover all the words of
+the document that any of them covers: a line that repeats within both texts meets its first place in the owner at
+every shift, and each shift would be a row. Only passages shared by different documents count.
 
 Exact copies need no rule of their own: their only chain with the first copy is the whole text. Null texts
 count as empty. Different texts under one doc_id, or under null, are different documents, ordered by doc_id (null
@@ -408,6 +410,19 @@ def leading(chains: list[tuple[int, list[tuple[int, int]]]], k: int, least: int,
     return out
 
 
+def covering(spans: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """The fewest of ``spans`` (start, end, other start, other end) that cover every word of the first side that any of them covers."""
+    out, end, best = [], -1, None
+    for span in sorted(spans, key=lambda x: (x[0], -x[1], x[2:])):
+        if best is not None and span[0] > end:  # no other span covers the word at ``end``
+            out.append(best)
+            end, best = best[1], None
+        if span[1] > end:
+            end = max(end, span[0])
+            best = span if best is None or span[1] > best[1] else best
+    return out if best is None else [*out, best]
+
+
 def _chains(documents: DataFrame, k: int, least: int, similar: float) -> DataFrame:
     """The chains (ps, qs) of each document of ``documents`` (d, t, own: its owners o, u and their places ps, qs), a row for each owner."""
 
@@ -488,15 +503,15 @@ def _aligned(ready: DataFrame, k: int, least: int, similar: float, margin: int,
                     words = np.concatenate([sides[side][b] for b in range(first, (high - 1) // block + 1) if b in sides[side]])
                     return low, words[low - first * block : high - first * block].astype(np.int64)
 
-                met: set[tuple[int, int, int, int]] = set()  # several chains may grow into one passage
+                grown: dict[tuple[int, int, int, int], int] = {}  # several chains may grow into one passage
                 for ps, qs in zip(y["ps"], y["qs"], strict=True):
                     (a_low, a), (b_low, b) = around(0, ps), around(1, qs)
                     i, i1, j, j1, matched = align(a, b, [(p - a_low, q - b_low) for p, q in zip(ps, qs, strict=True)], k)
-                    likeness = 2 * matched / (i1 - i + j1 - j)
-                    place = (i + a_low, i1 + a_low, j + b_low, j1 + b_low)
-                    if min(i1 - i, j1 - j) >= least and likeness >= similar and place not in met:
-                        met.add(place)
-                        out.append({"doc_id": y["d"], "start": i + a_low, "n_words": i1 - i, "source_id": y["o"], "source_start": j + b_low, "source_words": j1 - j, "matched": matched, "similarity": likeness})
+                    if min(i1 - i, j1 - j) >= least and 2 * matched >= similar * (i1 - i + j1 - j):
+                        grown[i + a_low, i1 + a_low, j + b_low, j1 + b_low] = matched
+                for i, i1, j, j1 in covering(list(grown)):
+                    likeness = 2 * grown[i, i1, j, j1] / (i1 - i + j1 - j)
+                    out.append({"doc_id": y["d"], "start": i, "n_words": i1 - i, "source_id": y["o"], "source_start": j, "source_words": j1 - j, "matched": grown[i, i1, j, j1], "similarity": likeness})
             frame = pd.DataFrame(out, columns=[x.split()[0] for x in FOUND.split(", ")])
             yield pa.RecordBatch.from_pandas(frame, schema=shape, preserve_index=False)
 

@@ -1,5 +1,6 @@
 """The other corpus operators against brute-force versions, on driver tables and on odd rows."""
 
+import itertools
 import math
 import random
 import re
@@ -643,6 +644,32 @@ def test_passages(spark, odd, empty):
     assert passages.passages(empty).count() == 0 and passages.passages(odd[1]).count() >= 2
 
 
+def test_covering():
+    """The fewest spans that cover what all spans cover, against every choice of spans."""
+    rng = random.Random(8)
+    words = lambda spans: {w for x in spans for w in range(x[0], x[1])}
+    assert passages.covering([]) == []
+    for _ in range(400):
+        spans = list({(i, i + rng.randrange(1, 7), rng.randrange(3), 9) for i in (rng.randrange(14) for _ in range(rng.randrange(1, 8)))})
+        got = passages.covering(spans)
+        assert set(got) <= set(spans) and words(got) == words(spans)
+        assert not any(words(some) == words(spans) for n in range(len(got)) for some in itertools.combinations(spans, n))
+
+
+def test_passages_of_repeated_lines(spark):
+    """A line repeated hundreds of times in two texts: every word is reported, in rows that do not grow with the shifts."""
+    rng = random.Random(9)
+    prose = lambda n: [f"p{rng.randrange(10**9)}" for _ in range(n)]
+    for period in (2, 13, 30):
+        line = prose(period)
+        size = 300 // period * period
+        rows = [(1, prose(40) + line * (120 // period) + prose(20)), (2, prose(31) + line * (300 // period) + prose(17)), (3, prose(90))]
+        found = passages.passages(spark.createDataFrame([(d, " ".join(x)) for d, x in rows], "doc_id long, text string")).collect()
+        assert {(r["doc_id"], r["source_id"]) for r in found} == {(2, 1)} and len(found) <= 2 * -(-size // 50)
+        covered = {w for r in found for w in range(r["start"], r["start"] + r["n_words"])}
+        assert covered >= set(range(31, 31 + size))
+
+
 def test_passages_recall(spark):
     """Fuzzy passages of 60 words at similarities 0.8 to 0.95 are found with the parameters of the query."""
     rng = random.Random(21)
