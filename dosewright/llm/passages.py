@@ -168,10 +168,12 @@ def _blocks_of(docs: list[tuple[int, int, np.ndarray]], parts: int, hot: int, sa
         rank = np.lexsort((places[big], ts[doc[big]], ds[doc[big]], h[big]))
         big = big[rank]
         away = big[np.concatenate([[False], h[big][1:] == h[big][:-1]])]  # all but the first of each
-        for salt in range(salts):
-            some = away[salt::salts]
+        pieces = min(32, salts)
+        turn = int((ds[0] ^ ts[0]) % salts)  # the pieces of all tasks spread over all salts
+        for piece in range(pieces):
+            some = away[piece::pieces]
             if len(some):
-                out.append((0, salt + 1, 8, h[some].tobytes(), 8, (places[some] - starts[doc[some]]).tobytes(), ds[doc[some]].tobytes(), ts[doc[some]].tobytes(), b"", b""))
+                out.append((0, (turn + piece) % salts + 1, 8, h[some].tobytes(), 8, (places[some] - starts[doc[some]]).tobytes(), ds[doc[some]].tobytes(), ts[doc[some]].tobytes(), b"", b""))
         stay = np.ones(len(h), bool)
         stay[away] = False
         h, places, doc = h[stay], places[stay], doc[stay]
@@ -524,7 +526,7 @@ def matched(texts: DataFrame, least: int, seeds_in_part: int = 1_500_000) -> Dat
     # About a seed for six bytes of text; the number of parts follows the input, so that a part fits in memory.
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(1, -(-size // (6 * seeds_in_part)))
-    blocks = _seed_blocks(texts, parts, least=least).groupBy("part", "salt")
+    blocks = _seed_blocks(texts, parts, salts=max(32, parts), least=least).groupBy("part", "salt")
     found = written(blocks.applyInPandas(_matches, MATCH), "matches")
     owners = found.where("kind = 1").select(F.col("h").alias("_h"), F.col("o").alias("_o"), F.col("u").alias("_u"), F.col("qs")[0].alias("_q"))
     # Both sides are plain scans, so the partition of a frequent seed can be split.
