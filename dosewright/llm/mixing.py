@@ -8,9 +8,9 @@ Positions: training time runs from 0 to 1. A source's weight at time x is its ta
 line of mean 1, from 1 - ``slope`` to 1 + ``slope``; slopes alternate in sign by source, so that the mix
 shifts over time while each source still gets its whole target. The words of a source wanted up to x,
 D(x) = target (x + slope (x^2 - x)), are the integral of that schedule. A source's documents follow each
-other in a fixed pseudo-random order (MD5 of doc_id), again and again; a document that starts after c
-words has the position D^-1(c), and passes that would start at or after the target are not taken. A
-target of at most three times the source means three passes at most.
+other in a fixed pseudo-random order (MD5 of doc_id), again and again; a pass of a document that starts after
+c words has the position D^-1(c). The passes whose position lies before the end of training are taken, and
+nothing else decides what is: a target of at most three times the source means three passes at most.
 
 Running sums need no task that holds a source: words are summed for (source, first digits of the MD5)
 first, and only documents that share both are sorted together. Rows of one doc_id in a source are
@@ -22,6 +22,8 @@ one source, null doc_ids order as ''. Empty tables give no rows. Extra columns a
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,7 +55,8 @@ def targets(totals: DataFrame, most: float = 3.0) -> DataFrame:
 def _inverse(c, target, slope):
     """The time x at which target (x + slope (x^2 - x)) reaches c, in a form without cancellation."""
     share = c / target
-    return 2 * share / ((1 - slope) + F.sqrt((1 - slope) * (1 - slope) + 4 * slope * share))
+    # At a share of 1 the root is 1 + slope, so the target itself is never reached before time 1 for any rounding; NaN is what no time reaches.
+    return 2 * share / ((1 - slope) + F.sqrt((1 + slope) * (1 + slope) - 4 * slope * (1 - share)))
 
 
 def mix(docs: DataFrame, most: float = 3.0, slope: float = 0.5, digits: int = 3) -> DataFrame:
@@ -72,11 +75,12 @@ def mix(docs: DataFrame, most: float = 3.0, slope: float = 0.5, digits: int = 3)
     start = (F.col("begin") + F.col("past")).alias("start")
     out = joined.select("doc_id", "th", "d.source", "size", "source_size", "target", F.col("turn") * slope, start).toDF("doc_id", "th", "source", "size", "source_size", "target", "slope", "start")
     # Pass p of a document starts after p whole sources and start words.
-    passes = F.when(F.col("size") == 0, 0).otherwise(F.least(F.lit(most), F.greatest(F.lit(0.0), F.ceil((F.col("target") - F.col("start")) / F.col("source_size")))))
-    out = out.withColumn("passes", passes.cast("int"))
-    each = F.transform(F.sequence(F.lit(0), F.col("passes") - 1), lambda p: _inverse((p * F.col("source_size") + F.col("start")).cast("double"), F.col("target"), F.col("slope")))
-    out = out.withColumn("positions", F.when(F.col("passes") > 0, each).otherwise(F.array().cast("array<double>")))
-    return out.withColumn("taken", F.col("passes") * F.col("size")).drop("start", "slope")
+    each = F.transform(F.array(*(F.lit(p) for p in range(max(1, math.ceil(most))))), lambda p: _inverse((p * F.col("source_size") + F.col("start")).cast("double"), F.col("target"), F.col("slope")))
+    wanted = (F.col("size") > 0) & (F.col("target") > 0)
+    out = out.withColumn("positions", F.when(wanted, F.filter(each, lambda x: x < 1)).otherwise(F.array().cast("array<double>")))
+    out = out.withColumn("passes", F.size("positions"))
+    out = out.withColumn("taken", F.col("passes") * F.col("size"))
+    return out.select("doc_id", "th", "source", "size", "source_size", "target", "passes", "positions", "taken")
 
 
 def mixed(docs: DataFrame, most: float = 3.0, slope: float = 0.5) -> DataFrame:

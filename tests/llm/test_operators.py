@@ -559,6 +559,26 @@ def test_mix(request, rows):
     assert Counter((r["doc_id"], r["size"], r["taken"]) for r in again) == Counter((r["doc_id"], r["size"], r["taken"]) for r in found)
 
 
+def test_schedule_decides_what_is_taken(small, monkeypatch):
+    """Targets that are no whole number of passes are met, and a schedule at half the speed takes what its integral says."""
+
+    def near(found, want):
+        taken, largest, sources = defaultdict(int), defaultdict(int), {}
+        for r in found:
+            taken[r["source"]] += r["taken"]
+            largest[r["source"]] = max(largest[r["source"]], r["size"])
+            sources[r["source"]] = r
+        for k, s in enumerate(sorted(sources, key=lambda s: (s is None, s or ""))):
+            assert -1e-6 <= taken[s] - want(sources[s]["target"], 0.5 if k % 2 == 0 else -0.5) <= largest[s] + 1e-6
+
+    found = mixing.mix(small[1], most=1.5).collect()
+    assert any(r["target"] == 1.5 * r["source_size"] for r in found)
+    near(found, lambda target, slope: target)
+    plain = mixing._inverse
+    monkeypatch.setattr(mixing, "_inverse", lambda c, target, slope: 2 * plain(c, target, slope))
+    near(mixing.mix(small[1]).collect(), lambda target, slope: target * (0.5 - 0.25 * slope))
+
+
 def test_mixed(spark, odd, clash, empty):
     out = mixing.mixed(clash)
     assert out.columns == clash.columns
