@@ -16,6 +16,7 @@ body, article and main.
 
 Order needs no task that holds a host: keys and line hashes (never text) are written once, range-sorted and
 numbered, and each run of numbers is compared in one task that also gets the ``REACH`` pages on each side of it.
+What a page shares meets its lines, not its html: those that markup removes anyway stay behind, the rest is compressed.
 
 Null and empty html give an empty text. Each row is judged by its host, path and html, so ids may be null or
 repeat. Null URLs are one host. An empty table gives no rows. Only page_id, url and html are read.
@@ -25,6 +26,7 @@ from __future__ import annotations
 
 import html as references
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -225,14 +227,14 @@ def _keys(placed: DataFrame) -> DataFrame:
 def shared(placed: DataFrame, reach: int = REACH, run: int = 512) -> DataFrame:
     """(host, h, gone): the places of the lines that the neighbours of each page share; pages without any are left out."""
     # Pages of a host with equal html are one, at their least path.
-    keys = written(_keys(placed), "keys")
-    least = keys.groupBy("host", "h").agg(F.min("path").alias("path"))
-    own = written(least, "least").join(keys, ["host", "h", "path"]).dropDuplicates(["host", "h"])
-    own = written(own.repartitionByRange("host", "path", "h").withColumn("seg", F.spark_partition_id()), "pages")
+    least = _keys(placed).groupBy("host", "h").agg(F.min(F.struct("path", "hashes", "sizes")).alias("least"))
+    own = written(least.select("host", "least.path", "h", "least.hashes", "least.sizes"), "least")
+    # A row's id holds its range and its place there, so that numbering needs no shuffle of its own.
+    own = own.repartitionByRange("host", "path", "h").sortWithinPartitions("host", "path", "h").withColumn("id", F.monotonically_increasing_id())
+    own = written(own.withColumns({"seg": F.shiftright("id", 33), "place": F.col("id").bitwiseAND((1 << 33) - 1)}).drop("id"), "pages")
     ahead = Window.orderBy("seg").rowsBetween(Window.unboundedPreceding, -1)
     begins = own.groupBy("seg").agg(F.count(F.lit(1)).alias("n")).select("seg", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("begin"))
-    place = F.row_number().over(Window.partitionBy("seg").orderBy("host", "path", "h")) - 1
-    own = own.withColumn("place", place).join(F.broadcast(begins), "seg").withColumn("g", F.col("begin") + F.col("place"))  # a row for each shuffle partition
+    own = own.join(F.broadcast(begins), "seg").withColumn("g", F.col("begin") + F.col("place"))  # a row for each shuffle partition
     first, last = F.floor((F.col("g") - reach) / run), F.floor((F.col("g") + reach) / run)
     rows = own.withColumn("run", F.explode(F.sequence(first, last))).withColumn("own", F.floor(F.col("g") / run) == F.col("run"))
     rows = rows.repartition("run").sortWithinPartitions("run", "g").select("run", "own", "host", "path", "h", "hashes", "sizes")
@@ -257,18 +259,19 @@ def shared(placed: DataFrame, reach: int = REACH, run: int = 512) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, (pa.string(), pa.int64(), pa.list_(pa.int32())), strict=True)], ["host", "h", "gone"])
 
         for batch in batches:
-            for r in batch.to_pylist():
-                if (r["run"], r["host"]) != mark:
-                    out += [found(group, k, max(0, k - reach)) for k in range(done, len(group))]
-                    group, done, mark = [], 0, (r["run"], r["host"])
-                group.append((r["own"], r["host"], r["path"], r["h"], r["hashes"], r["sizes"]))
-                if len(group) > done + reach:
-                    out.append(found(group, done, max(0, done - reach)))
-                    done += 1
-                    if done > 2 * reach:  # pages that no page to come can look back at
-                        del group[: done - reach]
-                        done = reach
-            yield packed()
+            for at in range(0, batch.num_rows, 256):
+                for r in batch.slice(at, 256).to_pylist():
+                    if (r["run"], r["host"]) != mark:
+                        out += [found(group, k, max(0, k - reach)) for k in range(done, len(group))]
+                        group, done, mark = [], 0, (r["run"], r["host"])
+                    group.append((r["own"], r["host"], r["path"], r["h"], r["hashes"], r["sizes"]))
+                    if len(group) > done + reach:
+                        out.append(found(group, done, max(0, done - reach)))
+                        done += 1
+                        if done > 2 * reach:  # pages that no page to come can look back at
+                            del group[: done - reach]
+                            done = reach
+                yield packed()
         out += [found(group, k, max(0, k - reach)) for k in range(done, len(group))]
         yield packed()
 
@@ -289,18 +292,36 @@ def main_text(own: list[tuple[str, int]], gone: list[int] | None) -> tuple[str,
     return " ".join(stay), shared_, marked
 
 
+def held(own: list[tuple[str, int]]) -> tuple[bytes, bytes]:
+    """The marks of a page's lines, a byte each, and the compressed lines that may stay: no line holds a line feed."""
+    return bytes(m for _, m in own), zlib.compress("\n".join(t for t, m in own if not m & OTHER).encode(), 1)
+
+
+def read_back(marks: bytes, texts: bytes) -> list[tuple[str, int]]:
+    """What :func:`held` was given, with an empty text for each line whose markup removes it whatever neighbours share."""
+    left = iter(zlib.decompress(texts).decode().split("\n"))
+    return [("" if m & OTHER else next(left), m) for m in marks]
+
+
 def extracted(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars, n_shared and n_marked (lines that differencing and that markup removed) of every row of ``pages`` (page_id, url, html)."""
     placed = _placed(pages)
-    gone = written(shared(placed), "gone")
-    rows = placed.join(gone.withColumnsRenamed({"host": "_host", "h": "_h"}), (F.col("host") == F.col("_host")) & (F.col("h") == F.col("_h")), "left")
+
+    def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                both = [held(lines(page)) for page in part.column(4).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns[:4], *(pa.array([x[k] for x in both], pa.binary()) for k in (0, 1))], ["page_id", "url", "host", "h", "marks", "texts"])
 
     def texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                own = [main_text(lines(page), g) for page, g in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)]
+                own = [main_text(read_back(m, t), g) for m, t, g in zip(*(part.column(k).to_pylist() for k in (2, 3, 4)), strict=True)]
                 counts = [pa.array(x, pa.int64()) for x in ([len(t) for t, _, _ in own], [x for _, x, _ in own], [x for _, _, x in own])]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([t for t, _, _ in own], pa.string()), *counts], ["page_id", "url", "text", "n_chars", "n_shared", "n_marked"])
 
-    return rows.select("page_id", "url", "html", "gone").mapInArrow(texts, "page_id long, url string, text string, n_chars long, n_shared long, n_marked long")
+    rows = placed.select("page_id", "url", "host", "h", "html").mapInArrow(parsed, "page_id long, url string, host string, h long, marks binary, texts binary")
+    rows = rows.join(shared(placed), ["host", "h"], "left").select("page_id", "url", "marks", "texts", "gone")
+    return rows.mapInArrow(texts, "page_id long, url string, text string, n_chars long, n_shared long, n_marked long")

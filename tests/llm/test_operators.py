@@ -382,6 +382,26 @@ def test_differencing_against_all_pages(spark):
     assert sum(r["n_shared"] for r in found.values()) > 150
 
 
+def test_pages_travel_without_their_html(spark):
+    """No exchange moves html, and what moves in its place gives the same texts and counts."""
+    table = spark.read.parquet(f"{SF}/pages.parquet")
+    limit = "spark.sql.autoBroadcastJoinThreshold"
+    old = spark.conf.get(limit)
+    spark.conf.set(limit, "-1")
+    try:
+        plan = spark._jvm.PythonSQLUtils.explainString(pages.extracted(table)._jdf.queryExecution(), "formatted")
+    finally:
+        spark.conf.set(limit, old)
+    moved = re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*)\]", plan)
+    assert any("texts" in x for x in moved) and not any("html" in x for x in moved)
+    rng = random.Random(6)
+    odd = [None, "", "<nav>Home</nav>", "<nav>a</nav><p>b\nc&#10;d&#xD800;<article><nav>e</nav><p>f"]
+    for html in [*odd, *(r["html"] for r in table.collect())]:
+        own = pages.lines(html)
+        gone = [k for k in range(len(own)) if rng.random() < 0.3]
+        assert pages.main_text(pages.read_back(*pages.held(own)), gone) == pages.main_text(own, gone)
+
+
 def test_pages_against_articles(spark):
     import html as references
 
