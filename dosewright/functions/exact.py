@@ -85,6 +85,22 @@ def magnitude(x: Column) -> Column:
     return F.when(x.isNotNull(), F.struct(F.lit(False).alias("neg"), x["digits"].alias("digits"), x["exp"].alias("exp")))
 
 
+def times_digits(digits: Column, times: Column) -> Column:
+    """The digits of a product with a whole number from 0 to 9, at any length."""
+    width = 17
+    n = F.ceil(F.length(digits) / F.lit(width)).cast("int")
+    padded, unit = F.lpad(digits, n * width, "0"), F.lit(10**width)
+
+    def step(acc: Column, k: Column) -> Column:
+        value = F.substr(padded, (n - 1 - k) * width + 1, F.lit(width)).cast("long") * times + acc["carry"]
+        return F.struct(F.concat(F.lpad(F.pmod(value, unit).cast("string"), width, "0"), acc["out"]).alias("out"), F.call_function("div", value, unit).alias("carry"))
+
+    start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("carry"))
+    long = F.aggregate(F.sequence(F.lit(0), n - 1), start, step, lambda acc: F.regexp_replace(F.concat(acc["carry"].cast("string"), acc["out"]), "^0+(?=.)", ""))
+    short = (F.when(F.length(digits) <= width, digits).cast("long") * times).cast("string")
+    return F.when(times == 0, "0").when(times == 1, digits).when(F.length(digits) <= width, short).otherwise(long)
+
+
 def to_double(x: Column) -> Column:
     return F.concat(F.when(x["neg"], F.lit("-")).otherwise(F.lit("")), x["digits"], F.lit("E"), x["exp"].cast("string")).cast("double")
 

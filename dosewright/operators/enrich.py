@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import exact
+from . import score
+from .calls import OBSERVED
 
 # Frequency fills
 
@@ -190,30 +193,30 @@ def panel_placement(rows: DataFrame, panel: DataFrame, groups: DataFrame, least:
 MATCHING = ("unresolved_harmonized_position", "harmonization_mismatch:hm_match_chr", "harmonization_mismatch:hm_match_pos", "invalid_harmonization_flag:hm_match_chr", "invalid_harmonization_flag:hm_match_pos", "author_other_allele_missing")
 
 
-@F.pandas_udf(T.StructType([T.StructField(c, exact.EXACT) for c in ("lower", "upper", "impact")]))
-def _extremes(weights: pd.Series, model: pd.Series, most: pd.Series, hemizygous: pd.Series) -> pd.DataFrame:
-    """Least and greatest contribution of a term over its possible dosages, and the larger of their sizes; nulls without valid weights."""
-    def struct(value: int, exp: int, neg: bool | None = None) -> dict:
-        return {"neg": value < 0 if neg is None else neg, "digits": str(abs(value)), "exp": exp}
+#: States of a call for which a missing term has no bounds.
+VOID = ("unsupported_ploidy", "missing_reason_not_retained")
 
-    rows = []
-    for own, kind, k, single in zip(weights, model, most, hemizygous, strict=True):
-        ws = [None if w is None else ((-1 if w["neg"] else 1) * int(w["digits"]), int(w["exp"])) for w in own]
-        dosages = [0, int(k)] if single else [0, 1, 2]
-        times = {"additive": lambda d: d, "dominant": lambda d: int(d > 0), "recessive": lambda d: int(d == 2)}
-        try:
-            values = [ws[d] for d in dosages] if kind == "dosage_weights" else [(ws[0][0] * times[kind](d), ws[0][1]) for d in dosages]
-        except (TypeError, IndexError):
-            values = [None]
-        if None in values:
-            rows.append((None, None, None))
-            continue
-        low = min(e for _, e in values)
-        values.sort(key=lambda x: x[0] * 10 ** (x[1] - low))
-        (a, e), (b, f) = values[0], values[-1]
-        size = max(((abs(a), e), (abs(b), f)), key=lambda x: x[0] * 10 ** (x[1] - low))
-        rows.append((struct(a, e), struct(b, f), struct(*size)))
-    return pd.DataFrame(rows, columns=["lower", "upper", "impact"])
+
+def _extremes(terms: DataFrame, most: int, single: Column) -> DataFrame:
+    """Adds ``__x``: least and greatest contribution of a term over its possible dosages, and the larger of their sizes; null without valid weights."""
+    kind = F.col("model")
+    times = F.when(kind == "additive", F.when(single, most).otherwise(2)).when(kind == "dominant", F.when(single, int(most > 0)).otherwise(1)).when(kind == "recessive", F.when(single, int(most == 2)).otherwise(1))
+    own = terms.withColumn("__w", F.get("weights", F.lit(0))).withColumn("__d", exact.times_digits(F.col("__w.digits"), times))
+    w, digits = F.col("__w"), F.col("__d")
+    value = lambda neg, d, exp: F.struct(neg.alias("neg"), d.alias("digits"), exp.alias("exp"))
+    three = lambda a, b, c: F.struct(a.alias("lower"), b.alias("upper"), c.alias("impact"))
+    no, zero = F.lit(False), value(F.lit(False), F.lit("0"), w["exp"])
+    below = w["neg"] & (digits != "0")
+    whole = value(below, digits, w["exp"])
+    linear = three(F.when(below, whole).otherwise(zero), F.when(below, zero).otherwise(whole), value(no, digits, w["exp"]))
+
+    ws = F.when(single, F.array(w, F.get("weights", F.lit(most)))).otherwise(F.array(w, *(F.get("weights", F.lit(d)) for d in (1, 2))))
+    keyed = F.transform(ws, lambda x, k: F.struct(exact.value_key(x).alias("key"), k.alias("k"), value(x["neg"] & (x["digits"] != "0"), x["digits"], x["exp"]).alias("value")))
+    low, high = F.array_min(keyed)["value"], F.array_max(keyed)["value"]  # of equal ones the first, and the last
+    size = F.when(exact.magnitude_key(high) > exact.magnitude_key(low), high).otherwise(low)
+    free = F.when(~F.exists(ws, lambda x: x.isNull()), three(low, high, value(no, size["digits"], size["exp"])))
+    x = F.when(w.isNull(), None).when(kind == "dosage_weights", free).when(kind.isin("additive", "dominant", "recessive"), linear)
+    return own.withColumn("__x", x.otherwise(F.raise_error(F.concat(F.lit("no such model: "), F.coalesce(kind, F.lit("null")))))).drop("__w", "__d")
 
 
 def bounds(terms: DataFrame, single: Column | None = None, most: int = 2) -> DataFrame:
@@ -223,7 +226,7 @@ def bounds(terms: DataFrame, single: Column | None = None, most: int = 2) -> Dat
     says which terms are counted once (chrX outside the pseudo-autosomal regions in XY); those take the dosages 0 and ``most``.
     """
     single = F.lit(False) if single is None else single
-    own = terms.withColumn("__x", _extremes(F.col("weights"), F.col("model"), F.lit(most), single))
+    own = _extremes(terms, most, single)
     barred = F.lit(False)
     if "reasons" in terms.columns:
         allowed = F.array(*map(F.lit, MATCHING))
@@ -239,16 +242,15 @@ def missing(rows: DataFrame, bounded: DataFrame) -> DataFrame:
     """The unscorable rows of ``outcomes`` with their terms' bounds; a call of unsupported ploidy has none."""
     own = bounded.select("pgs_id", "ordinal", "lower", "upper", "impact", "unbounded")
     out = rows.where("status <> 'scorable_observation'").join(own, ["pgs_id", "ordinal"])
-    why = F.coalesce("unbounded", F.when(F.col("status").isin("unsupported_ploidy", "missing_reason_not_retained"), F.col("status")))
+    why = F.coalesce("unbounded", F.when(F.col("status").isin(*VOID), F.col("status")))
     out = out.withColumn("unbounded", why)
     return out.withColumns({c: F.when(F.col("unbounded").isNull(), F.col(c)) for c in ("lower", "upper", "impact")})
 
 
 def ranked(rows: DataFrame, keys: list[str], k: int = 20) -> DataFrame:
     """The k bounded rows of :func:`missing` of greatest possible contribution, by exact size, then by ordinal."""
-    by = Window.partitionBy(*keys).orderBy(F.desc("__size"), "ordinal")
     own = rows.where("impact is not null").withColumn("__size", exact.magnitude_key(F.col("impact")))
-    return own.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).drop("__size")
+    return _first_k(own, keys, k).drop("__size")
 
 
 def earliest_unbounded(rows: DataFrame, keys: list[str], k: int = 20) -> DataFrame:
@@ -264,6 +266,99 @@ def envelope(rows: DataFrame, keys: list[str]) -> DataFrame:
     return counts.join(lower, keys).join(upper, keys)
 
 
+def _entries() -> Column:
+    """Of a bounded term: for each exponent of its limbs the limbs of both bounds, how many bounds have the exponent ``low``, and the term itself, counted once.
+
+    A term without bounds has one entry, without a bound to sum.
+    """
+    fields = ("low", "exp", "lower", "upper", "lowers", "uppers", "terms", "bounded")
+    entry = lambda *x: F.struct(*(c.cast("int" if f in fields[:2] else "long").alias(f) for c, f in zip(x, fields, strict=True)))
+    no, zero, one = F.col("unbounded").isNotNull(), F.lit(0), F.lit(1)
+    lower, upper = F.col("lower"), F.col("upper")
+
+    def of(a: Column, b: Column, exp: Column, has_a: Column, has_b: Column, first: Column) -> Column:
+        """Entries of the limbs a and b, which start at the same exponent."""
+        limb = lambda x, k: F.coalesce(F.get(x, k)["limb"], zero)
+        flag = lambda has, k: F.when(k == 0, has).otherwise(0)
+        return F.transform(F.sequence(zero, F.greatest(F.size(a), F.size(b)) - 1), lambda k: entry(exp, exp + k * exact.LIMB, limb(a, k), limb(b, k), flag(has_a, k), flag(has_b, k), flag(first, k), flag(first, k)))
+
+    a, b = exact.limbs(lower), exact.limbs(upper)
+    none = F.array().cast("array<struct<exp:int,limb:bigint>>")
+    apart = F.concat(of(a, none, lower["exp"], one, zero, one), of(none, b, upper["exp"], zero, one, zero))
+    return F.when(no, F.array(entry(zero, zero, zero, zero, zero, zero, one, zero))).when(lower["exp"] == upper["exp"], of(a, b, lower["exp"], one, one, one)).otherwise(apart)
+
+
+def sparse_envelope(bounded: DataFrame, calls: DataFrame, samples: DataFrame, site: list[str] = score.SITE) -> DataFrame:
+    """:func:`envelope` per score and sample of all that :func:`missing` has, without a row for each term and sample.
+
+    The sums over all terms of a score, less those of the terms that count for a sample; only terms and calls of one
+    ``site`` meet, terms added up before. A term without a call is missing.
+    """
+    keys, sums = ["pgs_id", "low", "exp"], ["lower", "upper", "lowers", "uppers", "terms", "bounded"]
+    index = lambda k: F.when(F.col("effect_is_alt"), k).otherwise(2 - k)
+    by_dose = F.filter(F.transform("weights", lambda w, k: F.when(w.isNotNull(), index(k))), lambda k: k.isNotNull())
+    nothing = F.array().cast("array<int>")
+    #: ALT dosages at which a call of the term counts; null: at any.
+    doses = F.when(score.withheld().isNotNull(), nothing).when(F.col("model") == "dosage_weights", F.coalesce(by_dose, nothing)).when(F.get("weights", F.lit(0)).isNull(), nothing)
+    cut = bounded.select(*site, "pgs_id", score.withheld().isNull().alias("__open"), doses.alias("__doses"), F.explode(_entries()).alias("__e")).select("*", "__e.*").drop("__e")
+    at = cut.groupBy(*site, "__open", "__doses", *keys).agg(*(F.sum(c).alias(c) for c in sums))
+    known = calls.select(*site, F.struct("sample", F.col("alt_dosage").cast("int").alias("dose"), F.col("state").isin(*VOID).alias("void"), F.lit(False).alias("all")).alias("__c"))
+    known = known.where(F.col("__c.void") | F.col("state").isin(*OBSERVED)).groupBy(*site).agg(F.collect_list("__c").alias("__calls"))
+
+    #: Beside its calls each site is met once for all samples together, so that terms are read once.
+    everyone = F.struct(F.lit(None).cast(calls.schema["sample"].dataType).alias("sample"), F.lit(None).cast("int").alias("dose"), F.lit(False).alias("void"), F.lit(True).alias("all"))
+    rows = at.join(known, site, "left").withColumn("__c", F.explode(F.array_append(F.coalesce("__calls", F.array()), everyone))).select("__open", "__doses", *keys, *sums, "__c.*")
+    counts = F.col("all") | (~F.col("void") & (F.col("__doses").isNull() | F.coalesce(F.array_contains("__doses", F.col("dose")), F.lit(False))))
+    rows = rows.where(F.col("all") | F.col("__open")).withColumn("__counts", counts).where("__counts or void")
+    off = [*(F.sum(c).alias(c) for c in sums[:4]), F.sum(F.when(F.col("__counts"), F.col("terms")).otherwise(0)).alias("terms"), F.sum("bounded").alias("bounded")]
+    #: Filters on the maxima stay above the shuffle, so that both uses share it.
+    both = rows.groupBy(*keys, F.col("sample").alias("__s"), F.col("all").alias("__a")).agg(*off, F.max("sample").alias("sample"), F.max("all").alias("__all"))
+    whole = both.where("__all and sample is null").select(*keys, *sums).crossJoin(samples)  # scores x samples rows for each exponent
+    taken = both.where("not __all and sample is not null").select(*keys, *((-F.col(c)).alias(c) for c in sums), "sample")
+    left = whole.unionByName(taken).groupBy(*keys, "sample").agg(*(F.sum(c).alias(c) for c in sums))
+    part = lambda c: F.collect_list(F.when(F.col(c) != 0, F.struct("exp", F.lit(0).cast("long").alias("high"), F.col(c).alias("low"))))
+    least = lambda c: F.min(F.when(F.col(c) > 0, F.col("low")))
+    out = left.groupBy("pgs_id", "sample").agg(F.sum("terms").alias("missing"), F.sum("bounded").alias("__bounded"), part("lower").alias("__l"), least("lowers").alias("__a"), part("upper").alias("__u"), least("uppers").alias("__b"))
+    return out.where("missing > 0").select("pgs_id", "sample", "missing", (F.col("missing") - F.col("__bounded")).alias("unbounded"), exact.joined("__l", "__a").alias("lower"), exact.joined("__u", "__b").alias("upper"))
+
+
+#: Terms of a score that are looked at first; Spark cuts each partition to as many before its shuffle.
+HEAD = 1000
+
+
+def sparse_ranked(bounded: DataFrame, calls: Callable[[DataFrame], DataFrame], samples: DataFrame, written: Callable[[DataFrame, str], DataFrame], absent: str = "error", k: int = 20, head: int = HEAD, site: list[str] = score.SITE) -> DataFrame:
+    """:func:`ranked` per score and sample of all that :func:`missing` has, without a row for each term and sample where the terms of greatest contribution suffice.
+
+    First only the ``head`` terms of greatest contribution of each score are met with the samples. Only where a sample
+    misses less than k of those, and the score has more terms, are all its others met too. ``calls`` gives the calls at
+    the sites of a table, ``written`` writes a small table and reads it back.
+    """
+    keys = ["pgs_id", "sample"]
+    own = bounded.where("impact is not null").withColumn("__size", exact.magnitude_key(F.col("impact")))
+    by = Window.partitionBy("pgs_id").orderBy(F.desc("__size"), "ordinal")
+    top = written(own.withColumn("__place", F.row_number().over(by)).where(F.col("__place") <= head).drop("__place"), "head_terms")
+    sites = top.select(*site).distinct()
+
+    def first(terms: DataFrame, pairs: DataFrame, found: DataFrame) -> DataFrame:
+        rows = score.outcomes(terms, found, pairs, absent, site).where(F.col("status") != score.SCORABLE)
+        return _first_k(rows.where(~F.col("status").isin(*VOID)), keys, k)
+
+    rows = written(first(top, samples, calls(sites)), "first_missing")
+    more = top.groupBy("pgs_id").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= head).select("pgs_id")
+    enough = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= k)
+    pairs = written(more.crossJoin(samples).join(enough, keys, "left_anti").select(*keys), "open_pairs")
+    if pairs.isEmpty():
+        return rows
+    rest = own.join(top.select("pgs_id", "ordinal"), ["pgs_id", "ordinal"], "left_anti")
+    further = first(rest, pairs, calls(rest.join(pairs.select("pgs_id").distinct(), "pgs_id", "left_semi").select(*site).distinct()))
+    return _first_k(rows.drop("rank").unionByName(further.select([c for c in rows.columns if c != "rank"])), keys, k)
+
+
+def _first_k(rows: DataFrame, keys: list[str], k: int) -> DataFrame:
+    by = Window.partitionBy(*keys).orderBy(F.desc("__size"), "ordinal")
+    return rows.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
+
+
 def completion(enveloped: DataFrame, partial: DataFrame, keys: list[str]) -> DataFrame:
     """Adds the least and greatest complete score (texts) to an envelope; null where a term has no bounds."""
     own = enveloped.join(partial.select(*keys, exact.parse(F.col("partial_score")).alias("__p")), keys)

@@ -54,15 +54,17 @@ def _absence(absent: str) -> Column:
     return F.lit(absent)
 
 
-def outcomes(terms: DataFrame, calls: DataFrame, samples: DataFrame | None = None, absent: str = "error") -> DataFrame:
+def outcomes(terms: DataFrame, calls: DataFrame, samples: DataFrame | None = None, absent: str = "error", site: list[str] = SITE) -> DataFrame:
     """Each term for each sample: status, effect dosage, and the weight that counts and how often.
 
     ``terms``: pgs_id, ordinal, contig, pos, ref, alt, effect_is_alt, model, weights (array of exact),
     review (boolean), resolved (boolean). ``calls``: contig, pos, ref, alt, sample, state, alt_dosage, one row for
-    a target and sample. ``absent``: the status of a term without a call, or 'error'.
+    a target and sample. ``absent``: the status of a term without a call, or 'error'. ``samples`` with a pgs_id:
+    only those of the term's score. ``site``: the columns of a target in both tables.
     """
-    rows = terms.crossJoin(samples if samples is not None else samples_of(calls))  # the result has a row for each pair
-    joined = rows.join(calls.select(*SITE, "sample", "state", "alt_dosage"), [*SITE, "sample"], "left")
+    samples = samples if samples is not None else samples_of(calls)
+    rows = terms.join(samples, "pgs_id") if "pgs_id" in samples.columns else terms.crossJoin(samples)  # the result has a row for each pair
+    joined = rows.join(calls.select(*site, "sample", "state", "alt_dosage"), [*site, "sample"], "left")
     status = F.coalesce(withheld(), F.when(F.col("state").isin(*OBSERVED), SCORABLE), F.col("state"), _absence(absent))
     return _scored(joined, status)
 

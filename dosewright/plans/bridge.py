@@ -19,11 +19,10 @@ def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(k.alias("partkey"), (k % 22 + 1).cast("int").alias("contig"), (k * 10 + 1).cast("long").alias("pos"), base(k).alias("ref"), base(k + 1 + k % 3).alias("alt"), "p_size")
 
 
-def terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Terms of eight scores; weights in hundredths."""
-    own = table(spark, sf_dir, "lineitem").groupBy(
-        (F.col("l_suppkey") % 8).alias("score"), F.col("l_partkey").alias("partkey"), "l_returnflag", (F.col("l_suppkey") % 2 == 0).alias("effect_is_alt")
-    ).agg((F.min(F.round(F.col("l_discount") * 100).cast("long")) - 5).alias("w"))
+def terms(spark: SparkSession, sf_dir: str, by_part: bool = False) -> DataFrame:
+    """Terms of eight scores; weights in hundredths. ``by_part``: rows are dealt by part once, and what follows by part needs no other shuffle."""
+    own = table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 8).alias("score"), F.col("l_partkey").alias("partkey"), "l_returnflag", (F.col("l_suppkey") % 2 == 0).alias("effect_is_alt"), F.round(F.col("l_discount") * 100).cast("long").alias("w"))
+    own = (own.repartition("partkey") if by_part else own).groupBy("score", "partkey", "l_returnflag", "effect_is_alt").agg((F.min("w") - 5).alias("w"))
     kind = F.when(F.col("l_returnflag") == "A", "additive").when(F.col("l_returnflag") == "N", "dominant").otherwise("recessive")
     code = F.when(F.col("l_returnflag") == "A", 0).when(F.col("l_returnflag") == "N", 1).otherwise(2)
     ordinal = F.col("partkey") * 6 + code * 2 + F.col("effect_is_alt").cast("int")
@@ -33,7 +32,11 @@ def terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One record per line item: sample, partkey, depth, quality and ALT dosage."""
-    own = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return _records(table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders"))
+
+
+def _records(lines: DataFrame, orders: DataFrame) -> DataFrame:
+    own = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     return own.select((F.col("o_custkey") % 50).alias("sample"), F.col("l_partkey").alias("partkey"), F.col("l_quantity").cast("int").alias("depth"), (F.round(F.col("l_tax") * 100).cast("int") * 10).alias("quality"), (F.col("l_linenumber") % 3).alias("dosage"), "l_linestatus", F.col("l_linenumber"), "l_orderkey")
 
 
@@ -41,12 +44,25 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records(spark, sf_dir).select("sample").distinct()
 
 
+def part_calls(spark: SparkSession, sf_dir: str, parts: DataFrame | None = None) -> DataFrame:
+    """:func:`simple_calls` by part, dealt by part once; ``parts``: only of those (partkey)."""
+    lines = table(spark, sf_dir, "lineitem")
+    lines = lines if parts is None else lines.join(parts.select(F.col("partkey").alias("l_partkey")), "l_partkey", "left_semi")
+    own = _records(lines, table(spark, sf_dir, "orders")).select("sample", "partkey", "depth", "dosage").repartition("partkey")
+    return _stated(own)
+
+
 def simple_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A call for each sample and site with a record: ambiguous, low quality or observed."""
-    own = records(spark, sf_dir).groupBy("sample", "partkey").agg(F.count(F.lit(1)).alias("n"), F.min("depth").alias("depth"), F.min("dosage").alias("dosage"))
+    own = _stated(records(spark, sf_dir))
+    return own.join(sites(spark, sf_dir).drop("p_size"), "partkey").select("sample", "partkey", "contig", "pos", "ref", "alt", "state", "alt_dosage")
+
+
+def _stated(records: DataFrame) -> DataFrame:
+    own = records.groupBy("sample", "partkey").agg(F.count(F.lit(1)).alias("n"), F.min("depth").alias("depth"), F.min("dosage").alias("dosage"))
     state = F.when(F.col("n") > 1, "ambiguous_overlapping_records").when(F.col("depth") < 10, "low_quality").when(F.col("dosage") > 0, "observed_variant").otherwise("observed_reference")
     own = own.withColumn("state", state).withColumn("alt_dosage", F.when(F.col("state").startswith("observed"), F.col("dosage")))
-    return own.join(sites(spark, sf_dir).drop("p_size"), "partkey").select("sample", "partkey", "contig", "pos", "ref", "alt", "state", "alt_dosage")
+    return own.select("sample", "partkey", "state", "alt_dosage")
 
 
 def frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from dosewright.functions import exact
 from dosewright.operators import calls, compare, enrich, intervals, score, sinks, terms
+from dosewright.plans import bridge
 from dosewright.sources import binary, text
 from dosewright.streaming import incremental
 
@@ -180,6 +181,74 @@ def test_bounds_of_mixed_exponents(spark):
     assert [r["ordinal"] for r in enrich.ranked(own, ["pgs_id", "sample"]).orderBy("rank").collect()] == [1, 3, 2, 4, 5]
 
 
+def odd_terms(spark):
+    """Two scores of every model with short, long, zero and invalid weights, terms for review and without orientation; calls of every kind for four samples."""
+    rng = random.Random(5)
+    texts = ["0", "-0.00", "1.5", "-2.25E-3", "7E+2", "5E-30", "-" + "9" * 40, "0." + "5" * 61, "12345678901234567.8", None]
+    terms_, calls_ = [], []
+    for n in range(1, 81):
+        model = rng.choice(["additive", "dominant", "recessive", "dosage_weights"])
+        terms_.append((rng.choice("PPPQ"), n, 1, n // 2, "A", "G", rng.random() < 0.5, model, [rng.choice(texts) for _ in range(3 if model == "dosage_weights" else 1)][: rng.choice([2, 3, 3, 3, 3])], n % 13 == 0, n % 11 != 0))
+    for at in range(0, 41):
+        for sample in range(4):
+            state = rng.choice(["observed_variant", "observed_reference", "observed_variant", "unsupported_ploidy", "low_quality", "missing_reason_not_retained", None])
+            if state and sample < 3:
+                calls_.append((1, at, "A", "G", sample, state, rng.choice([1, 2]) if state == "observed_variant" else 0 if state == "observed_reference" else None))
+    made = spark.createDataFrame(terms_, "pgs_id string, ordinal int, contig int, pos int, ref string, alt string, effect_is_alt boolean, model string, w array<string>, review boolean, resolved boolean")
+    found = spark.createDataFrame(calls_, "contig int, pos int, ref string, alt string, sample long, state string, alt_dosage int")
+    return made.withColumn("weights", F.transform("w", exact.parse)).drop("w"), found, spark.createDataFrame([(k,) for k in range(4)], "sample long")
+
+
+def test_sparse_missing_terms(spark):
+    """Without a row for each term and sample: as from all of them, whether the first terms suffice or not."""
+    made, found, samples = odd_terms(spark)
+    own, keys = enrich.bounds(made).cache(), ["pgs_id", "sample"]
+    rows = enrich.missing(score.outcomes(made, found, samples, score.ABSENT), own)
+    text = lambda out: sorted(map(tuple, out.select(*keys, exact.text(F.col("lower")), exact.text(F.col("upper")), "missing", "unbounded").collect()))
+    want = text(enrich.envelope(rows, keys))
+    assert len(want) == 8 and text(enrich.sparse_envelope(own, found, samples)) == want
+    cols = [*keys, "ordinal", "status", "rank"]
+    want = sorted(map(tuple, enrich.ranked(rows, keys, 5).select(*cols).collect()))
+    assert 30 < len(want) < 40  # some pairs miss less than five
+    for head in (2, 8, 1000):
+        out = enrich.sparse_ranked(own, lambda at: found.join(at, score.SITE, "left_semi"), samples, lambda df, name: df.cache(), score.ABSENT, 5, head)
+        assert sorted(map(tuple, out.select(*cols).collect())) == want
+
+
+def test_bounds_of_odd_terms(spark):
+    """Bounds by expressions against whole numbers of Python."""
+    made, _, _ = odd_terms(spark)
+    number = lambda x: x and Decimal(f"{'-' if x['neg'] else ''}{x['digits']}E{x['exp']}")
+    for most, single in ((2, F.lit(False)), (1, F.col("ordinal") % 2 == 0), (2, F.col("ordinal") % 2 == 0)):
+        for r in enrich.bounds(made, single, most).collect():
+            ws = [*map(number, r["weights"]), None, None, None]
+            doses = [0, most] if r["ordinal"] % 2 == 0 and str(single) != str(F.lit(False)) else [0, 1, 2]
+            with localcontext() as c:
+                c.prec = 200
+                if r["model"] == "dosage_weights":
+                    values = [ws[d] for d in doses]
+                else:
+                    values = [None if ws[0] is None else ws[0] * {"additive": d, "dominant": d > 0, "recessive": d == 2}[r["model"]] for d in doses]
+                want = None if None in values else (min(values), max(values), max(map(abs, values)) if r["model"] != "dosage_weights" else max(abs(min(values)), abs(max(values))))
+                found = tuple(number(r[c]) for c in ("lower", "upper", "impact"))
+            assert found == (want or (None, None, None)) and (r["unbounded"] is None) == (want is not None), r
+            assert all(r[c] is None or r[c]["digits"] != "0" or not r[c]["neg"] for c in ("lower", "upper", "impact"))
+
+
+@pytest.mark.parametrize("name", ["missing_envelope"])
+def test_missing_terms_send_no_row_for_each_term_and_sample(spark, name):
+    """No more rows are shuffled than there are pairs of terms and samples; before, those alone went through three shuffles."""
+    data, sc = "/root/testdata/sf0.01", spark.sparkContext
+    pairs = bridge.terms(spark, data).count() * bridge.samples(spark, data).count()
+    sc.setJobGroup(f"sent-{name}", name)
+    __spark_entry__.queries()[name](spark, data).write.format("noop").mode("overwrite").save()
+    sc.setJobGroup("", "")
+    tracker, store = sc.statusTracker(), sc._jsc.sc().statusStore()
+    stages = {k for job in tracker.getJobIdsForGroup(f"sent-{name}") for k in tracker.getJobInfo(job).stageIds}
+    sent = sum(store.lastStageAttempt(k).shuffleWriteRecords() for k in stages)
+    assert 0 < sent < pairs
+
+
 def test_every_term_counts_for_every_sample(spark):
     """One term called, one without a call, one without an orientation: none vanishes."""
     made = make_terms(spark, [(1, True, "additive", ["0.5"]), (2, True, "additive", ["0.25"]), (3, True, "additive", ["1"])])
